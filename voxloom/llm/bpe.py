@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import FILTER_BITS, cut, repeated_keys, small_batches
 
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 1024, 256, 8192
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE_LIMIT = 300_000
 
 
 def default_vocabulary() -> str:
@@ -40,13 +38,15 @@ def default_vocabulary() -> str:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE), one per worker."""
+    """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE), one per worker.
+
+    Texts of Latin letters and printable ASCII, where all libraries agree on the character classes, are encoded by
+    tiktoken with the same merges, which is several times faster; all others by the tokenizers library.  The fast way
+    is taken only if the file's ids are in merge order and its pre-tokenizer is the plain byte-level one.
+    """
 
     _known: dict[str, "Codec"] = {}
-    #: A word with the white space before it; the split points are safe cuts.
-    _unit = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-    #: White space of other kinds, on which libraries may differ: such texts are encoded as a whole.
-    _odd = re.compile("[^\\S \n\t\r]|[\u180e\u200b\ufeff]")
+    _other = re.compile("[^\t\n\r\\x20-\\x7e\\xa1-\u024f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,13 +56,29 @@ class Codec:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            special = {t["id"]: t["content"] for t in json.load(f)["added_tokens"]}
+            file = json.load(f)
+        special = {t["id"]: t["content"] for t in file["added_tokens"]}
         back = {c: b for b, c in enumerate(_byte_letters())}
         self.bytes = [b""] * size
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = special[i].encode() if i in special else bytes(back[c] for c in token)
+        self.fast = self._fast(file, special)
+
+    def _fast(self, file: dict, special: dict[int, str]):
+        model, split = file["model"], file["pre_tokenizer"]
+        plain = file["normalizer"] is None and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": split.get("trim_offsets"), "use_regex": True}
+        plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"])
+        plain &= not (model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        plain &= all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merged))
+        if not plain:
+            return None
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in special}
+        return tiktoken.Encoding("voxloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={c: i for i, c in special.items()})
 
     @classmethod
     def of(cls, path: str) -> "Codec":
@@ -74,21 +90,9 @@ class Codec:
         """The ids of ``text`` as packed integers of ``dtype``."""
         if not text:
             return b""
-        if self._odd.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        units, cache = self._unit.findall(text), self.cache
-        try:
-            return b"".join([cache[u] for u in units])
-        except KeyError:
-            pass
-        missing = list({u for u in units if u not in cache})
-        if len(cache) + len(missing) > CACHE_LIMIT:
-            cache = {}
-            missing = list(set(units))
-            self.cache = cache
-        for u, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            cache[u] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join([cache[u] for u in units])
+        if self.fast is not None and self._other.search(text) is None:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype(self.dtype).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
