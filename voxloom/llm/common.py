@@ -85,13 +85,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every maximal run of bytes other than 0x20 and 0x09-0x0D, in order."""
+#: Bytes of words as contracts define them: all but 0x20 and 0x09-0x0D.
+BLACK = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+#: Bytes of letters: ASCII letters and all bytes of other characters.
+LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+
+
+def word_hashes(data: bytes, of: np.ndarray = BLACK) -> np.ndarray:
+    """A 64-bit hash of every maximal run of bytes for which the table ``of`` is true, in order."""
     b = np.frombuffer(data, dtype=np.uint8)
     if not len(b):
         return np.zeros(0, dtype=np.uint64)
-    black = (b != 32) & ((b < 9) | (b > 13))
-    edge = np.diff(black.astype(np.int8), prepend=0, append=0)
+    edge = np.diff(of[b].astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = Powers.to(len(b) + 1)
     sums = np.zeros(len(b) + 1, dtype=np.uint64)

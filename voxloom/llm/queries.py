@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, simhash, token_counts, warc
+from . import bpe, gif, sharding, simhash, token_counts, toxicity, url_filter, warc
 from .common import read_table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -30,15 +38,31 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_gif": op9_gif,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # 30 levels: ample for the tables that DuckDB can hold
+    "op1_sharding": f"""
+WITH r AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, ('0x' || md5(coalesce(doc_id::varchar, 'null'))[1:15])::bigint AS h FROM documents),
+lv AS (SELECT d, h >> (60 - d)::int AS p, sum(bytes)::bigint AS shard_bytes, count(*) AS shard_docs FROM r, range(0, 31) t(d) GROUP BY ALL),
+fits AS (SELECT * FROM lv WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_docs = 1)
+SELECT doc_id, bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::int, '0') END AS shard, d::int AS depth, shard_bytes, shard_docs
+FROM r JOIN fits ON fits.p = h >> (60 - d)::int
+QUALIFY row_number() OVER (PARTITION BY doc_id, h ORDER BY d) = 1""",
+    "op10_url_filter": url_filter.oracle(),
     "op8_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
