@@ -101,13 +101,12 @@ def passages(
     texts = keyed.join(keys, F.col("id").eqNullSafe(F.col("kid")) & F.col("key").eqNullSafe(F.col("kkey")), "left_semi").dropDuplicates(["id", "key"])
     texts = texts.select(F.col("id").alias("tid"), F.col("key").alias("tkey"), raw_tokens(F.col("text")).alias("raw"))
     both = runs.join(texts, F.col("id").eqNullSafe(F.col("tid")) & F.col("key").eqNullSafe(F.col("tkey"))).join(items, "item_key")
-    both = both.withColumn("template", template(F.col("raw")))
-    slots = F.expr(
-        f"""transform(filter(sequence(low, least(high + {window} - 1, size(raw) - 1, diagonal + size(item_raw) - 1)),
-              p -> template[p] in ('#', '@', '%') and template[p] = item_template[p - diagonal]),
-              p -> struct(template[p] as t, item_raw[p - diagonal] as a, raw[p] as b))"""
-    )
-    both = both.withColumn("slots", F.array_distinct(slots))
+    # only the passage goes on: raw, shape, item_raw and item_template are aligned slices of its length
+    length = F.expr(f"least(high + {window}, size(raw), diagonal + size(item_raw)) - low")
+    cuts = [F.slice(c, F.col("low") - (F.col("diagonal") if "item" in c else F.lit(0)) + 1, length).alias(c) for c in ("raw", "item_raw", "item_template")]
+    both = both.select("id", "key", "item", "diagonal", "windows", "n_windows", "low", *cuts)
+    both = both.withColumn("slots", F.arrays_zip(template(F.col("raw")).alias("t"), F.col("item_template").alias("u"), F.col("item_raw").alias("a"), F.col("raw").alias("b")))
+    both = both.withColumn("slots", F.expr("array_distinct(filter(slots, s -> s.t in ('#', '@', '%') and s.t = s.u))"))
     one_way = F.size(F.expr("array_distinct(transform(slots, s -> struct(s.t, s.a)))")) == F.size("slots")
     other_way = F.size(F.expr("array_distinct(transform(slots, s -> struct(s.t, s.b)))")) == F.size("slots")
     kind = F.when(F.expr("forall(slots, s -> s.a = s.b)"), "verbatim").otherwise("re-parameterised")
