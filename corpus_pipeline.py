@@ -1,13 +1,64 @@
-"""Five stages from raw documents to token ids."""
+"""Five stages from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from voxloom.llm import bpe, decontamination, simhash, substring_dedup, toxicity
+from voxloom.llm.common import read_table, shared_folder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return toxicity.reject(docs, read_table(spark, sf_dir, "labels")).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document of the smallest id stays."""
+    return simhash.keep_one(docs).select(COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; ``n_chars`` is counted again where the text has changed."""
+    before = docs.withColumn("__text", F.xxhash64("text"))
+    after = substring_dedup.deduplicate(before)
+    n_chars = F.when(F.xxhash64("text").eqNullSafe(F.col("__text")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return after.withColumn("n_chars", n_chars).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digests that show the exact round trip."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("bpe", tokenize),
+]
+
+#: A trained classifier and BPE merges are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = shared_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
