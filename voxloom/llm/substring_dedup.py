@@ -32,10 +32,10 @@ from .common import FILTER_BITS, cut, grams, repeated_keys, sliding, small_batch
 from .fm_index import Shard
 
 WINDOW = 50
-#: Words of one FM-index; with 4-byte ranks of seven lengths a shard takes about 100 MB while it is built.
-SHARD_WORDS = 1 << 20
+#: Words of one FM-index: with its words as objects and 4-byte ranks of seven lengths a shard takes about 60 MB.
+SHARD_WORDS = 1 << 18
 #: Different segments of one anchor that an index may hold.
-HOT = 4096
+HOT = 1024
 
 
 def _geometry(window: int) -> tuple[int, int]:
