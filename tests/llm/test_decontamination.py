@@ -75,7 +75,7 @@ def test_against_brute_force(spark):
 def test_shuffled_when_large(spark, monkeypatch):
     docs, items = data()
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("voxloom.llm.common.BROADCAST_BYTES", 0)
     assert sorted((str(r[0]), str(r[1]), *r[2:]) for r in dc.contaminated(df, bench).collect()) == brute(docs, items)
 
 

@@ -18,12 +18,13 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, cut, repeated_keys, small_batches
+from .common import FILTER_BITS, cut, repeated_keys, small_batches, tidy
 
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 1024, 256, 8192
 
@@ -49,22 +50,29 @@ class Codec:
     _other = re.compile("[^\t\n\r\\x20-\\x7e\\xa1-\u024f]")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         special = {t["id"]: t["content"] for t in file["added_tokens"]}
+        vocabulary = {**file["model"]["vocab"], **{content: i for i, content in special.items()}}
+        size = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         back = {c: b for b, c in enumerate(_byte_letters())}
         self.bytes = [b""] * size
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = special[i].encode() if i in special else bytes(back[c] for c in token)
+        for token, i in vocabulary.items():
+            self.bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
         self.fast = self._fast(file, special)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def _fast(self, file: dict, special: dict[int, str]):
         model, split = file["model"], file["pre_tokenizer"]
         plain = file["normalizer"] is None and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": split.get("trim_offsets"), "use_regex": True}
@@ -228,7 +236,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             found = [np.frombuffer(d[:8], dtype="<i8")[0] for t in b.column(1).to_pylist() for d in {digest(c) for c in chunks(t.encode())}]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(found, dtype=np.int64))], ["k"])
 
-    repeated = repeated_keys(rows.mapInArrow(keys, "k long"), filter_bits)
+    repeated = repeated_keys(rows.mapInArrow(tidy(keys), "k long"), filter_bits)
 
     def cut_up(text: str) -> tuple[list[bytes], list[bytes], np.ndarray]:
         parts = chunks(text.encode())
@@ -279,7 +287,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ["id", "row", "pos", "digest", "body"],
             )
 
-    parts = cut(rows.mapInArrow(pieces, f"id {kind}, row binary, pos int, digest binary, body binary"))
+    parts = cut(rows.mapInArrow(tidy(pieces), f"id {kind}, row binary, pos int, digest binary, body binary"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
@@ -287,7 +295,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([piece(codec, c.as_py()) for c in b.column(1)], pa.binary())], ["digest", "body"])
 
     shared = parts.where("digest is not null and body is not null").groupBy("digest").agg(F.first("body").alias("body"))
-    encoded = shared.mapInArrow(once, "digest binary, body binary")
+    encoded = shared.mapInArrow(tidy(once), "digest binary, body binary")
     joined = parts.where("digest is not null").select("id", "row", "pos", "digest").join(encoded, "digest").select("id", "row", "pos", "body")
     ordered = joined.unionByName(parts.where("digest is null").select("id", "row", "pos", "body")).repartition("row").sortWithinPartitions("row", "pos")
 
@@ -311,8 +319,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         if row is not None:
             yield _ids_batch(pa.array([owner] * times, owner_type), [a.ids()] * times)
 
-    whole = ordered.mapInArrow(assemble, f"id {kind}, ids array<int>")
-    return rows.mapInArrow(alone, f"id {kind}, ids array<int>").unionByName(whole).withColumnRenamed("id", id_col)
+    whole = ordered.mapInArrow(tidy(assemble), f"id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(alone), f"id {kind}, ids array<int>").unionByName(whole).withColumnRenamed("id", id_col)
 
 
 def _ids_batch(owners: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
@@ -334,7 +342,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")
 
 
 def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
@@ -356,7 +364,7 @@ def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None =
             )
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

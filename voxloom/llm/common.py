@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Upper bound of one Arrow batch sent to a Python worker; long texts make batches of few rows.
-ARROW_BATCH_BYTES = "16m"
+ARROW_BATCH_BYTES = "4m"
+#: Bytes up to which a table may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Bits of a repeated-key filter: 2**27 bits are 16 MiB, whatever the size of the corpus.
 FILTER_BITS = 27
 _BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg
@@ -51,8 +56,29 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def if_small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
+    """A checkpointed ``df`` marked for broadcast if its rows, counted at ``row_bytes`` each, are below the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, giving free memory back to the system when its task ends: workers are reused by later stages."""
+
+    def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return with_end
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- words of a text as arrays

@@ -6,7 +6,7 @@ lie on one diagonal (document position minus item position) are a passage; it co
 slots are consistent: over the whole passage each value of the item stands for one value of the document and the other
 way round.  So a question whose numbers, names or units were exchanged is found, and a chance template match is not.
 
-The window table of the benchmark is broadcast while its size is below ``BROADCAST_BYTES``; a larger one is joined by
+The window table of the benchmark is broadcast while its size is below a bound; a larger one is joined by
 shuffle.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, if_small
 
 WINDOW = 8
 #: Windows on one diagonal that make a passage: 13 words in a row.  Shorter items need all their windows but one.
@@ -22,8 +22,6 @@ MIN_WINDOWS = 6
 #: Words other than placeholders that a window needs, and words that an item needs to be searched for.
 MIN_PLAIN = 4
 MIN_ITEM = 3
-#: Bytes up to which keys or windows may be broadcast, counted at 40 bytes a row.
-BROADCAST_BYTES = 32 << 20
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = (
@@ -59,11 +57,6 @@ def _windows(template_col: str, sizes: list[int]) -> list[str]:
     ]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (checkpointed) marked for broadcast if its rows, counted at 40 bytes, are below the bound."""
-    return F.broadcast(df) if df.count() * 40 <= BROADCAST_BYTES else df
-
-
 def _item_windows(bench: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame, list[int]]:
     items = bench.select(F.col(item_col).alias("item"), raw_tokens(F.col(text_col)).alias("item_raw")).withColumn("item_template", template(F.col("item_raw")))
     items = cut(items.where(F.size("item_raw") >= MIN_ITEM).distinct().withColumn("item_key", F.xxhash64("item", F.array_join("item_raw", " "))))
@@ -87,7 +80,7 @@ def passages(
     shaped = keyed.select("id", "key", template(raw_tokens(F.col("text"))).alias("template"))
     hits = None
     for part in _windows("template", sizes):
-        found = shaped.select("id", "key", F.posexplode(F.expr(part)).alias("dpos", "hash")).join(_small(of_items), "hash").select("id", "key", "item_key", "n_windows", "dpos", "ipos")
+        found = shaped.select("id", "key", F.posexplode(F.expr(part)).alias("dpos", "hash")).join(if_small(of_items), "hash").select("id", "key", "item_key", "n_windows", "dpos", "ipos")
         hits = found if hits is None else hits.unionByName(found)
     runs = (
         hits.distinct()
@@ -96,7 +89,7 @@ def passages(
         .where(F.col("windows") >= F.least(F.lit(min_windows), F.greatest(F.lit(1), F.col("n_windows") - 1)))
     )
     runs = cut(runs)
-    keys = _small(cut(runs.select(F.col("id").alias("kid"), F.col("key").alias("kkey")).distinct()))
+    keys = if_small(cut(runs.select(F.col("id").alias("kid"), F.col("key").alias("kkey")).distinct()))
     # the values of the slots are looked up in the flagged texts only
     texts = keyed.join(keys, F.col("id").eqNullSafe(F.col("kid")) & F.col("key").eqNullSafe(F.col("kkey")), "left_semi").dropDuplicates(["id", "key"])
     texts = texts.select(F.col("id").alias("tid"), F.col("key").alias("tkey"), raw_tokens(F.col("text")).alias("raw"))
@@ -137,4 +130,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """``docs`` without the rows that hold a passage of a benchmark item; all columns are kept."""
     keys = cut(passages(docs, bench, id_col, text_col, **options).select(F.col("id").alias("__kid"), F.col("key").alias("__kkey")).distinct())
     own = F.xxhash64(F.col(text_col).cast("string"))
-    return docs.join(_small(keys), F.col(id_col).eqNullSafe(F.col("__kid")) & (own == F.col("__kkey")), "left_anti")
+    return docs.join(if_small(keys), F.col(id_col).eqNullSafe(F.col("__kid")) & (own == F.col("__kkey")), "left_anti")

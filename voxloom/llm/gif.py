@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 
 WIDTH = 64
 MAX_ROWS = 65535
@@ -288,7 +288,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -310,7 +310,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1)] + [pa.array([v], t) for v, t in zip(row, types)], names)
 
     schema = f"`{id_col}` {kind}, frame int, start_ms long, delay_ms int, width int, height int, disposal int, transparent int, histogram array<bigint>, pixels binary"
-    return media.select(id_col, media_col).mapInArrow(run, schema)
+    return media.select(id_col, media_col).mapInArrow(tidy(run), schema)
 
 
 def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
@@ -344,7 +344,7 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)] + [pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
 
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select(id_col, bytes_col, media_col).mapInArrow(run, schema)
+    return media.select(id_col, bytes_col, media_col).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

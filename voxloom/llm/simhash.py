@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, small_batches
+from .common import cut, if_small, small_batches, tidy
 
 SEED = 42
 RADIUS = 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- multi-index hashing
@@ -186,7 +186,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     one = found.groupBy("component_id").agg(F.count(F.expr(f"case when {id_col} = component_id then 1 end")).alias("own"), F.min("fingerprint").alias("fp"))
     one = cut(one)
     keep = one.where("component_id is not null").select(F.col("component_id").alias("__keep"))
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+    kept = docs.join(if_small(keep), F.col(id_col) == F.col("__keep"), "left_semi")
     if one.where("own > 1 or component_id is null").isEmpty():
         return kept
     names = docs.columns

@@ -28,14 +28,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, cut, grams, repeated_keys, sliding, small_batches, word_hashes
+from .common import FILTER_BITS, cut, grams, repeated_keys, sliding, small_batches, tidy, word_hashes
 from .fm_index import Shard
 
 WINDOW = 50
 #: Words of one FM-index: with its words as objects and 4-byte ranks of seven lengths a shard takes about 60 MB.
 SHARD_WORDS = 1 << 18
 #: Different segments of one anchor that an index may hold.
-HOT = 1024
+HOT = 4096
 
 
 def _geometry(window: int) -> tuple[int, int]:
@@ -74,7 +74,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, window: int, filter_bits:
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)).view(np.int64))], ["k"])
 
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return repeated_keys(usable.select(F.col(text_col).cast("string").alias("text")).mapInArrow(keys, "k long"), filter_bits)
+    return repeated_keys(usable.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(keys), "k long"), filter_bits)
 
 
 def _may_repeat(repeated, window: int):
@@ -120,7 +120,7 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
 
         return run
 
-    distinct = held.mapInArrow(segments(True), "anchor long, seg binary, doc long").groupBy("anchor", "seg").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("times"))
+    distinct = held.mapInArrow(tidy(segments(True)), "anchor long, seg binary, doc long").groupBy("anchor", "seg").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct)
     hot = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_limit).select("anchor"))
     is_hot = not hot.isEmpty()
@@ -141,10 +141,10 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
 
     # keys are dealt before sorting; a partition holds several shards, one at a time in memory
     out = "anchor long, sh binary, first_window int, last_window int, owner long"
-    found = cold.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "seg", "doc", "times").mapInArrow(search, out)
+    found = cold.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "seg", "doc", "times").mapInArrow(tidy(search), out)
     if is_hot:
         found = found.unionByName(_hot_windows(distinct.join(hot, "anchor", "left_semi"), window))
-    occurrences = held.mapInArrow(segments(False), "anchor long, sh binary, row long, doc long, start int")
+    occurrences = held.mapInArrow(tidy(segments(False)), "anchor long, sh binary, row long, doc long, start int")
     return (
         occurrences.join(found, ["anchor", "sh"])
         .where("owner < doc")
@@ -199,7 +199,7 @@ def _hot_windows(distinct: DataFrame, window: int) -> DataFrame:
                 types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["anchor", "sh", "first_window", "wh", "doc"])
 
-    windows = distinct.select("anchor", "seg", "doc").mapInArrow(run, "anchor long, sh binary, first_window int, wh binary, doc long")
+    windows = distinct.select("anchor", "seg", "doc").mapInArrow(tidy(run), "anchor long, sh binary, first_window int, wh binary, doc long")
     owners = windows.groupBy("wh").agg(F.min("doc").alias("owner"))
     return windows.join(owners, "wh").select("anchor", "sh", "first_window", F.col("first_window").alias("last_window"), "owner")
 
@@ -258,7 +258,7 @@ def digests(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string"
-    return whole.mapInArrow(run, schema).unionByName(held.select("id", "text", "__spans").mapInArrow(run, schema)).withColumnRenamed("id", id_col)
+    return whole.mapInArrow(tidy(run), schema).unionByName(held.select("id", "text", "__spans").mapInArrow(tidy(run), schema)).withColumnRenamed("id", id_col)
 
 
 def deduplicate(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import Codec, default_vocabulary
-from .common import cut, small_batches
+from .common import cut, small_batches, tidy
 
 #: Lengths of one block of the two-level prefix sums.
 BLOCK = 1024
@@ -31,7 +31,7 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
             n = [len(codec.encode(t or "")) // codec.dtype.itemsize for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(n, dtype=np.int64))], ["n_tokens"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "n_tokens long")
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

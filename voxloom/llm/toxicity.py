@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LETTERS, small_batches, word_hashes
+from .common import LETTERS, small_batches, tidy, word_hashes
 
 #: Chain of label columns, in order; the last one is what ``reject`` acts on.
 CATEGORIES = ("quality", "toxic")
@@ -188,7 +188,7 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], ["id", *names, "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = texts.mapInArrow(run, f"id {kind}, {', '.join(f'{n} int' for n in names)}, f array<int>").toArrow()
+    made = texts.mapInArrow(tidy(run), f"id {kind}, {', '.join(f'{n} int' for n in names)}, f array<int>").toArrow()
     best: dict = {}
     for i, *y, f in zip(*(made.column(c).to_pylist() for c in made.column_names)):
         if i not in best or f < best[i][1]:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {', '.join(f'{n} double' for n in names)}, `{chain.categories[-1]}` boolean"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def flag(chain: Chain, spark, text_col: str = "text") -> Column:
