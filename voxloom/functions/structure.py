@@ -1,0 +1,128 @@
+"""Sentences, chunks and word maps."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types
+
+ABBREVIATIONS = {"dr", "mr", "mrs", "ms", "st", "vs", "etc", "prof", "inc", "ltd", "e.g", "i.e", "no", "fig"}
+_END = re.compile(r"[.!?…]+[\"')\]”’]*\s+")
+
+
+def sentences(text: str) -> list[str]:
+    """Lossless split after sentence ends; the pieces' concatenation is the text; none after an abbreviation."""
+    out, start = [], 0
+    for m in _END.finditer(text):
+        word = re.search(r"([\w.]+)\.$", text[start : m.start() + 1])
+        if text[m.start()] == "." and word and (word[1].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Za-z]", word[1])):
+            continue
+        out.append(text[start : m.end()])
+        start = m.end()
+    return out + [text[start:]] if start < len(text) else out
+
+
+def split_and_merge(text: str, limit: int) -> list[str]:
+    """Pack sentences greedily to pieces of up to ``limit`` characters; longer ones split at marks, spaces, anywhere."""
+    pieces: list[str] = []
+    for s in sentences(text):
+        while len(s) > limit:
+            cut = max((m.end() for m in re.finditer(r"[,;:]\s*", s[:limit])), default=0) or s.rfind(" ", 0, limit) + 1 or limit
+            pieces.append(s[:cut])
+            s = s[cut:]
+        pieces.append(s)
+    out: list[str] = []
+    for p in pieces:
+        if out and len(out[-1]) + len(p) <= limit:
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+def stable_sentence_end(text: str) -> int:
+    """Offset after the first sentence that later text cannot extend; 0 if there is none or a tag is open."""
+    for m in re.finditer(r"[!?]+[\"')\]]*|[.…]+[\"')\]]*(?=\s)", text):
+        head = text[: m.end()]
+        if head.rfind("[") <= head.rfind("]"):
+            return m.end()
+    return 0
+
+
+def last_sentence_end(text: str) -> int:
+    ends = [m.end() for m in re.finditer(r"[.!?…]+[\"')\]]*", text)]
+    return ends[-1] if ends else 0
+
+
+def split_clauses(c: Column, limit: int = 160, least: int = 24) -> Column:
+    """Sentences packed with single spaces to ``limit`` characters; a short tail joins the piece before it.
+
+    The delimiter takes closing quotes with it.  A longer sentence is packed from its words.
+    """
+    parts = F.filter(F.split(F.trim(c), r"(?<=[.!?…])[\"')\]]*\s+"), lambda s: F.length(s) > 0)
+    units = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(F.split(s, r"\s+"))))
+    empty = F.expr("cast(array() as array<string>)")
+    packed = F.aggregate(
+        units,
+        empty,
+        lambda a, u: F.when((F.size(a) > 0) & (F.length(F.try_element_at(a, F.lit(-1))) + 1 + F.length(u) <= limit), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", F.try_element_at(a, F.lit(-1)), u)))).otherwise(F.concat(a, F.array(u))),
+    )
+    short = (F.size(packed) > 1) & (F.length(F.try_element_at(packed, F.lit(-1))) < least)
+    tail = F.concat_ws(" ", F.try_element_at(packed, F.lit(-2)), F.try_element_at(packed, F.lit(-1)))
+    return F.when(short, F.concat(F.slice(packed, 1, F.size(packed) - 2), F.array(tail))).otherwise(packed)
+
+
+def similarity(a: str, b: str) -> float:
+    """Indel similarity: twice the longest common subsequence over both lengths."""
+    if not a and not b:
+        return 1.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b))
+
+
+def word_map(written: list[str], spoken: list[str]) -> list[list[str]]:
+    """Spoken words of each written word by global alignment (match 2, near match 2 * similarity, else -1; gap -1).
+
+    Words before the first match belong to the first written word, others to the one before them.
+    """
+    n, m = len(written), len(spoken)
+    best = [[-j for j in range(m + 1)]] + [[-i] + [0] * m for i in range(1, n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            a, b = written[i - 1].lower(), spoken[j - 1].lower()
+            s = 2.0 if a == b else similarity(a, b)
+            s = s if a == b else (s * 2 if s > 0.5 else -1.0)
+            best[i][j] = max(best[i - 1][j - 1] + s, best[i - 1][j] - 1, best[i][j - 1] - 1)
+    own: list[list[str]] = [[] for _ in written]
+    i, j, pending = n, m, []
+    while j > 0 and i > 0:
+        a, b = written[i - 1].lower(), spoken[j - 1].lower()
+        s = 2.0 if a == b else similarity(a, b)
+        s = s if a == b else (s * 2 if s > 0.5 else -1.0)
+        if best[i][j] == best[i - 1][j - 1] + s:
+            own[i - 1] = [spoken[j - 1], *pending]
+            pending, i, j = [], i - 1, j - 1
+        elif best[i][j] == best[i - 1][j] - 1:
+            i -= 1
+        else:
+            pending.insert(0, spoken[j - 1])
+            j -= 1
+    left = spoken[:j] + pending
+    if left and own:
+        own[0] = left + own[0]
+    return own
+
+
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def sentence_array(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else sentences(t))
+
+
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def chunk_array(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else split_and_merge(t, int(k)) for t, k in zip(texts, limits)], dtype=object)

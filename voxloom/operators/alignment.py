@@ -1,0 +1,97 @@
+"""CTC forced alignment and confidence-gated commits; one utterance is one row."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+BLANK = 0
+
+
+def forced_align(log_probs: np.ndarray, targets: list[int], blank: int = BLANK) -> np.ndarray:
+    """Label of every frame on the best path over blanks and targets.
+
+    Skipping a blank is possible between different labels only.  Of equal paths: a skip only if strictly best, else the
+    previous state only if strictly better than staying.  Raises if the targets hold a blank or don't fit the frames.
+    """
+    frames, n = len(log_probs), len(targets)
+    repeats = sum(a == b for a, b in zip(targets, targets[1:]))
+    if blank in targets:
+        raise ValueError("targets contain the blank")
+    if frames < n + repeats:
+        raise ValueError(f"{frames} frames are too few for {n} targets with {repeats} repeats")
+    states = np.full(2 * n + 1, blank)
+    states[1::2] = targets
+    skip = np.zeros(len(states), dtype=bool)
+    skip[3::2] = states[3::2] != states[1:-2:2]
+    score = np.full(len(states), -np.inf)
+    score[0] = log_probs[0, blank]
+    if n:
+        score[1] = log_probs[0, states[1]]
+    back = np.zeros((frames, len(states)), dtype=np.int8)
+    for t in range(1, frames):
+        prev = np.concatenate([[-np.inf], score[:-1]])
+        prev2 = np.where(skip, np.concatenate([[-np.inf] * min(2, len(score)), score[:-2]])[: len(score)], -np.inf)
+        best, move = score.copy(), np.zeros(len(states), dtype=np.int8)
+        better = prev > best
+        best[better], move[better] = prev[better], 1
+        better = prev2 > np.maximum(score, prev)
+        best[better], move[better] = prev2[better], 2
+        score, back[t] = best + log_probs[t, states], move
+    at = len(states) - 1
+    if n and score[at - 1] > score[at]:
+        at -= 1
+    path = np.empty(frames, dtype=np.int64)
+    for t in range(frames - 1, -1, -1):
+        path[t] = states[at]
+        at -= back[t, at]
+    return path
+
+
+def word_spans(log_probs: np.ndarray, words: list[list[int]], blank: int = BLANK) -> list[tuple[int, int, float]]:
+    """First frame, last frame and mean log-probability of each word; a word without letters has (0, 0, NaN)."""
+    targets = [x for w in words for x in w]
+    path = forced_align(log_probs, targets, blank)
+    # the k-th target's frames: runs of labels, where a repeated label needs a blank between
+    hits, k, previous = [[] for _ in targets], -1, blank
+    for t, label in enumerate(path.tolist()):
+        if label != blank:
+            if label != previous:
+                k += 1
+            hits[k].append(t)
+        previous = label
+    out, at = [], 0
+    for w in words:
+        own = [t for h in hits[at : at + len(w)] for t in h]
+        at += len(w)
+        out.append((own[0], own[-1], float(np.mean([log_probs[t, path[t]] for t in own]))) if own else (0, 0, float("nan")))
+    return out
+
+
+def align(utterances: DataFrame) -> DataFrame:
+    """Rows (utt, log_probs array<array<float>>, words array<array<int>>) to rows (utt, word, first, last, log_p)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for utt, lp, words in zip(p.utt, p.log_probs, p.words):
+                found = word_spans(np.array([np.asarray(x, dtype=float) for x in lp]), [list(map(int, w)) for w in words])
+                rows += [(utt, i, a, b, c) for i, (a, b, c) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["utt", "word", "first", "last", "log_p"])
+
+    return utterances.select("utt", "log_probs", "words").mapInPandas(run, "utt long, word int, first int, last int, log_p double")
+
+
+def confirmed(rounds: DataFrame, tolerance_ms: int = 100) -> DataFrame:
+    """Rows (utt, round, word, end_ms): the leading words that two consecutive rounds place within the tolerance.
+
+    A word is committed in the first round that confirms it and all before it.
+    """
+    before = rounds.select("utt", (F.col("round") + 1).alias("round"), "word", F.col("end_ms").alias("was"))
+    near = F.coalesce(F.abs(F.col("end_ms") - F.col("was")) <= tolerance_ms, F.lit(False))
+    upto = Window.partitionBy("utt", "round").orderBy("word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = rounds.join(before, ["utt", "round", "word"], "left").withColumn("ok", F.min(near).over(upto)).where("ok")
+    return lead.groupBy("utt", "word").agg(F.min("round").alias("round"), F.min_by("end_ms", "round").alias("end_ms"))
