@@ -32,8 +32,8 @@ from .common import FILTER_BITS, cut, grams, repeated_keys, sliding, small_batch
 from .fm_index import Shard
 
 WINDOW = 50
-#: Words of one FM-index: with its words as objects and 4-byte ranks of seven lengths a shard takes about 60 MB.
-SHARD_WORDS = 1 << 18
+#: Words of one FM-index: with its words as objects and 4-byte ranks of seven lengths a shard takes about 120 MB.
+SHARD_WORDS = 1 << 19
 #: Different segments of one anchor that an index may hold.
 HOT = 4096
 
