@@ -61,6 +61,32 @@ def test_against_brute_force(spark, window, options):
     assert sum(w[2] for w in want) > 1000
 
 
+ADAPTIVE = {
+    "spark.sql.shuffle.partitions": "7",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+}
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_one_shard_per_anchor_under_adaptive_joins(spark, broadcast):
+    """Joins re-planned at run time (local reads, split partitions) leave an anchor's segments together."""
+    rows = data(12, n=400)
+    conf = {**ADAPTIVE, "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+        got = sd.digests(df, window=12, hot_limit=12).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(w[:4] for w in brute(rows, 12))
+
+
 def test_deduplicate(spark):
     rows = data(50)
     df = spark.createDataFrame(rows, SCHEMA)

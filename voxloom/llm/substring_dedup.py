@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, cut, grams, repeated_keys, sliding, small_batches, tidy, word_hashes
+from .common import FILTER_BITS, cut, grams, if_small, repeated_keys, sliding, small_batches, tidy, word_hashes
 from .fm_index import Shard
 
 WINDOW = 50
@@ -124,6 +124,7 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
     distinct = cut(distinct)
     hot = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_limit).select("anchor"))
     is_hot = not hot.isEmpty()
+    hot = if_small(hot)
     cold = distinct.join(hot, "anchor", "left_anti") if is_hot else distinct
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +140,11 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
                 words += row[1].count(b" ") + 1
         yield from _search_shard(pending, window)
 
-    # keys are dealt before sorting; a partition holds several shards, one at a time in memory
+    # A partition holds several shards, one at a time in memory.  The key is dealt by its hash: a join that is itself
+    # partitioned by the anchor would make Spark drop repartition("anchor"), and its run-time re-planning (local reads,
+    # split partitions) then scatters an anchor over tasks.
     out = "anchor long, sh binary, first_window int, last_window int, owner long"
-    found = cold.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "seg", "doc", "times").mapInArrow(tidy(search), out)
+    found = cold.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor").select("anchor", "seg", "doc", "times").mapInArrow(tidy(search), out)
     if is_hot:
         found = found.unionByName(_hot_windows(distinct.join(hot, "anchor", "left_semi"), window))
     occurrences = held.mapInArrow(tidy(segments(False)), "anchor long, sh binary, row long, doc long, start int")
