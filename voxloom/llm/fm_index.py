@@ -7,7 +7,7 @@ advance in step.  Matches are capped at ``threshold`` words: intervals of longer
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -53,20 +53,21 @@ class _Wavelet:
 class Shard:
     """Index of word sequences, each with an owner; finds where ``threshold`` words in a row occur, and whose they are."""
 
-    def __init__(self, sequences: Sequence[Sequence[bytes]], owners: Sequence[int], threshold: int):
+    def __init__(self, sequences: Iterable[Sequence[bytes]], owners: Sequence[int], threshold: int):
         self.threshold = t = threshold
         self.ids: dict[bytes, int] = {}
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        # each sequence ends in a separator of its own, so no match runs across
-        separators = len(sequences)
         new = self.ids
-        flat = [new.setdefault(w, len(new)) for s in sequences for w in s]
+        # words become numbers as they come, so that the word objects of a shard need not be held together
+        self._own = [np.array([new.setdefault(w, len(new)) for w in s], dtype=np.int32) for s in sequences]
+        lengths = np.array([len(s) for s in self._own], dtype=np.int64)
+        # each sequence ends in a separator of its own, so no match runs across
+        separators = len(self._own)
         ends = np.cumsum(lengths + 1) - 1
-        text = np.empty(int(lengths.sum()) + separators, dtype=np.int64)
+        text = np.empty(int(lengths.sum()) + separators, dtype=np.int32)
         is_word = np.ones(len(text), dtype=bool)
         is_word[ends] = False
-        text[is_word] = np.array(flat, dtype=np.int64) + separators
-        text[ends] = np.arange(separators)
+        text[is_word] = np.concatenate(self._own) + np.int32(separators) if separators else 0
+        text[ends] = np.arange(separators, dtype=np.int32)
         self.first_word, self.n = separators, len(text)
         size = separators + max(1, len(new))
 
@@ -141,13 +142,18 @@ class Shard:
             high += 1
         return low, high, length
 
-    def statistics(self, sequences: Sequence[Sequence[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def statistics(self, sequences: Sequence[Sequence[bytes]] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For every position of every sequence: the longest match from there (up to the threshold), and, where it
-        reaches the threshold, the smallest owner of the matched words (else -1)."""
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
+        reaches the threshold, the smallest owner of the matched words (else -1).  Without ``sequences``: of the
+        indexed ones."""
+        if sequences is None:
+            numbered = self._own
+        else:
+            find = self.ids.get
+            numbered = [np.array([find(w, -1 - self.first_word) for w in s], dtype=np.int64) for s in sequences]
+        lengths = np.array([len(s) for s in numbered], dtype=np.int64)
         by_length = np.argsort(-lengths, kind="stable")
-        find = self.ids.get
-        symbols = [np.array([find(w, -1 - self.first_word) for w in sequences[i]], dtype=np.int64) + self.first_word for i in by_length]
+        symbols = [numbered[i].astype(np.int64) + self.first_word for i in by_length]
         match = [np.zeros(k, dtype=np.int64) for k in lengths]
         owner = [np.full(k, -1, dtype=np.int64) for k in lengths]
         m = len(symbols)

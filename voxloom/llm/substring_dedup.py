@@ -32,7 +32,7 @@ from .common import FILTER_BITS, cut, grams, if_small, repeated_keys, sliding, s
 from .fm_index import Shard
 
 WINDOW = 50
-#: Words of one FM-index: with its words as objects and 4-byte ranks of seven lengths a shard takes about 120 MB.
+#: Words of one FM-index: with 4-byte ranks of seven lengths a shard takes about 70 MB.
 SHARD_WORDS = 1 << 19
 #: Different segments of one anchor that an index may hold.
 HOT = 4096
@@ -164,9 +164,8 @@ def _search_shard(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     rows = [r for r in rows if alone[r[0]] > 1]
     if not rows:
         return
-    sequences = [r[1].split(b" ") for r in rows]
-    shard = Shard(sequences, [r[2] for r in rows], window)
-    match, owner = shard.statistics(sequences)
+    shard = Shard((r[1].split(b" ") for r in rows), [r[2] for r in rows], window)
+    match, owner = shard.statistics()
     anchors, hashes, firsts, lasts, owners = [], [], [], [], []
     for (anchor, seg, _, _), m, o in zip(rows, match, owner):
         at = np.flatnonzero(m >= window)
