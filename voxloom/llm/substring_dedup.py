@@ -32,8 +32,8 @@ from .common import FILTER_BITS, cut, grams, if_small, repeated_keys, sliding, s
 from .fm_index import Shard
 
 WINDOW = 50
-#: Words of one FM-index: with 4-byte ranks of seven lengths a shard takes about 70 MB.
-SHARD_WORDS = 1 << 19
+#: Words of one FM-index: with 4-byte ranks of seven lengths a shard takes about 40 MB.
+SHARD_WORDS = 1 << 18
 #: Different segments of one anchor that an index may hold.
 HOT = 4096
 
