@@ -95,3 +95,24 @@ def confirmed(rounds: DataFrame, tolerance_ms: int = 100) -> DataFrame:
     upto = Window.partitionBy("utt", "round").orderBy("word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lead = rounds.join(before, ["utt", "round", "word"], "left").withColumn("ok", F.min(near).over(upto)).where("ok")
     return lead.groupBy("utt", "word").agg(F.min("round").alias("round"), F.min_by("end_ms", "round").alias("end_ms"))
+
+
+def clamp_forward(words: DataFrame, utt: str, order: str, floor: int) -> DataFrame:
+    """``words`` with ``start`` and ``stop`` moved forward: none begins before ``floor`` or before the end of an earlier one."""
+    before = Window.partitionBy(utt).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.coalesce(F.max(F.greatest("start", "stop")).over(before), F.lit(floor)), F.lit(floor))
+    moved = words.withColumn("__from", reached).withColumn("start", F.greatest("start", "__from"))
+    return moved.withColumn("stop", F.greatest("stop", "start")).drop("__from")
+
+
+def word_frames(words: DataFrame, frames: DataFrame) -> DataFrame:
+    """(utt, word, start, stop, score) of words over states first..last, from frames (utt, frame, state, log_p).
+
+    The range is joined by its states, an equality join; frames without a state belong to no word; a word without
+    frames gets 0, 0 and a null score.
+    """
+    states = words.select("utt", "word", F.explode(F.sequence("first", "last")).alias("state"))
+    own = states.join(frames.where("state is not null"), ["utt", "state"]).groupBy("utt", "word")
+    found = own.agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop"), F.avg("log_p").alias("score"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return words.select("utt", "word").join(found, ["utt", "word"], "left").select("utt", "word", zero("start"), zero("stop"), "score")

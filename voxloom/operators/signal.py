@@ -104,3 +104,35 @@ def plan_windows(n: Column, emit: int = 31, look: int = 9, back: int = 15) -> Co
             F.greatest(F.lit(0), i - back).alias("start"), F.least(n, i + emit + look).alias("stop"), i.alias("emit_from"), F.least(n, i + emit).alias("emit_to")
         ),
     )
+
+
+def mono(grid: Column) -> Column:
+    """Mean over the shorter axis of a 2-D array: (samples, channels) and (channels, samples) both give samples."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(v)
+    wide = F.transform(F.sequence(F.lit(0), F.size(grid[0]) - 1), lambda i: mean(F.transform(grid, lambda row: F.get(row, i))))
+    empty = F.expr("cast(array() as array<double>)")
+    return F.when((F.size(grid) == 0) | (F.size(F.get(grid, F.lit(0))) == 0), empty).when(F.size(grid) >= F.size(F.get(grid, F.lit(0))), F.transform(grid, mean)).otherwise(wide)
+
+
+def trim_leading(wav: Column, seconds: Column, rate: int) -> Column:
+    """Without the first ``seconds``; the count of samples is rounded, halves to the even number."""
+    drop = F.least(F.greatest(F.bround(seconds * rate, 0), F.lit(0)), F.size(wav)).cast("int")
+    return F.slice(wav, drop + 1, F.size(wav) - drop)
+
+
+def stretch(values: Column, n: Column) -> Column:
+    """Linear interpolation to ``n`` values; samples stand in the middle of their cells, the ends are held."""
+    size = F.size(values)
+    at = lambda i: F.greatest(F.lit(0.0), (i + 0.5) * size / n - 0.5)
+    low = lambda i: F.floor(at(i)).cast("int")
+    value = lambda k: F.get(values, F.least(k, size - 1)).cast("double")
+    return F.when((size > 0) & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), lambda i: value(low(i)) + (at(i) - low(i)) * (value(low(i) + 1) - value(low(i)))))
+
+
+def step_percentile(wav: Column, share: float) -> Column:
+    """Interpolated percentile of the absolute steps between neighbours; 0 below two samples."""
+    steps = F.array_sort(F.zip_with(F.slice(wav, 2, F.greatest(F.size(wav) - 1, F.lit(0))), F.slice(wav, 1, F.greatest(F.size(wav) - 1, F.lit(0))), lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    at = (F.size(steps) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    value = F.get(steps, low)
+    return F.when(F.size(wav) < 2, 0.0).otherwise(value + (at - low) * (F.coalesce(F.get(steps, low + 1), value) - value))

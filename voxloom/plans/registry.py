@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import spoken, structure, text as T
-from ..operators import alignment, corpus, sampling, signal, vocab
+from ..operators import alignment, checks, corpus, measures, sampling, signal, vocab
 from ..streaming import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,6 +321,119 @@ def pcm(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", signal.pcm16(F.col("embedding")).alias("pcm"))
 
 
+# ---------------------------------------------------------------- checks and measures
+
+_NAME = "lang || '/' || doc_id || CASE source WHEN 'web' THEN '.WAV' WHEN 'books' THEN '.txt' ELSE '.mp3' END"
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(regexp_replace(text, '\\s', ' ', 'g')) = '' THEN 'blank text' WHEN length(text) > 5000 THEN 'text too long'
+WHEN turn * 9000 NOT BETWEEN 8000 AND 48000 THEN 'sample rate' WHEN role = 'system' THEN 'speed' WHEN conv_id % 2 = 0 AND turn = 2 THEN 'voice and reference' END AS problem FROM conversations""")
+def request_problems(spark, sf_dir):
+    given = F.when(F.col("conv_id") % 2 == 0, F.lit("voice"))
+    reference = F.when(F.col("turn") == 2, F.lit("clip"))
+    speed = F.when(F.col("role") == "system", 1.5).otherwise(1.0)
+    problem = checks.request_problem(F.col("text"), F.col("turn") * 9000, speed, given, reference)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", problem.alias("problem"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars / 15 < 1 THEN 'too short' WHEN n_chars / 15 > 20 AND source = 'web' THEN 'too long' WHEN n_chars / 15 > 20 THEN 'cut' ELSE 'whole' END AS fate FROM documents""")
+def reference_fate(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", checks.reference_fate(F.col("n_chars") / 15, F.coalesce(F.col("source") == "web", F.lit(False))).alias("fate"))
+
+
+@query(f"""SELECT doc_id, file_name FROM (SELECT doc_id, text, {_NAME} AS file_name FROM documents)
+WHERE trim(text) <> '' AND (file_name LIKE '%.WAV' OR file_name LIKE '%.mp3') AND doc_id IN (SELECT doc_id FROM labels)""")
+def preset_manifest(spark, sf_dir):
+    manifest = _table(spark, sf_dir, "documents").withColumn("file_name", F.expr(_NAME))
+    files = manifest.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return checks.presets(manifest, files).select("doc_id", "file_name")
+
+
+@query("""SELECT source, list_filter([CASE WHEN max(n_chars) > 6553.6 THEN 'longest row is close to the limit' END, CASE WHEN count(*) FILTER (lang = 'de') > 0 THEN 'names without a recording' END,
+CASE WHEN count(*) FILTER (lang = 'xx') > 0 THEN 'names of several recordings' END, CASE WHEN count(*) FILTER (lang = 'fr') = 0 THEN 'nothing held out' END], lambda x: x IS NOT NULL) AS notes FROM documents GROUP BY source""")
+def report_notes(spark, sf_dir):
+    n = lambda lang: F.count(F.when(F.col("lang") == lang, 1)).alias(lang)
+    rows = _table(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("longest"), n("de"), n("xx"), n("fr"), F.count(F.lit(1)).alias("rows"))
+    notes = checks.report_notes(F.col("longest"), 8192, F.col("de"), F.col("xx"), F.col("rows"), F.col("fr"), True, False)
+    return rows.select("source", notes.alias("notes"))
+
+
+@query("""WITH m AS (SELECT *, coalesce(sum((event_type = 'purchase')::int) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS sentence FROM events)
+SELECT user_id, sentence, coalesce(string_agg(props, ' ' ORDER BY event_id) FILTER (event_type <> 'purchase'), '') AS text,
+coalesce(list_sort(list(DISTINCT event_type) FILTER (event_type <> 'purchase')), []) AS kinds FROM m GROUP BY ALL HAVING bool_or(event_type = 'purchase')""")
+def labelled_sentences(spark, sf_dir):
+    return measures.sentences(_table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "props", "purchase")
+
+
+@query("SELECT role, round(avg((lower(trim(text)) = lower(trim(CASE WHEN turn % 3 = 0 THEN '  ' || lower(text) || '  ' ELSE text || '.' END)))::int), 6) AS accuracy FROM conversations GROUP BY role")
+def spoken_accuracy(spark, sf_dir):
+    wanted = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.lower("text"), F.lit("  "))).otherwise(F.concat("text", F.lit(".")))
+    return _table(spark, sf_dir, "conversations").groupBy("role").agg(F.round(measures.accuracy(F.col("text"), wanted), 6).alias("accuracy"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, value, event_id * 0.25 AS arrival FROM events),
+h AS (SELECT *, min(arrival) OVER (PARTITION BY user_id) AS first, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM c)
+SELECT user_id, min(first)::double AS first, max(arrival)::double AS closed, round(sum(value), 6) AS audio, round(min(had - (arrival - first)), 6) AS buffer_floor,
+round(CASE WHEN max(arrival) > min(first) THEN sum(value) / (max(arrival) - min(first)) END, 6) AS realtime FROM h GROUP BY user_id""")
+def delivery_measures(spark, sf_dir):
+    chunks = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * F.lit(0.25)).alias("arrival"), F.col("value").alias("seconds"))
+    out = measures.delivery(chunks, "user_id", ["event_id"])
+    return out.select("user_id", "first", "closed", *[F.round(c, 6).alias(c) for c in ("audio", "buffer_floor", "realtime")])
+
+
+@query("""SELECT vec_id, list_transform(range(1, 33), lambda i: round((embedding[i]::double + embedding[i + 32]::double) / 2, 9)) AS channels_first,
+list_transform(range(0, 32), lambda i: round((embedding[2 * i + 1]::double + embedding[2 * i + 2]::double) / 2, 9)) AS samples_first FROM embeddings""")
+def mono_mix(spark, sf_dir):
+    wide = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    tall = F.transform(F.expr("sequence(0, 31)"), lambda i: F.slice("embedding", 2 * i + 1, F.lit(2)))
+    show = lambda c: F.transform(signal.mono(c), lambda x: F.round(x, 9))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", show(wide).alias("channels_first"), show(tall).alias("samples_first"))
+
+
+@query("SELECT vec_id, embedding[least(round_even(vec_id % 70 / 2, 0), 64)::int + 1:] AS rest FROM embeddings")
+def trim_leading(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", signal.trim_leading(F.col("embedding"), F.col("vec_id") % 70 / 40, 20).alias("rest"))
+
+
+@query("""WITH p AS (SELECT i, greatest(0, (i + 0.5::double) * 64 / 102 - 0.5) AS x FROM range(0, 102) t(i)),
+v AS (SELECT vec_id, i, embedding[floor(x)::int + 1]::double AS a, embedding[least(floor(x)::int + 1, 63) + 1]::double AS b, x - floor(x) AS f FROM embeddings, p)
+SELECT vec_id, list(round(a + f * (b - a), 9) ORDER BY i) AS stretched FROM v GROUP BY vec_id""")
+def stretch_frames(spark, sf_dir):
+    out = F.transform(signal.stretch(F.col("embedding"), F.lit(102)), lambda x: F.round(x, 9))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", out.alias("stretched"))
+
+
+@query("""SELECT vec_id, round(list_aggregate(list_transform(range(1, 64), lambda i: abs(embedding[i + 1]::double - embedding[i]::double)), 'quantile_cont', 0.999), 9) AS step_p999,
+list_max(list_transform(embedding, lambda x: abs(x))) < 0.3 AS silent FROM embeddings""")
+def step_percentile(spark, sf_dir):
+    wav = F.col("embedding")
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(signal.step_percentile(wav, 0.999), 9).alias("step_p999"), signal.is_silent(wav, 0.3).alias("silent"))
+
+
+_PLACED = "SELECT user_id AS utt, event_id AS word, (event_id // 4 % 97)::int AS start, (event_id // 4 % 97 + event_id % 5)::int AS stop FROM events"
+
+
+@query(f"""WITH w AS ({_PLACED}), r AS (SELECT *, greatest(5, coalesce(max(greatest(start, stop)) OVER (PARTITION BY utt ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 5)) AS f FROM w)
+SELECT utt, word, greatest(start, f) AS start, greatest(stop, start, f) AS stop FROM r""")
+def clamp_words(spark, sf_dir):
+    at = F.expr("event_id div 4 % 97").cast("int")
+    words = _table(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), F.col("event_id").alias("word"), at.alias("start"), (at + F.col("event_id") % 5).cast("int").alias("stop"))
+    return alignment.clamp_forward(words, "utt", "word", 5)
+
+
+@query("""WITH f AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, CASE WHEN event_type <> 'error' THEN (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 END AS state, -value / 40 AS log_p FROM events),
+w AS (SELECT utt, word, word * 3 AS first, word * 3 + 1 AS last FROM (SELECT DISTINCT user_id AS utt FROM events), range(0, 4) t(word))
+SELECT utt, word, coalesce(min(frame), 0) AS start, coalesce(max(frame) + 1, 0) AS stop, round(avg(log_p), 9) AS score FROM w LEFT JOIN f USING (utt) WHERE state BETWEEN first AND last GROUP BY utt, word
+UNION ALL SELECT utt, word, 0, 0, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.utt = w.utt AND state BETWEEN first AND last)""")
+def word_frames(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    frame = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    frames = events.withColumn("frame", frame).select(F.col("user_id").alias("utt"), "frame", F.when(F.col("event_type") != "error", F.expr("frame div 2")).alias("state"), (-F.col("value") / 40).alias("log_p"))
+    words = events.select(F.col("user_id").alias("utt")).distinct().select("utt", F.explode(F.expr("sequence(0L, 3L)")).alias("word"))
+    words = words.withColumn("first", F.col("word") * 3).withColumn("last", F.col("word") * 3 + 1)
+    return alignment.word_frames(words, frames).withColumn("score", F.round("score", 9))
+
+
 # ---------------------------------------------------------------- beyond SQL
 
 
