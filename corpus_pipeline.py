@@ -12,6 +12,8 @@ from voxloom.llm import bpe, decontamination, simhash, substring_dedup, toxicity
 from voxloom.llm.common import read_table, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Jaccard similarity of five-word shingles from which two documents are near duplicates.
+SIMILAR = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays."""
-    return simhash.keep_one(docs).select(COLUMNS)
+    """Of each group of linked documents the one of the smallest id stays: near fingerprints, or similar five-word shingles."""
+    return simhash.keep_one(docs, jaccard=SIMILAR).select(COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,36 @@ def test_empty_and_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df).collect())
     assert kept == [("1", "a b c d"), ("3", "other words of it"), ("None", "no id at all")]
+
+
+def jaccard_brute(texts, at_least):
+    shingles = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    return {(i, j) for j in range(len(texts)) for i in range(j) if len(shingles[i] & shingles[j]) >= at_least * len(shingles[i] | shingles[j])}
+
+
+def test_stage_catches_similar_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", 2)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(15):
+        base = [rng.choice(words) for _ in range(rng.choice([4, 100, 300, 600]))]
+        texts.append(" ".join(base))
+        for k in (1, 2, 5):
+            copy = list(base)
+            for _ in range(k):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    near = jaccard_brute(texts, 0.8)
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 for i, j in near) > len(near) / 4
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (64, 3):  # with 3, buckets go through the rounds
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, jaccard=0.8, bucket_limit=limit).collect()}
+        assert all(found[i] == found[j] for i, j in near)
+        root = list(range(len(texts)))
+        for i, j in sorted(near | {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        assert found == dict(enumerate(root))

@@ -23,11 +23,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, if_small, small_batches, tidy
+from .common import BLACK, cut, grams, if_small, mix, small_batches, tidy, word_hashes
 
 SEED = 42
 RADIUS = 2
 BUCKET_LIMIT = 64
+#: Bands of minima over five-word shingles: a pair of Jaccard 0.8 agrees in a band with probability 0.8**4, in one of 16 with 0.9998.
+SHINGLE = 5
+BANDS = 16
+ROWS = 4
+#: Rounds in which the members of a large band bucket meet one of them, before all pairs that are still apart are compared.
+STAR_ROUNDS = 8
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -52,17 +58,27 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(total * 2 > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row (id, fp long) per row of ``docs``; null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bands: bool = False) -> DataFrame:
+    """One row (id, fp long) per row of ``docs``; null texts count as empty.
+
+    With ``bands`` also (t long, keys array<long>): the hash of the text and the band keys of its five-word shingles.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            texts = b.column(1).to_pylist()
+            out = [b.column(0), pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))]
+            if bands:
+                keys = [band_keys(x).view(np.int64) if len(x := shingle_set(t)) else [] for t in texts]
+                out += [b.column(2), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "t", "keys"][: len(out)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    more = [F.xxhash64(text).alias("t")] if bands else []
+    schema = f"id {kind}, fp long" + (", t long, keys array<long>" if bands else "")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *more).mapInArrow(tidy(run), schema)
 
 
 # ---------------------------------------------------------------- multi-index hashing
@@ -122,6 +138,86 @@ def neighbour_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BU
         width //= 2
 
 
+# ---------------------------------------------------------------- links by shingle Jaccard
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the lower-cased (A-Z) five-word shingles; a shorter text has one, of all its words."""
+    h = word_hashes((text or "").encode().lower(), BLACK)
+    if len(h) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], dtype=np.uint64) if len(h) else h
+    return np.unique(mix(grams(h, 4)[:-1] * np.uint64(0x9FB21C651E98DF25) + h[4:]))
+
+
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One hash per band of the minima of ``ROWS`` orders of ``shingles``."""
+    low = np.full(len(_SALTS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(shingles), 8192):
+        low = np.minimum(low, mix(shingles[i : i + 8192] ^ _SALTS[:, None]).min(axis=1))
+    rows = low.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + rows[:, j])
+    return key
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, jaccard: float) -> DataFrame:
+    """Those of ``pairs`` (ta, tb, a, b) whose texts have a shingle Jaccard of ``jaccard`` at least, as (a, b)."""
+    pairs = cut(pairs.distinct())
+    needed = cut(pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct())
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(texts.join(if_small(needed), "t", "left_semi").dropDuplicates(["t"]))
+    both = pairs.join(texts.select(F.col("t").alias("ta"), F.col("text").alias("xa")), "ta").join(texts.select(F.col("t").alias("tb"), F.col("text").alias("xb")), "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for xa, xb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                sa, sb = shingle_set(xa), shingle_set(xb)
+                common = len(np.intersect1d(sa, sb, assume_unique=True))
+                keep.append(common >= jaccard * (len(sa) + len(sb) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.select("a", "b", "xa", "xb").mapInArrow(tidy(run), "a long, b long").distinct())
+
+
+def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Pairs (a, b) of fingerprints with texts of a five-word shingle Jaccard of ``jaccard`` at least, enough to connect them.
+
+    Texts that share the minima of a band are candidates, and each candidate is verified on its whole text.  In a bucket
+    of more than ``bucket_limit`` texts all meet one of them, in rounds, and those already connected are not compared
+    again; whatever is still apart after the rounds is compared pair by pair, so no candidate is dropped.
+    ``fps`` are the fingerprints of ``docs`` with their bands.
+    """
+    bands = cut(fps.select("t", "fp", F.explode("keys").alias("key")).distinct())
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    sizes = cut(sizes.select("key", "n"))
+    few = bands.join(sizes.where(F.col("n") <= bucket_limit).select("key"), "key", "left_semi")
+    u, v = few.select("key", F.col("t").alias("ta"), F.col("fp").alias("a")), few.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"))
+    links = _verified(u.join(v, "key").where("ta < tb and a <> b").select("ta", "tb", "a", "b"), docs, text_col, jaccard)
+    many = cut(bands.join(sizes.where(F.col("n") > bucket_limit).select("key"), "key", "left_semi"))
+    for step in range(STAR_ROUNDS + 1):
+        if many.isEmpty():
+            break
+        roots = components(links).withColumnRenamed("node", "fp")
+        apart = many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        apart = cut(apart.join(mixed, "key", "left_semi"))
+        many = apart.select("t", "fp", "key")
+        v = apart.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"), F.col("root").alias("rb"))
+        if step < STAR_ROUNDS:
+            first = apart.groupBy("key").agg(F.min_by(F.struct("t", "fp", "root"), F.xxhash64("t", F.lit(step))).alias("m"))
+            pairs = first.join(v, "key").where("m.root <> rb").select(F.col("m.t").alias("ta"), "tb", F.col("m.fp").alias("a"), "b")
+        else:
+            u = apart.select("key", F.col("t").alias("ta"), F.col("fp").alias("a"), F.col("root").alias("ra"))
+            pairs = u.join(v, "key").where("ra <> rb and ta < tb").select("ta", "tb", "a", "b")
+        links = cut(links.unionByName(_verified(pairs, docs, text_col, jaccard)).distinct())
+    return links
+
+
 # ---------------------------------------------------------------- connected components
 
 
@@ -156,18 +252,23 @@ def near_duplicates(
     words: int = 3,
     radius: int = RADIUS,
     bucket_limit: int = BUCKET_LIMIT,
+    jaccard: float | None = None,
 ) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of ``docs``.
 
+    With ``jaccard`` texts of that five-word shingle Jaccard are linked as well, however far their fingerprints are.
     Nulls: a null text counts as empty (fingerprint zero); a null id is kept, belongs to its fingerprint's component,
     and is no candidate for component_id, which is null only where every id of the component is null.
     Repeated rows and repeated ids give a row each.  Other columns of ``docs``, whatever their names, are not read.
     An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words))
+    fps = cut(fingerprints(docs, id_col, text_col, words, bands=jaccard is not None))
     groups = fps.groupBy("fp").agg(F.min("id").alias("first"))
     groups = cut(groups)
-    comp = components(neighbour_links(groups.select("fp"), radius, bucket_limit))
+    links = neighbour_links(groups.select("fp"), radius, bucket_limit)
+    if jaccard is not None:
+        links = links.unionByName(similar_links(fps, docs, jaccard, text_col, bucket_limit)).distinct()
+    comp = components(links)
     labelled = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = cut(labelled.join(lowest, "root").select("fp", "component_id"))
