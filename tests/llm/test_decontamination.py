@@ -84,3 +84,17 @@ def test_empty(spark):
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
     assert dc.decontaminate(df, bench.limit(0)).count() == len(docs)
+
+
+def found(spark, docs, items, **options):
+    df, bench = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in dc.contaminated(df, bench, **options).collect()}
+
+
+DENSE = "Please add 12 apples to 7 pears, 3 figs, 20 4 5 km"
+
+
+def test_dense_items(spark):
+    items = ["Solve: 12 x + 7 = 31", "Evaluate 12 + 7 - 3 * 5 + 20 / 4", DENSE]
+    docs = [f"so here we go {items[0]} and on", f"now {items[1]} for all", "Solve: 13 x + 8 = 30", f"and {DENSE} is it", "12 7 3 5 20 4 and 12 7 31", f"we {DENSE.replace('20', '21').replace('12', '13')} now"]
+    assert found(spark, docs, items) == {(0, 0): "verbatim", (1, 1): "verbatim", (3, 2): "verbatim", (5, 2): "re-parameterised"}

@@ -6,6 +6,9 @@ lie on one diagonal (document position minus item position) are a passage; it co
 slots are consistent: over the whole passage each value of the item stands for one value of the document and the other
 way round.  So a question whose numbers, names or units were exchanged is found, and a chance template match is not.
 
+Windows of the raw, case-folded words are joined next to the templates.  So are found, word for word, items that are
+mostly numbers, names and units, whose templates say too little to be searched for, and copies in another case.
+
 The window table of the benchmark is broadcast while its size is below a bound; a larger one is joined by
 shuffle.
 """
@@ -49,10 +52,20 @@ def template(tokens: Column) -> Column:
     )
 
 
-def _windows(template_col: str, sizes: list[int]) -> list[str]:
-    """For each size, SQL of the array of the hashes of all windows of that size."""
+def folded(tokens: Column) -> Column:
+    """Tokens without the mark of names."""
+    return F.transform(tokens, lambda w: F.ltrim(w, F.lit("\u0001")))
+
+
+def _codes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _windows(shapes: str, words: str, sizes: list[int]) -> list[tuple[int, str]]:
+    """For each size, SQL of the array of the hashes of all windows of that size: of the shapes, then of the words."""
+    all_of = "transform(sequence(1, size({c}) - {m}), i -> xxhash64(slice({c}, i, {n}), {k}))"
     return [
-        f"if(size({template_col}) >= {n}, transform(sequence(1, size({template_col}) - {n - 1}), i -> xxhash64(slice({template_col}, i, {n}), {n})), cast(array() as array<bigint>))"
+        (n, f"if(size({shapes}) >= {n}, concat({all_of.format(c=shapes, m=n - 1, n=n, k=n)}, {all_of.format(c=words, m=n - 1, n=n, k=-n)}), cast(array() as array<bigint>))")
         for n in sizes
     ]
 
@@ -63,30 +76,43 @@ def _item_windows(bench: DataFrame, item_col: str, text_col: str, window: int) -
     short = sorted(r[0] for r in items.select(F.size("item_raw").alias("n")).where(F.col("n") < window).distinct().collect())  # at most window - MIN_ITEM numbers
     size = F.least(F.size("item_raw"), F.lit(window))
     at = F.explode(F.expr(f"sequence(0, size(item_raw) - least(size(item_raw), {window}))")).alias("ipos")
-    rows = items.select("item", "item_key", size.alias("n"), (F.size("item_raw") - size + 1).alias("n_windows"), "item_template", at)
-    words = F.expr("slice(item_template, ipos + 1, n)")
-    plain = F.size(F.filter(words, lambda w: ~w.isin("#", "@", "%")))
-    hashed = rows.where(plain >= F.least(F.lit(MIN_PLAIN), F.col("n"))).select("item_key", "n_windows", "ipos", F.xxhash64(words, "n").alias("hash"))
-    return items, cut(hashed), [window, *short]
+    rows = items.select("item_key", size.alias("n"), (F.size("item_raw") - size + 1).alias("n_windows"), "item_template", folded(F.col("item_raw")).alias("words"), at)
+    shape = F.expr("slice(item_template, ipos + 1, n)")
+    plain = F.size(F.filter(shape, lambda w: ~w.isin("#", "@", "%"))) >= F.least(F.lit(MIN_PLAIN), F.col("n"))
+    rows = cut(rows.withColumn("plain", plain).withColumn("shape", shape).withColumn("words", F.expr("slice(words, ipos + 1, n)")))
+    dense = rows.groupBy("item_key").agg(F.count(F.expr("case when not plain then 1 end")).cast("int").alias("n_dense"))
+    hash_of = lambda words, raw: F.xxhash64(_codes(F.col(words)), F.col("n") * (-1 if raw else 1)).alias("hash")
+    hashed = rows.where("plain").select("item_key", "n_windows", "ipos", hash_of("shape", False)).unionByName(rows.select("item_key", "n_windows", "ipos", hash_of("words", True)))
+    return items, cut(hashed.join(dense, "item_key")), [window, *short]
 
 
 def passages(
-    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_windows: int = MIN_WINDOWS
+    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_windows: int = MIN_WINDOWS,
+    whole_span: bool = True,
 ) -> DataFrame:
-    """Checked passages: (id, key, item, diagonal, windows, n_windows, kind, n_slots, start); ``key`` tells texts of one id apart."""
+    """Checked passages: (id, key, item, diagonal, windows, n_windows, kind, n_slots, start); ``key`` tells texts of one id apart.
+
+    ``whole_span`` lets one inconsistent slot clear the whole span from the first to the last matched window.  Without it
+    a span is split at such slots and its longest consistent part judged, two values of an item may become one (names
+    may not), a word may match by its template or as it is, and enough windows equal word for word always count.
+    """
     items, of_items, sizes = _item_windows(bench, item_col, item_text_col, window)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    shaped = keyed.select("id", "key", template(raw_tokens(F.col("text"))).alias("template"))
+    shaped = keyed.select("id", "key", raw_tokens(F.col("text")).alias("tokens"))
+    shaped = shaped.select("id", "key", _codes(template(F.col("tokens"))).alias("shapes"), _codes(folded(F.col("tokens"))).alias("words"))
+    of_items = if_small(of_items)
     hits = None
-    for part in _windows("template", sizes):
-        found = shaped.select("id", "key", F.posexplode(F.expr(part)).alias("dpos", "hash")).join(if_small(of_items), "hash").select("id", "key", "item_key", "n_windows", "dpos", "ipos")
+    for n, part in _windows("shapes", "words", sizes):
+        found = shaped.select("id", "key", (F.size("shapes") - n + 1).alias("own"), F.posexplode(F.expr(part)).alias("pos", "hash")).join(of_items, "hash")
+        found = found.select("id", "key", "item_key", "n_windows", "n_dense", (F.col("pos") % F.col("own")).alias("dpos"), "ipos")
         hits = found if hits is None else hits.unionByName(found)
+    need = F.least(F.lit(min_windows), F.greatest(F.lit(1), F.col("n_windows") - 1))
     runs = (
         hits.distinct()
-        .groupBy("id", "key", "item_key", "n_windows", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("windows"), F.min("dpos").alias("low"), F.max("dpos").alias("high"))
-        .where(F.col("windows") >= F.least(F.lit(min_windows), F.greatest(F.lit(1), F.col("n_windows") - 1)))
+        .groupBy("id", "key", "item_key", "n_windows", "n_dense", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
+        .agg(F.count(F.lit(1)).alias("hit"))
+        .where(F.col("hit") >= F.greatest(F.lit(1), need - F.col("n_dense")))  # dense windows are counted below
     )
     runs = cut(runs)
     keys = if_small(cut(runs.select(F.col("id").alias("kid"), F.col("key").alias("kkey")).distinct()))
@@ -94,18 +120,38 @@ def passages(
     texts = keyed.join(keys, F.col("id").eqNullSafe(F.col("kid")) & F.col("key").eqNullSafe(F.col("kkey")), "left_semi").dropDuplicates(["id", "key"])
     texts = texts.select(F.col("id").alias("tid"), F.col("key").alias("tkey"), raw_tokens(F.col("text")).alias("raw"))
     both = runs.join(texts, F.col("id").eqNullSafe(F.col("tid")) & F.col("key").eqNullSafe(F.col("tkey"))).join(items, "item_key")
-    # only the passage goes on: raw, shape, item_raw and item_template are aligned slices of its length
-    length = F.expr(f"least(high + {window}, size(raw), diagonal + size(item_raw)) - low")
-    cuts = [F.slice(c, F.col("low") - (F.col("diagonal") if "item" in c else F.lit(0)) + 1, length).alias(c) for c in ("raw", "item_raw", "item_template")]
-    both = both.select("id", "key", "item", "diagonal", "windows", "n_windows", "low", *cuts)
-    both = both.withColumn("slots", F.arrays_zip(template(F.col("raw")).alias("t"), F.col("item_template").alias("u"), F.col("item_raw").alias("a"), F.col("raw").alias("b")))
-    both = both.withColumn("slots", F.expr("array_distinct(filter(slots, s -> s.t in ('#', '@', '%') and s.t = s.u))"))
-    one_way = F.size(F.expr("array_distinct(transform(slots, s -> struct(s.t, s.a)))")) == F.size("slots")
-    other_way = F.size(F.expr("array_distinct(transform(slots, s -> struct(s.t, s.b)))")) == F.size("slots")
-    kind = F.when(F.expr("forall(slots, s -> s.a = s.b)"), "verbatim").otherwise("re-parameterised")
-    return both.where(one_way & other_way).select(
-        "id", "key", "item", "diagonal", "windows", "n_windows", kind.alias("kind"), F.size("slots").alias("n_slots"), F.col("low").alias("start")
-    )
+    # only what lies on the diagonal goes on: b, a and u are aligned slices of the text, the item and its template
+    low, n = F.greatest(F.lit(0), F.col("diagonal")), F.least(F.size("item_raw"), F.lit(window))
+    length = F.least(F.size("raw"), F.col("diagonal") + F.size("item_raw")) - low
+    sliced = [F.slice(c, low - (F.col("diagonal") if "item" in c else F.lit(0)) + 1, length).alias(to) for c, to in (("raw", "b"), ("item_raw", "a"), ("item_template", "u"))]
+    both = both.select("id", "key", "item", "diagonal", "n_windows", low.alias("low"), n.alias("n"), need.alias("need"), *sliced)
+    both = both.withColumn("t", template(F.col("b"))).withColumn("same", F.zip_with(folded(F.col("a")), folded(F.col("b")), lambda x, y: x == y))
+    either = F.zip_with("t", "u", lambda x, y: x == y)
+    both = both.withColumn("eq", either if whole_span else F.zip_with(either, "same", lambda x, y: x | y))
+    both = both.withColumn("win", F.expr(f"""transform(sequence(0, size(t) - n), p -> named_struct('p', p, 's', forall(slice(eq, p + 1, n), x -> x), 'r', forall(slice(same, p + 1, n), x -> x),
+        'plain', size(filter(slice(u, p + 1, n), w -> w not in ('#', '@', '%'))) >= least({MIN_PLAIN}, n)))"""))
+    both = both.withColumn("some", F.expr("exists(win, w -> w.s and w.plain)"))
+    both = both.withColumn("by_shape", F.expr("transform(filter(win, w -> w.s and (w.plain or w.r or some)), w -> w.p)"))
+    both = both.withColumn("by_words", F.expr("transform(filter(win, w -> w.r), w -> w.p)"))
+    both = both.withColumn("slots", F.expr("filter(transform(sequence(0, size(t) - 1), i -> named_struct('i', i, 't', t[i], 'u', u[i], 'a', a[i], 'b', b[i])), s -> s.t in ('#', '@', '%') and s.t = s.u)"))
+    both = both.withColumn("inside", F.expr("filter(slots, s -> s.i >= array_min(by_shape) and s.i < array_max(by_shape) + n)"))
+    clash = "(p.a = q.a) <> (p.b = q.b)" if whole_span else "if(q.t = '@', (p.a = q.a) <> (p.b = q.b), p.a = q.a and p.b <> q.b)"
+    both = both.withColumn("clashes", F.expr(f"filter(transform(inside, q -> named_struct('p', array_max(transform(filter(inside, p -> p.i < q.i and p.t = q.t and {clash}), p -> p.i)), 'q', q.i)), c -> c.p is not null)"))
+    if whole_span:
+        both = both.where("size(clashes) = 0")
+    # from each window on, up to the first slot that clashes with one behind that window
+    both = both.withColumn("limits", F.expr("transform(by_shape, x -> named_struct('x', x, 'lim', coalesce(array_min(transform(filter(clashes, c -> c.p >= x), c -> c.q)), size(t))))"))
+    part = "filter(by_shape, w -> w >= y.x and w + n <= y.lim)"
+    both = both.withColumn("best", F.expr(f"array_max(transform(limits, y -> named_struct('windows', size({part}), 'neg', -y.x, 'last', array_max({part}))))"))
+    shaped_first = F.coalesce(F.col("best.windows") >= F.col("need"), F.lit(False))
+    both = both.where(shaped_first | (F.size("by_words") >= F.col("need")))
+    both = both.withColumn("windows", F.when(shaped_first, F.col("best.windows")).otherwise(F.size("by_words")).cast("long"))
+    both = both.withColumn("first", F.when(shaped_first, -F.col("best.neg")).otherwise(F.array_min("by_words")))
+    both = both.withColumn("end", F.when(shaped_first, F.col("best.last")).otherwise(F.array_max("by_words")) + F.col("n"))
+    held = "filter(slots, s -> s.i >= first and s.i < end)"
+    kind = F.when(~shaped_first | F.expr(f"forall({held}, s -> s.a = s.b)"), "verbatim").otherwise("re-parameterised")
+    n_slots = F.size(F.expr(f"array_distinct(transform({held}, s -> struct(s.t, s.a, s.b)))"))
+    return both.select("id", "key", "item", "diagonal", "windows", "n_windows", kind.alias("kind"), n_slots.alias("n_slots"), (F.col("low") + F.col("first")).alias("start"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
@@ -115,6 +161,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     first token in the document.  Null texts and items hold nothing; null ids are kept; rows that repeat an id are told
     apart by their texts, of which the best passage is told; equal rows count once.  Other columns are not read; empty
     tables give an empty result; items of fewer than three words are not searched for.
+    Items and windows with fewer than ``MIN_PLAIN`` words other than placeholders are found word for word only.
     """
     found = passages(docs, bench, id_col, text_col, item_col, **options)
     best = found.groupBy("id", "item").agg(
