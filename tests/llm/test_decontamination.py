@@ -98,3 +98,9 @@ def test_dense_items(spark):
     items = ["Solve: 12 x + 7 = 31", "Evaluate 12 + 7 - 3 * 5 + 20 / 4", DENSE]
     docs = [f"so here we go {items[0]} and on", f"now {items[1]} for all", "Solve: 13 x + 8 = 30", f"and {DENSE} is it", "12 7 3 5 20 4 and 12 7 31", f"we {DENSE.replace('20', '21').replace('12', '13')} now"]
     assert found(spark, docs, items) == {(0, 0): "verbatim", (1, 1): "verbatim", (3, 2): "verbatim", (5, 2): "re-parameterised"}
+
+
+def test_names_in_other_cases_and_over_lines(spark):
+    question = data()[1][0][1]
+    over = question.replace(" Anna", "\n  Anna").replace(" Boris", "\t\u00a0Boris").replace("12", "17")
+    assert found(spark, [question.lower(), question.upper(), over], [question]) == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "re-parameterised"}

@@ -35,12 +35,15 @@ UNITS = (
 ).split()
 #: A capitalised word after a lower-case word or a comma; words in capitals throughout are no names.
 NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+#: White space other than one U+0020.
+SPACES = r"[\s\p{Z}]{2,}|[^\P{Z} ]|[\t-\r]"
 TOKEN = "\u0001?[\\p{L}]+|[0-9]+(?:[.,][0-9]+)*"
 
 
 def raw_tokens(text: Column) -> Column:
-    """Lower-case words and numbers in order; names are marked by U+0001."""
+    """Lower-case words and numbers in order; names are marked by U+0001, whatever white space is before them."""
     clean = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u0001"), F.lit(" "))
+    clean = F.regexp_replace(clean, SPACES, " ")
     return F.regexp_extract_all(F.lower(F.regexp_replace(clean, NAME, "\u0001$0")), F.lit(TOKEN), F.lit(0))
 
 
