@@ -36,7 +36,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), whole_span=False).select(COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,15 @@ def test_names_in_other_cases_and_over_lines(spark):
     question = data()[1][0][1]
     over = question.replace(" Anna", "\n  Anna").replace(" Boris", "\t\u00a0Boris").replace("12", "17")
     assert found(spark, [question.lower(), question.upper(), over], [question]) == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "re-parameterised"}
+
+
+def test_queries_split_a_span_at_a_changed_slot(spark, tmp_path):
+    from voxloom.llm import queries
+
+    docs, items = data()
+    question, mixed = items[0][1], docs[2][1]
+    merged = question.replace("12", "44").replace(" 3 ", " 44 ")
+    spark.createDataFrame([(3, mixed), (4, merged), (5, question.replace("Boris", "Anna"))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, question)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = {r.doc_id: (r.kind, r.windows, r.start) for r in queries.op5_decontamination(spark, str(tmp_path)).collect()}
+    assert rows[3][1] == 15 and rows[4][0] == "re-parameterised" and rows[4][1] == 20
