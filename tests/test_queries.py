@@ -37,3 +37,10 @@ def test_query(spark, name):
     want = con.sql(f"SELECT {cols} FROM ({registry.ORACLE_SQL[name]})").fetchall()
     got = [tuple(canon(r[c]) for c in names) for r in rows]
     assert sorted(map(repr, got)) == sorted(repr(tuple(map(canon, r))) for r in want)
+
+
+def test_letters_of_every_token(spark, tmp_path):
+    rows = [(1, 0, "Hi [laugh] you’re"), (1, 1, "[sigh] Ok"), (1, 2, ""), (1, 3, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.turn, r.pos): "".join(r.letters) for r in registry.QUERIES["letters_of_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): "hi", (0, 1): "@", (0, 2): "you're", (1, 0): "@", (1, 1): "ok"}

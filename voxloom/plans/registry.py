@@ -278,6 +278,14 @@ def letters(spark, sf_dir):
     return rows.select("conv_id", "turn", T.letters(F.split_part("text", F.lit(" "), F.lit(1))).alias("letters"))
 
 
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '\[[^\[\]]*\]|\S+') AS words FROM conversations WHERE text <> ''),
+t AS (SELECT conv_id, turn, unnest(range(0, len(words)))::int AS pos, unnest(words) AS word FROM w)
+SELECT conv_id, turn, pos, CASE WHEN regexp_full_match(word, '\[[^\[\]]*\]') THEN ['@'] ELSE regexp_extract_all(replace(lower(word), '’', ''''), '[a-z''@]') END AS letters FROM t""")
+def letters_of_tokens(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+    return rows.select("conv_id", "turn", "pos", T.letters(F.col("word")).alias("letters"))
+
+
 @query("SELECT event_id, '<|s_' || (event_id % 8192) || '|><|s_' || (user_id % 8192) || '|>' AS packed, [event_id % 8192, user_id % 8192]::int[] AS codes FROM events")
 def audio_token_roundtrip(spark, sf_dir):
     packed = T.format_audio_tokens(F.array((F.col("event_id") % 8192).cast("int"), (F.col("user_id") % 8192).cast("int")))
