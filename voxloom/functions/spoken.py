@@ -117,7 +117,7 @@ RULES: list[tuple[re.Pattern, object]] = [
     (re.compile(rf"([$€£]) ?({_NUM})(?:\.(\d+))?(?: (thousand|million|billion|trillion))?(?!\d)"), lambda m: money(m[1], m[2], m[3], m[4])),
     (re.compile(rf"\b({_NUM})(?:\.(\d+))? ?({'|'.join(sorted(UNITS, key=len, reverse=True))})\b"), lambda m: f"{decimal(m[1], m[2]) if m[2] else written_number(m[1])} {_plural(UNITS[m[3]], m[1] == '1' and not m[2])}"),
     (re.compile(rf"({_NUM})(?:\.(\d+))? ?%"), lambda m: f"{decimal(m[1], m[2]) if m[2] else written_number(m[1])} percent"),
-    (re.compile(r"\b(\d+)/(\d+)\b"), lambda m: fraction(int(m[1]), int(m[2]))),
+    (re.compile(r"(?<![\d/])\b(\d+)/(\d+)\b(?!/\d)"), lambda m: fraction(int(m[1]), int(m[2]))),
     (re.compile(r"\b(\d+)(?:st|nd|rd|th)\b"), lambda m: ordinal(int(m[1]))),
     (re.compile(r"\b(\d+)e(-?)(\d+)\b"), lambda m: f"{cardinal(int(m[1]))} e {'negative ' if m[2] else ''}{cardinal(int(m[3]))}"),
     (re.compile(rf"\b({_NUM})\.(\d+)\b"), lambda m: decimal(m[1], m[2])),
