@@ -44,3 +44,13 @@ def test_letters_of_every_token(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r.turn, r.pos): "".join(r.letters) for r in registry.QUERIES["letters_of_tokens"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): "hi", (0, 1): "@", (0, 2): "you're", (1, 0): "@", (1, 1): "ok"}
+
+
+def test_every_text_is_normalized(spark, tmp_path):
+    rows = [(1, "I have 3 cats", "en"), (2, "I have 3 cats", "de"), (3, "on 3/4/2020 it was 3/4", None), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, 0, "I have 3 cats")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.doc_id: r.spoken for r in registry.QUERIES["normalize_text"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == got[2] and "three cats" in got[1]
+    assert got[3].count("quarter") == 1  # a date is no fraction
+    assert [r.spoken for r in registry.QUERIES["normalize_turns"](spark, str(tmp_path)).collect()] == [got[1]]

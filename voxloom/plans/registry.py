@@ -447,7 +447,12 @@ def word_frames(spark, sf_dir):
 
 @query()
 def normalize_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", spoken.spoken(F.col("text")).alias("spoken"))
+    return _table(spark, sf_dir, "documents").select("doc_id", spoken.spoken(F.col("text")).alias("spoken"))
+
+
+@query()
+def normalize_turns(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", spoken.spoken(F.col("text")).alias("spoken"))
 
 
 @query()
