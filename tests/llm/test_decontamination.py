@@ -116,3 +116,36 @@ def test_queries_split_a_span_at_a_changed_slot(spark, tmp_path):
     spark.createDataFrame([(0, question)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = {r.doc_id: (r.kind, r.windows, r.start) for r in queries.op5_decontamination(spark, str(tmp_path)).collect()}
     assert rows[3][1] == 15 and rows[4][0] == "re-parameterised" and rows[4][1] == 20
+
+
+def test_every_item_is_searched(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(34))
+    items = ["12 + 30 = 42 and 7 x 8 = 56, 9 x 9 = 81", han, "两字", "two words", "only"]
+    docs = [*items, f"前{han}后", "here two words more", "Two  WORDS!", "7 x 8 = 56", "三两字"]
+    want = {(i, i): "verbatim" for i in range(5)} | {(5, 1): "verbatim", (7, 3): "verbatim"}
+    assert found(spark, docs, items) == found(spark, docs, items, whole_span=False) == want
+
+
+def test_collapsed_items_lose_nothing(spark):
+    say = "if a farmer sells {} apples and then buys {} pears how many pieces of fruit are left for all".format
+    items = [say(n, m) for n in range(2, 8) for m in range(2, 8)] + ["12 + 30 = 42 and 7 x 8 = 56"]
+    docs = [say(99, 98), say(4, 4), "and " + items[-1], "if a farmer sells nothing"]
+    df = spark.createDataFrame([(i, t, "mine", "k") for i, t in enumerate(docs)], "doc_id long, text string, k1 string, __kid string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for options in ({}, {"collapse": False}):
+        kept = dc.decontaminate(df, bench, whole_span=False, **options)
+        assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(3, docs[3], "mine", "k")]
+    searched = dc._candidates(df.select(*dc.text_keys(df.text), "text"), dc._sequences(bench, "item_id", "text", 8)[1], True, 6)
+    everything = dc._candidates(df.select(*dc.text_keys(df.text), "text"), dc._sequences(bench, "item_id", "text", 8)[1], False, 6)
+    assert searched.count() < everything.count() / 5
+
+
+def test_native(spark, tmp_path, capsys):
+    from voxloom.llm import queries
+
+    docs, items = data()
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    queries.op5_decontamination(spark, str(tmp_path)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

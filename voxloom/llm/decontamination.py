@@ -7,23 +7,25 @@ slots are consistent: over the whole passage each value of the item stands for o
 way round.  So a question whose numbers, names or units were exchanged is found, and a chance template match is not.
 
 Windows of the raw, case-folded words are joined next to the templates.  So are found, word for word, items that are
-mostly numbers, names and units, whose templates say too little to be searched for, and copies in another case.
+mostly numbers, names and units, whose templates say too little to be searched for, and copies in another case.  In
+scripts that are written without spaces every character is a word.
 
-The window table of the benchmark is broadcast while its size is below a bound; a larger one is joined by
-shuffle.
+Equal texts and equal items are searched once.  The window table of the benchmark is broadcast while its size is below a
+bound; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, if_small
+from .common import cut, if_small, unused
 
 WINDOW = 8
 #: Windows on one diagonal that make a passage: 13 words in a row.  Shorter items need all their windows but one.
 MIN_WINDOWS = 6
-#: Words other than placeholders that a window needs, and words that an item needs to be searched for.
+#: Words other than placeholders that a window needs to be searched for by its template.
 MIN_PLAIN = 4
+#: An item of fewer words is found only where it is the whole text, word for word.
 MIN_ITEM = 3
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
@@ -37,7 +39,9 @@ UNITS = (
 NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
 #: White space other than one U+0020.
 SPACES = r"[\s\p{Z}]{2,}|[^\P{Z} ]|[\t-\r]"
-TOKEN = "\u0001?[\\p{L}]+|[0-9]+(?:[.,][0-9]+)*"
+#: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana and Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
+TOKEN = f"\u0001?[^{UNSPACED}\\P{{L}}]+|[{UNSPACED}]|[0-9]+(?:[.,][0-9]+)*"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -47,129 +51,192 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(clean, NAME, "\u0001$0")), F.lit(TOKEN), F.lit(0))
 
 
+def _shape(w: Column) -> Column:
+    return F.when((w < ":") & (w >= "0"), "#").when(w < "\u0002", "@").when(w.isin(NUMBER_WORDS), "#").when(w.isin(UNITS), "%").otherwise(w)
+
+
 def template(tokens: Column) -> Column:
     """Placeholders for numbers, names and units; other tokens as they are."""
-    return F.transform(
-        tokens,
-        lambda w: F.when((w < ":") & (w >= "0"), "#").when(w < "\u0002", "@").when(w.isin(NUMBER_WORDS), "#").when(w.isin(UNITS), "%").otherwise(w),
-    )
+    return F.transform(tokens, _shape)
 
 
 def folded(tokens: Column) -> Column:
     """Tokens without the mark of names."""
-    return F.transform(tokens, lambda w: F.ltrim(w, F.lit("\u0001")))
+    return F.transform(tokens, _fold)
+
+
+def _fold(w: Column) -> Column:
+    return F.ltrim(w, F.lit("\u0001"))
 
 
 def _codes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _windows(shapes: str, words: str, sizes: list[int]) -> list[tuple[int, str]]:
-    """For each size, SQL of the array of the hashes of all windows of that size: of the shapes, then of the words."""
-    all_of = "transform(sequence(1, size({c}) - {m}), i -> xxhash64(slice({c}, i, {n}), {k}))"
-    return [
-        (n, f"if(size({shapes}) >= {n}, concat({all_of.format(c=shapes, m=n - 1, n=n, k=n)}, {all_of.format(c=words, m=n - 1, n=n, k=-n)}), cast(array() as array<bigint>))")
-        for n in sizes
-    ]
+def _hash(column: str, n: int, salt: int) -> str:
+    """SQL of the hash of ``n`` codes from index ``i`` on; naming them one by one is faster than a slice."""
+    return f"xxhash64({', '.join(f'{column}[i + {j}]' for j in range(n))}, {salt})"
+
+
+def _windows(n: int) -> str:
+    """SQL of the hashes of all windows of ``n`` words: of the templates, then of the words."""
+    every = "transform(sequence(0, size(words) - {n}), i -> {h})"
+    both = f"concat({every.format(n=n, h=_hash('shapes', n, n))}, {every.format(n=n, h=_hash('words', n, -n))})"
+    whole = f"transform(array(0), i -> {_hash('words', n, -n)})"
+    found, when = (both, f"size(words) >= {n}") if n >= MIN_ITEM else (whole, f"size(words) = {n}")
+    return f"if({when}, {found}, cast(array() as array<bigint>))"
+
+
+def _sequences(bench: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """The items (item, item_key), and the different sequences of words among them.
+
+    ``plain`` tells for every window of a sequence whether it has words enough to be searched for by its template.
+    """
+    items = bench.select(F.col(item_col).alias("item"), raw_tokens(F.col(text_col)).alias("item_raw")).where(F.size("item_raw") > 0)
+    items = cut(items.withColumn("item_key", F.xxhash64(F.array_join("item_raw", " "))).distinct())
+    texts = items.select("item_key", "item_raw").dropDuplicates(["item_key"]).withColumn("item_template", template(F.col("item_raw")))
+    texts = texts.withColumn("n", F.least(F.size("item_raw"), F.lit(window))).withColumn("n_windows", F.size("item_raw") - F.col("n") + 1)
+    plain = f"transform(sequence(0, n_windows - 1), i -> n >= {MIN_ITEM} and size(filter(slice(item_template, i + 1, n), w -> w not in ('#', '@', '%'))) >= least({MIN_PLAIN}, n))"
+    return items.select("item", "item_key"), cut(texts.withColumn("plain", F.expr(plain)).withColumn("n_dense", F.expr("size(filter(plain, p -> not p))")))
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """Of sequences of one template, and of the same slots repeated in it, the first: any of them finds a changed copy."""
+    first = F.transform("item_raw", lambda w: F.array_position("item_raw", w))
+    pattern = F.zip_with(first, F.col("item_template"), lambda at, t: F.when(t.isin("#", "@", "%"), at))
+    return texts.groupBy("item_template", pattern.alias("pattern")).agg(F.min("item_key").alias("item_key")).select("item_key", F.lit(True).alias("stands"))
+
 
+def _candidates(docs: DataFrame, texts: DataFrame, collapse: bool, min_windows: int) -> DataFrame:
+    """Rows (k1, k2, item_key, diagonal): different texts and item sequences that share enough windows on a diagonal."""
+    sizes = sorted(r[0] for r in texts.select("n").distinct().collect())  # at most WINDOW numbers
+    of_items = None
+    texts = texts.join(_alike(texts), "item_key", "left").withColumn("searched", F.col("stands").isNotNull() | F.lit(not collapse))
+    coded = texts.select("item_key", "n", "n_windows", "n_dense", "plain", "searched", _codes("item_template").alias("shapes"), _codes(folded(F.col("item_raw"))).alias("words"))
+    for n in sizes:
+        at = coded.where(F.col("n") == n).select("*", F.posexplode("plain").alias("i", "by_shape"))
+        rows = [at.where("by_shape and searched").withColumn("hash", F.expr(_hash("shapes", n, n))), at.withColumn("hash", F.expr(_hash("words", n, -n)))]
+        for part in rows:
+            part = part.select("hash", "item_key", "n_windows", "n_dense", F.col("i").alias("ipos"))
+            of_items = part if of_items is None else of_items.unionByName(part)
+    if of_items is None:
+        return docs.select(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("diagonal"), F.lit(0).alias("hit")).limit(0)
+    of_items = cut(of_items)
+    coded = docs.select("k1", "k2", raw_tokens(F.col("text")).alias("tokens")).select("k1", "k2", _codes(template(F.col("tokens"))).alias("shapes"), _codes(folded(F.col("tokens"))).alias("words"))
+    if len(sizes) > 1:
+        coded = coded.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+        hashes = F.expr(f"case n {' '.join(f'when {n} then {_windows(n)}' for n in sizes)} end")
+    else:
+        coded, hashes = coded.withColumn("n", F.lit(sizes[0])), F.expr(_windows(sizes[0]))
+    found = coded.select("k1", "k2", (F.size("words") - F.col("n") + 1).alias("own"), F.posexplode(hashes).alias("pos", "hash")).join(if_small(of_items), "hash")
+    found = found.select("k1", "k2", "item_key", "n_windows", "n_dense", (F.col("pos") % F.col("own")).alias("dpos"), "ipos").distinct()
+    hits = found.groupBy("k1", "k2", "item_key", "n_windows", "n_dense", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hit"))
+    # windows that only their words find may match by their templates: they are counted when the passage is judged
+    return hits.where(F.col("hit") >= F.greatest(F.lit(1), _needed(F.col("n_windows"), min_windows) - F.col("n_dense"))).select("k1", "k2", "item_key", "diagonal", "hit")
 
-def _item_windows(bench: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    items = bench.select(F.col(item_col).alias("item"), raw_tokens(F.col(text_col)).alias("item_raw")).withColumn("item_template", template(F.col("item_raw")))
-    items = cut(items.where(F.size("item_raw") >= MIN_ITEM).distinct().withColumn("item_key", F.xxhash64("item", F.array_join("item_raw", " "))))
-    short = sorted(r[0] for r in items.select(F.size("item_raw").alias("n")).where(F.col("n") < window).distinct().collect())  # at most window - MIN_ITEM numbers
-    size = F.least(F.size("item_raw"), F.lit(window))
-    at = F.explode(F.expr(f"sequence(0, size(item_raw) - least(size(item_raw), {window}))")).alias("ipos")
-    rows = items.select("item_key", size.alias("n"), (F.size("item_raw") - size + 1).alias("n_windows"), "item_template", folded(F.col("item_raw")).alias("words"), at)
-    shape = F.expr("slice(item_template, ipos + 1, n)")
-    plain = F.size(F.filter(shape, lambda w: ~w.isin("#", "@", "%"))) >= F.least(F.lit(MIN_PLAIN), F.col("n"))
-    rows = cut(rows.withColumn("plain", plain).withColumn("shape", shape).withColumn("words", F.expr("slice(words, ipos + 1, n)")))
-    dense = rows.groupBy("item_key").agg(F.count(F.expr("case when not plain then 1 end")).cast("int").alias("n_dense"))
-    hash_of = lambda words, raw: F.xxhash64(_codes(F.col(words)), F.col("n") * (-1 if raw else 1)).alias("hash")
-    hashed = rows.where("plain").select("item_key", "n_windows", "ipos", hash_of("shape", False)).unionByName(rows.select("item_key", "n_windows", "ipos", hash_of("words", True)))
-    return items, cut(hashed.join(dense, "item_key")), [window, *short]
+
+def _needed(n_windows: Column, min_windows: int) -> Column:
+    return F.least(F.lit(min_windows), F.greatest(F.lit(1), n_windows - 1))
+
+
+_RUN = ["k1", "k2", "item_key", "diagonal"]
+
+
+def _aligned(runs: DataFrame, keyed: DataFrame, texts: DataFrame, min_windows: int) -> DataFrame:
+    """One row per word on a diagonal: place i, the document's word b, the item's a and its template u, and whether the
+    window that ends there is plain."""
+    held = keyed.join(if_small(cut(runs.select("k1", "k2").distinct())), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    held = held.select("k1", "k2", raw_tokens(F.col("text")).alias("raw"))
+    both = runs.join(held, ["k1", "k2"]).join(texts, "item_key")
+    low = F.greatest(F.lit(0), F.col("diagonal"))
+    both = both.withColumn("low", low).withColumn("off", low - F.col("diagonal") + 1).withColumn("len", F.least(F.size("raw"), F.col("diagonal") + F.size("item_raw")) - low)
+    ends = F.concat(F.array_repeat(F.lit(False), F.col("n") - 1), F.slice("plain", F.col("off"), F.greatest(F.lit(0), F.col("len") - F.col("n") + 1)))
+    words = F.arrays_zip(
+        F.slice("raw", F.col("low") + 1, F.col("len")).alias("b"), F.slice("item_raw", F.col("off"), F.col("len")).alias("a"), F.slice("item_template", F.col("off"), F.col("len")).alias("u"),
+        F.slice(ends, F.lit(1), F.col("len")).alias("plain"),
+    )
+    rows = both.select(*_RUN, "low", "n", "n_windows", _needed(F.col("n_windows"), min_windows).alias("need"), F.posexplode(words).alias("i", "w"))
+    return rows.select(*_RUN, "low", "n", "n_windows", "need", "i", "w.*")
 
 
 def passages(
-    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_windows: int = MIN_WINDOWS,
-    whole_span: bool = True,
-) -> DataFrame:
-    """Checked passages: (id, key, item, diagonal, windows, n_windows, kind, n_slots, start); ``key`` tells texts of one id apart.
-
-    ``whole_span`` lets one inconsistent slot clear the whole span from the first to the last matched window.  Without it
-    a span is split at such slots and its longest consistent part judged, two values of an item may become one (names
-    may not), a word may match by its template or as it is, and enough windows equal word for word always count.
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_windows: int = MIN_WINDOWS,
+    whole_span: bool = True, collapse: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Checked passages (k1, k2, item_key, diagonal, windows, n_windows, kind, n_slots, start) and the items (item, item_key).
+
+    ``k1`` and ``k2`` are two hashes of the text: ``text_keys``.  ``whole_span`` lets one inconsistent slot clear the whole
+    span from the first to the last matched window.  Without it a span is split at such slots and its longest consistent
+    part judged, two values of an item may become one (names may not), a word may match by its template or as it is, and
+    enough windows equal word for word always count.  With ``collapse`` one of the items that are alike but for the
+    values of their slots is searched by its template for all of them; word for word each is searched.
     """
-    items, of_items, sizes = _item_windows(bench, item_col, item_text_col, window)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    shaped = keyed.select("id", "key", raw_tokens(F.col("text")).alias("tokens"))
-    shaped = shaped.select("id", "key", _codes(template(F.col("tokens"))).alias("shapes"), _codes(folded(F.col("tokens"))).alias("words"))
-    of_items = if_small(of_items)
-    hits = None
-    for n, part in _windows("shapes", "words", sizes):
-        found = shaped.select("id", "key", (F.size("shapes") - n + 1).alias("own"), F.posexplode(F.expr(part)).alias("pos", "hash")).join(of_items, "hash")
-        found = found.select("id", "key", "item_key", "n_windows", "n_dense", (F.col("pos") % F.col("own")).alias("dpos"), "ipos")
-        hits = found if hits is None else hits.unionByName(found)
-    need = F.least(F.lit(min_windows), F.greatest(F.lit(1), F.col("n_windows") - 1))
-    runs = (
-        hits.distinct()
-        .groupBy("id", "key", "item_key", "n_windows", "n_dense", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("hit"))
-        .where(F.col("hit") >= F.greatest(F.lit(1), need - F.col("n_dense")))  # dense windows are counted below
-    )
-    runs = cut(runs)
-    keys = if_small(cut(runs.select(F.col("id").alias("kid"), F.col("key").alias("kkey")).distinct()))
-    # the values of the slots are looked up in the flagged texts only
-    texts = keyed.join(keys, F.col("id").eqNullSafe(F.col("kid")) & F.col("key").eqNullSafe(F.col("kkey")), "left_semi").dropDuplicates(["id", "key"])
-    texts = texts.select(F.col("id").alias("tid"), F.col("key").alias("tkey"), raw_tokens(F.col("text")).alias("raw"))
-    both = runs.join(texts, F.col("id").eqNullSafe(F.col("tid")) & F.col("key").eqNullSafe(F.col("tkey"))).join(items, "item_key")
-    # only what lies on the diagonal goes on: b, a and u are aligned slices of the text, the item and its template
-    low, n = F.greatest(F.lit(0), F.col("diagonal")), F.least(F.size("item_raw"), F.lit(window))
-    length = F.least(F.size("raw"), F.col("diagonal") + F.size("item_raw")) - low
-    sliced = [F.slice(c, low - (F.col("diagonal") if "item" in c else F.lit(0)) + 1, length).alias(to) for c, to in (("raw", "b"), ("item_raw", "a"), ("item_template", "u"))]
-    both = both.select("id", "key", "item", "diagonal", "n_windows", low.alias("low"), n.alias("n"), need.alias("need"), *sliced)
-    both = both.withColumn("t", template(F.col("b"))).withColumn("same", F.zip_with(folded(F.col("a")), folded(F.col("b")), lambda x, y: x == y))
-    either = F.zip_with("t", "u", lambda x, y: x == y)
-    both = both.withColumn("eq", either if whole_span else F.zip_with(either, "same", lambda x, y: x | y))
-    both = both.withColumn("win", F.expr(f"""transform(sequence(0, size(t) - n), p -> named_struct('p', p, 's', forall(slice(eq, p + 1, n), x -> x), 'r', forall(slice(same, p + 1, n), x -> x),
-        'plain', size(filter(slice(u, p + 1, n), w -> w not in ('#', '@', '%'))) >= least({MIN_PLAIN}, n)))"""))
-    both = both.withColumn("some", F.expr("exists(win, w -> w.s and w.plain)"))
-    both = both.withColumn("by_shape", F.expr("transform(filter(win, w -> w.s and (w.plain or w.r or some)), w -> w.p)"))
-    both = both.withColumn("by_words", F.expr("transform(filter(win, w -> w.r), w -> w.p)"))
-    both = both.withColumn("slots", F.expr("filter(transform(sequence(0, size(t) - 1), i -> named_struct('i', i, 't', t[i], 'u', u[i], 'a', a[i], 'b', b[i])), s -> s.t in ('#', '@', '%') and s.t = s.u)"))
-    both = both.withColumn("inside", F.expr("filter(slots, s -> s.i >= array_min(by_shape) and s.i < array_max(by_shape) + n)"))
-    clash = "(p.a = q.a) <> (p.b = q.b)" if whole_span else "if(q.t = '@', (p.a = q.a) <> (p.b = q.b), p.a = q.a and p.b <> q.b)"
-    both = both.withColumn("clashes", F.expr(f"filter(transform(inside, q -> named_struct('p', array_max(transform(filter(inside, p -> p.i < q.i and p.t = q.t and {clash}), p -> p.i)), 'q', q.i)), c -> c.p is not null)"))
+    items, texts = _sequences(bench, item_col, item_text_col, window)
+    keyed = docs.select(*text_keys(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    rows = _aligned(cut(_candidates(keyed, texts, collapse, min_windows)), keyed, texts, min_windows)
+    rows = rows.withColumn("t", _shape(F.col("b"))).withColumn("same", _fold(F.col("a")) == _fold(F.col("b")))
+    rows = rows.withColumn("eq", (F.col("t") == F.col("u")) if whole_span else (F.col("t") == F.col("u")) | F.col("same"))
+    run = Window.partitionBy(*_RUN)
+    upto = run.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # a window is named by the place of its last word
+    last = lambda c: F.coalesce(F.max(F.when(~c, F.col("i"))).over(upto), F.lit(-1))
+    rows = rows.withColumn("s", F.col("i") - last(F.col("eq")) >= F.col("n")).withColumn("r", F.col("i") - last(F.col("same")) >= F.col("n"))
+    rows = rows.withColumn("some", F.max(F.col("s") & F.col("plain")).over(run))
+    rows = rows.withColumn("sh", F.col("s") & (F.col("plain") | F.col("r") | F.col("some")))
+    low, high = F.min(F.when(F.col("sh"), F.col("i") - F.col("n") + 1)).over(run), F.max(F.when(F.col("sh"), F.col("i"))).over(run)
+    slot = F.col("t").isin("#", "@", "%") & (F.col("t") == F.col("u"))
+    rows = rows.withColumn("slot", slot).withColumn("inside", F.coalesce(slot & F.col("i").between(low, high), F.lit(False)))
+
+    # the last slot before a slot that has the same value on one side and another on the other
+    for key, value in (("a", "b"), ("b", "a")):
+        before = Window.partitionBy(*_RUN, "inside", "t", key).orderBy("i")
+        rows = rows.withColumn("at", F.lag("i").over(before)).withColumn("was", F.lag(value).over(before))
+        rows = rows.withColumn("c_" + key, F.max(F.when(F.col("was") != F.col(value), F.col("at"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    other_way = F.lit(True) if whole_span else F.col("t") == "@"
+    rows = rows.withColumn("c", F.when(F.col("inside"), F.greatest("c_a", F.when(other_way, F.col("c_b")))))
+    rows = rows.withColumn("m", F.coalesce(F.max("c").over(upto), F.lit(-1))).withColumn("k", F.count(F.when(F.col("sh"), 1)).over(upto))
+    value = F.when(F.col("slot"), F.struct("t", "a", "b"))
+    judged = rows.groupBy(*_RUN, "low", "n", "n_windows", "need").agg(
+        F.sort_array(F.collect_list(F.struct("i", "k", "m", "sh", "r", value.alias("v")))).alias("ws"), F.count("c").alias("clashes"),
+    )
     if whole_span:
-        both = both.where("size(clashes) = 0")
-    # from each window on, up to the first slot that clashes with one behind that window
-    both = both.withColumn("limits", F.expr("transform(by_shape, x -> named_struct('x', x, 'lim', coalesce(array_min(transform(filter(clashes, c -> c.p >= x), c -> c.q)), size(t))))"))
-    part = "filter(by_shape, w -> w >= y.x and w + n <= y.lim)"
-    both = both.withColumn("best", F.expr(f"array_max(transform(limits, y -> named_struct('windows', size({part}), 'neg', -y.x, 'last', array_max({part}))))"))
-    shaped_first = F.coalesce(F.col("best.windows") >= F.col("need"), F.lit(False))
-    both = both.where(shaped_first | (F.size("by_words") >= F.col("need")))
-    both = both.withColumn("windows", F.when(shaped_first, F.col("best.windows")).otherwise(F.size("by_words")).cast("long"))
-    both = both.withColumn("first", F.when(shaped_first, -F.col("best.neg")).otherwise(F.array_min("by_words")))
-    both = both.withColumn("end", F.when(shaped_first, F.col("best.last")).otherwise(F.array_max("by_words")) + F.col("n"))
-    held = "filter(slots, s -> s.i >= first and s.i < end)"
-    kind = F.when(~shaped_first | F.expr(f"forall({held}, s -> s.a = s.b)"), "verbatim").otherwise("re-parameterised")
-    n_slots = F.size(F.expr(f"array_distinct(transform({held}, s -> struct(s.t, s.a, s.b)))"))
-    return both.select("id", "key", "item", "diagonal", "windows", "n_windows", kind.alias("kind"), n_slots.alias("n_slots"), (F.col("low") + F.col("first")).alias("start"))
+        judged = judged.where("clashes = 0")
+    # windows between the last clash and this one
+    best = "array_min(transform(filter(ws, e -> e.sh), e -> named_struct('few', if(e.m < 0, 0, ws[least(e.m + n - 1, e.i)].k) - e.k, 'i', e.i, 'm', e.m)))"
+    judged = judged.withColumn("best", F.expr(best)).withColumn("by_words", F.expr("transform(filter(ws, e -> e.r), e -> e.i)"))
+    shaped = F.coalesce(-F.col("best.few") >= F.col("need"), F.lit(False))
+    judged = judged.withColumn("shaped", shaped).where(F.col("shaped") | (F.size("by_words") >= F.col("need")))
+    start = F.expr("if(shaped, array_min(transform(filter(ws, e -> e.sh and e.i - n + 1 > best.m), e -> e.i)), array_min(by_words)) - n + 1")
+    judged = judged.withColumn("first", start).withColumn("end", F.expr("if(shaped, best.i, array_max(by_words))"))
+    judged = judged.withColumn("held", F.expr("transform(filter(ws, e -> e.v is not null and e.i >= first and e.i <= end), e -> e.v)"))
+    return judged.select(
+        *_RUN, F.expr("cast(if(shaped, -best.few, size(by_words)) as bigint)").alias("windows"), "n_windows",
+        F.expr("if(not shaped or forall(held, v -> v.a = v.b), 'verbatim', 're-parameterised')").alias("kind"),
+        F.size(F.array_distinct("held")).alias("n_slots"), (F.col("low") + F.col("first")).alias("start"),
+    ), items
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes that tell texts apart; null for a null text."""
+    text = text.cast("string")
+    return [F.when(text.isNotNull(), F.xxhash64(text)).alias("k1"), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("k2")]
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """Rows (doc_id, item_id, kind, windows, n_windows, n_slots, start): one per contaminated document and item.
 
     The passage of most windows is told, the first of several; ``n_windows`` are the item's, ``start`` is the passage's
-    first token in the document.  Null texts and items hold nothing; null ids are kept; rows that repeat an id are told
-    apart by their texts, of which the best passage is told; equal rows count once.  Other columns are not read; empty
-    tables give an empty result; items of fewer than three words are not searched for.
+    first token in the document.  Null and empty texts and items hold nothing; null ids are kept; rows that repeat an id
+    count once, with the best passage of their texts, and items that repeat an id likewise.  Other columns are not read;
+    empty tables give an empty result.  An item of fewer than ``MIN_ITEM`` words is found where it is the whole text.
     Items and windows with fewer than ``MIN_PLAIN`` words other than placeholders are found word for word only.
     """
-    found = passages(docs, bench, id_col, text_col, item_col, **options)
-    best = found.groupBy("id", "item").agg(
-        F.min(F.struct((-F.col("windows")).alias("w"), "start", "diagonal", "kind", "n_windows", "n_slots", "windows")).alias("b")
-    )
+    found, items = passages(docs, bench, text_col, item_col, **options)
+    order = F.struct((-F.col("windows")).alias("w"), "start", "diagonal", "kind", "n_windows", "n_slots", "windows")
+    found = cut(found.groupBy("k1", "k2", "item_key").agg(F.min(order).alias("b")))
+    ids = docs.select(F.col(id_col).alias("id"), *text_keys(F.col(text_col)))
+    ids = ids.join(if_small(found.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").distinct()
+    best = ids.join(found, ["k1", "k2"]).join(items, "item_key").groupBy("id", "item").agg(F.min("b").alias("b"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.kind").alias("kind"), F.col("b.windows").alias("windows"),
         F.col("b.n_windows").alias("n_windows"), F.col("b.n_slots").alias("n_slots"), F.col("b.start").alias("start"),
@@ -177,7 +244,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that hold a passage of a benchmark item; all columns are kept."""
-    keys = cut(passages(docs, bench, id_col, text_col, **options).select(F.col("id").alias("__kid"), F.col("key").alias("__kkey")).distinct())
-    own = F.xxhash64(F.col(text_col).cast("string"))
-    return docs.join(if_small(keys), F.col(id_col).eqNullSafe(F.col("__kid")) & (own == F.col("__kkey")), "left_anti")
+    """``docs`` without the rows that hold a passage of a benchmark item; all columns are kept, whatever their names.
+
+    Rows are judged by their texts: null and empty texts, null and repeated ids stay or go like others.  Empty tables
+    lose nothing.
+    """
+    k1, k2 = unused(docs, "k1"), unused(docs, "k2")
+    found = passages(docs, bench, text_col, **({"collapse": True} | options))[0]
+    keys = cut(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct())
+    own = text_keys(F.col(f"`{text_col}`"))
+    return docs.join(if_small(keys), (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left_anti")
