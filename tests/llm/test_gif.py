@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from voxloom.llm import gif
 
@@ -113,3 +114,35 @@ def test_tables(spark):
     for r in f:
         assert np.frombuffer(r.pixels, dtype=np.uint8)[::3].tobytes().rstrip(b"\0") == (dict((d, t) for d, t, _ in rows)[r.doc_id] or "").encode()
     assert gif.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_features_of_any_media(spark):
+    own = bytes([9, 9, 9, 200, 100, 50, 7, 7, 7, 6, 6, 6])
+    data = movie(3, 2, image([[1, 1], [1, 1]], control=(1, 5, None)), image([[2, 3]], left=1, top=1, control=(3, 7, 3)), image([[3]], left=2, control=(2, 2, None)), image([[1, 0]], palette=own, control=(0, 1, 0)))
+    df = spark.createDataFrame([(1, 5, bytearray(data), "x"), (None, None, None, "y")], "doc_id long, n_bytes long, media binary, frames string")
+    got = {r.doc_id: r for r in gif.features(df).collect()}
+    # the canvases, drawn by hand: black, red, green, blue from the shared palette; the second image's index 3 lets red show
+    k, r, g, b = (0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)
+    canvases = [[r, r, k, r, r, k], [r, r, k, r, g, k], [r, r, b, r, r, k], [(200, 100, 50), r, k, r, r, k]]
+    bins = [sum(p[c] // 16 == i for canvas in canvases for p in canvas) for c in range(3) for i in range(16)]
+    assert got[1].feature == f"canvas=3x2;frames=4;ms=150;colours={','.join(map(str, bins))}"
+    drawn = [[r, r, r, r], [g, k], [b], [(200, 100, 50), r]]
+    raw = b"".join(bytes(v for p in part for v in p) for part in drawn)
+    assert (got[1].payload_bytes, got[1].payload_sha256, got[1].tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+    assert [(f.start_ms, f.delay_ms, f.left, f.top) for f in got[1].frames] == [(0, 50, 0, 0), (50, 70, 1, 1), (120, 20, 2, 0), (140, 10, 0, 0)]
+    assert got[None].payload_sha256 is None and got[None].frames == [] and got[None].feature == "canvas=0x0;frames=0;ms=0;colours="
+
+
+def test_feature_of_a_text(spark):
+    text = "Ab " * 50
+    data = gif.pad(text.encode())
+    bins = [sum(v // 16 == i for v in data) for i in range(16)]
+    row = gif.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.feature == f"canvas=64x3;frames=1;ms=100;colours={','.join(map(str, bins * 3))}"
+
+
+def test_damage_is_noticed():
+    stored = gif.encode(b"some text " * 50)
+    for damaged in (stored[:-1], stored[:-9] + stored[-2:], b"GIF88a" + stored[6:], stored.replace(b"\x2c", b"\x2d", 1) if stored.count(b"\x2c") == 1 else stored[:-1]):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            list(gif.decode(damaged))

@@ -3,8 +3,8 @@
 ``encode`` stores a byte string losslessly as an animated GIF of 8-bit samples under a grey palette: rows of 64 samples,
 one frame for up to 65,535 rows, real LZW compression.  ``decode`` is a complete GIF reader: LZW code streams of every
 code size with deferred clears, global and local palettes, interlacing, offsets, transparency and the disposal methods;
-it returns timed RGB frames.  ``frames`` turns a table with a media column into one row per frame with a colour-histogram
-column, ``features`` into one row per media value.
+it returns timed RGB frames.  ``decoded`` turns a table with a media column into one row per value with its timed frames
+and their colour histograms, ``frames`` into one row per frame, and ``features`` adds a feature string made of the frames.
 """
 
 from __future__ import annotations
@@ -142,13 +142,15 @@ def lzw_decode(stream: bytes, size: int, limit: int) -> bytes:
 
 @dataclass
 class Frame:
-    """One composed frame: RGB canvas, time from the start and duration in ms, disposal and transparent index."""
+    """One composed frame: RGB canvas, time from the start and duration in ms, disposal and transparent index, and the
+    part of the canvas that its image covers."""
 
     start_ms: int
     delay_ms: int
     disposal: int
     transparent: int | None
     rgb: np.ndarray
+    area: tuple[slice, slice]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -176,7 +178,10 @@ def encode(data: bytes, delay_ms: int = DELAY_MS) -> bytes:
 
 
 def _images(gif: bytes) -> Iterator[tuple]:
-    """Yields the screen (width, height, palette, background), then each image with its graphic control values."""
+    """Yields the screen (width, height, palette, background), then each image with its graphic control values.
+
+    Bytes that are no GIF, an image whose code stream ends early and a missing trailer raise ValueError.
+    """
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", gif, 6)
@@ -189,7 +194,7 @@ def _images(gif: bytes) -> Iterator[tuple]:
 
     def sub(at: int) -> tuple[bytes, int]:
         parts = []
-        while gif[at]:
+        while at < len(gif) and gif[at]:
             parts.append(gif[at + 1 : at + 1 + gif[at]])
             at += 1 + gif[at]
         return b"".join(parts), at + 1
@@ -211,9 +216,9 @@ def _images(gif: bytes) -> Iterator[tuple]:
                 own, at = np.frombuffer(gif[at : at + n], dtype=np.uint8).reshape(-1, 3), at + n
             size = gif[at]
             body, at = sub(at + 1)
-            index = np.zeros(w * h, dtype=np.uint8)
-            raw = np.frombuffer(lzw_decode(body, size, w * h), dtype=np.uint8)
-            index[: len(raw)] = raw
+            index = np.frombuffer(lzw_decode(body, size, w * h), dtype=np.uint8)
+            if len(index) < w * h:
+                raise ValueError(f"damaged GIF: {len(index)} of {w * h} samples")
             index = index.reshape(h, w)
             if flags & 0x40:  # interlaced: rows 0, 8, ...; 4, 12, ...; 2, 6, ...; 1, 3, ...
                 order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -224,6 +229,8 @@ def _images(gif: bytes) -> Iterator[tuple]:
             disposal, delay, transparent = 0, 0, None
         else:
             raise ValueError(f"unknown block {kind:#x}")
+    if at >= len(gif):
+        raise ValueError("damaged GIF: no trailer")
 
 
 def decode(gif: bytes) -> Iterator[Frame]:
@@ -249,7 +256,7 @@ def decode(gif: bytes) -> Iterator[Frame]:
             canvas[area] = colours
         else:
             canvas[area] = np.where((index == transparent)[..., None], canvas[area], colours)
-        yield Frame(start, delay, disposal, transparent, canvas.copy())
+        yield Frame(start, delay, disposal, transparent, canvas.copy(), area)
         start += delay
         if disposal == 2:
             canvas[area] = 0
@@ -257,25 +264,43 @@ def decode(gif: bytes) -> Iterator[Frame]:
             canvas[area] = before
 
 
+def _is_grey(rgb: np.ndarray) -> bool:
+    return bool((rgb[..., 0] == rgb[..., 1]).all() and (rgb[..., 1] == rgb[..., 2]).all())
+
+
+def samples(frame: Frame) -> bytes:
+    """The composed pixels that the frame's image covers: one byte each if all are grey, else three."""
+    rgb = frame.rgb[frame.area]
+    return rgb[..., 0].tobytes() if _is_grey(rgb) else rgb.tobytes()
+
+
 def payload(gif: bytes) -> bytes:
-    """The padded bytes that ``encode`` stored: the grey samples of every image, in order."""
-    images = _images(gif)
-    shared = next(images)[2]
-    return b"".join(shared[index][..., 0].tobytes() for _, _, index, *_ in images)
+    """The padded bytes that ``encode`` stored: the samples of every frame, in order."""
+    return b"".join(map(samples, decode(gif)))
 
 
 def histogram(rgb: np.ndarray, bins: int = BINS) -> list[int]:
     """Pixels by luminance (integer BT.601 weights) in ``bins`` equal bins."""
-    flat = rgb.reshape(-1, 3)
-    grey = flat[:, 0] if (flat[:, 0] == flat[:, 1]).all() and (flat[:, 1] == flat[:, 2]).all() else (flat.astype(np.uint32) @ np.array([77, 150, 29], dtype=np.uint32) >> 8)
-    return np.bincount(grey.astype(np.int64) * bins >> 8, minlength=bins).tolist()
+    grey = rgb[..., 0] if _is_grey(rgb) else rgb.astype(np.uint32) @ np.array([77, 150, 29], dtype=np.uint32) >> 8
+    return np.bincount(grey.reshape(-1).astype(np.int64) * bins >> 8, minlength=bins).tolist()
+
+
+def colour_histogram(rgb: np.ndarray, bins: int = BINS) -> list[int]:
+    """Pixels by red, then green, then blue, in ``bins`` equal bins each."""
+    count = lambda c: np.bincount(rgb[..., c].reshape(-1).astype(np.int64) * bins >> 8, minlength=bins).tolist()
+    red = count(0)
+    return red * 3 if _is_grey(rgb) else red + count(1) + count(2)
 
 
 # ---------------------------------------------------------------- tables
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, media): every text's UTF-8 as a GIF; a null text is empty.  Other columns are not read."""
+    """Rows (doc_id, n_bytes, media), one for each row of ``docs``: every text's UTF-8 as a GIF.
+
+    A null text is empty, and an empty one a row of 64 zeros; null and repeated ids and repeated rows are kept; other
+    columns, whatever their names, are not read; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,62 +316,95 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
+_FRAME = [
+    ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()),
+    ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int64())), ("colours", pa.list_(pa.int64())),
+]
+_FRAME_SCHEMA = "frame int, start_ms bigint, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, histogram array<bigint>, colours array<bigint>"
+
+
+def _frame_row(k: int, f: Frame) -> dict:
+    height, width = f.rgb.shape[:2]
+    values = [k, f.start_ms, f.delay_ms, f.area[1].start, f.area[0].start, width, height, f.disposal, f.transparent, histogram(f.rgb), colour_histogram(f.rgb)]
+    return {name: value for (name, _), value in zip(_FRAME, values)}
+
+
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame: id, frame, start_ms, delay_ms, width, height, disposal, transparent, histogram, pixels.
+    """One row per frame: id, frame, start_ms, delay_ms, left, top, width, height, disposal, transparent, histogram (of
+    luminance), colours (histograms of red, green and blue), pixels (RGB of the whole canvas).
 
-    A null media value has no frames; bytes that are no GIF stop the job.
+    A null media value has no frames; bytes that are no whole GIF stop the job; null and repeated ids are kept; other
+    columns are not read; an empty table gives an empty one.
     """
     small_batches(media.sparkSession)
     kind = media.schema[id_col].dataType.simpleString()
-    names = [id_col, "frame", "start_ms", "delay_ms", "width", "height", "disposal", "transparent", "histogram", "pixels"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    names = [id_col, *(n for n, _ in _FRAME), "pixels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 gif = b.column(1)[r].as_py()
                 for k, f in enumerate(decode(gif) if gif is not None else ()):
-                    row = [k, f.start_ms, f.delay_ms, f.rgb.shape[1], f.rgb.shape[0], f.disposal, f.transparent, histogram(f.rgb), f.rgb.tobytes()]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1)] + [pa.array([v], t) for v, t in zip(row, types)], names)
+                    row = _frame_row(k, f)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1)] + [pa.array([row[n]], t) for n, t in _FRAME] + [pa.array([f.rgb.tobytes()], pa.binary())], names)
 
-    schema = f"`{id_col}` {kind}, frame int, start_ms long, delay_ms int, width int, height int, disposal int, transparent int, histogram array<bigint>, pixels binary"
-    return media.select(id_col, media_col).mapInArrow(tidy(run), schema)
+    return media.select(id_col, media_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {_FRAME_SCHEMA}, pixels binary")
 
 
-def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
-    """One row per media value: the payload read back from the stored bytes, its digests, and a feature string.
+def decoded(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
+    """One row per media value, decoded once: (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, frames).
 
-    The feature lists frames, rows, playing time and the histogram over all frames; equal media, equal values.
+    ``frames`` are the composed frames in order, with times and histograms as in ``frames()``, without their pixels.  The
+    payload is the samples of all frames.  A null media value has nulls and no frames; bytes that are no whole GIF stop
+    the job; null and repeated ids are kept; other columns are not read; an empty table gives an empty one.
     """
     small_batches(media.sparkSession)
     kind = media.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def one(gif: bytes) -> tuple:
-        sha, tail, n, k, rows, ms = hashlib.sha256(), b"", 0, 0, 0, 0
-        total = np.zeros(BINS, dtype=np.int64)
-        images = _images(gif)
-        palette = next(images)[2]
-        for _, _, index, own, _, delay, _ in images:
-            # encode() writes whole, opaque frames under a grey palette: the canvas is the image itself
-            samples = (own if own is not None else palette)[:, 0][index]
-            part = samples.tobytes()
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct(_FRAME))]
+
+    def one(gif: bytes | None) -> tuple:
+        if gif is None:
+            return (None,) * 5 + ([],)
+        sha, tail, n, found = hashlib.sha256(), b"", 0, []
+        for k, f in enumerate(decode(gif)):
+            part = samples(f)
             sha.update(part)
-            tail, n, k, rows, ms = part[-WIDTH:], n + len(part), k + 1, rows + index.shape[0], ms + delay
-            total += np.bincount(samples.reshape(-1) >> 4, minlength=BINS)
-        feature = f"frames={k};rows={rows};ms={ms};hist={','.join(map(str, total.tolist()))}"
-        return n, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), feature
+            tail, n = (tail + part[-WIDTH:])[-WIDTH:], n + len(part)
+            found.append(_frame_row(k, f))
+        return n, sha.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(g.as_py()) for g in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)] + [pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = [one(g.as_py()) for g in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)] + [pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
+
+    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{_FRAME_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
+    return media.select(id_col, F.col(bytes_col).cast("long"), media_col).mapInArrow(tidy(run), schema)
 
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select(id_col, bytes_col, media_col).mapInArrow(tidy(run), schema)
+
+def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bytes_col: str = "n_bytes") -> DataFrame:
+    """The rows of ``decoded`` with a feature string of their frames.
+
+    The feature lists the canvas, the number of frames, the playing time and the colour histograms summed over all
+    frames; equal media, equal values; a value without frames has an empty histogram.
+    """
+    total = f"transform(sequence(0, {3 * BINS - 1}), i -> aggregate(frames, 0L, (n, f) -> n + f.colours[i]))"
+    feature = F.concat(
+        F.lit("canvas="), F.coalesce(F.expr("concat(get(frames, 0).width, 'x', get(frames, 0).height)"), F.lit("0x0")), F.lit(";frames="), F.size("frames").cast("string"),
+        F.lit(";ms="), F.expr("cast(aggregate(frames, 0L, (n, f) -> n + f.delay_ms) as string)"), F.lit(";colours="), F.expr(f"if(size(frames) = 0, '', array_join({total}, ','))"),
+    )
+    return decoded(media, id_col, media_col, bytes_col).withColumn("feature", feature)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a GIF (checkpointed in the shared folder), read the stored bytes back, compute features."""
-    return features(cut(to_media(docs, id_col, text_col)), id_col)
+    """Store every text as a GIF (checkpointed in the shared folder), decode the stored bytes, compute features.
+
+    Nulls, repeated rows, other columns and empty tables are treated as in ``to_media``.  ``frames`` stays in the result.
+    """
+    media = cut(to_media(docs, id_col, text_col))
+    found = features(media, id_col)
+    return found.select(*[c for c in found.columns if c != "frames"], "frames")
