@@ -3,6 +3,11 @@
 The Burrows-Wheeler transform of all sequences is stored in a wavelet matrix of packed bits (one bit per word and level,
 plus a 32-bit count per 64 bits).  Backward search extends matches to the left by one word; whole batches of sequences
 advance in step.  Matches are capped at ``threshold`` words: intervals of longer matches widen to their threshold class.
+
+What is kept of an index: the wavelet matrix, one bit per place for the classes (with 4 bytes for the place and 8 for the
+owner of each class), and, where foreign sequences are searched, the shared lengths of neighbours, one byte each up to a
+threshold of 255.  The suffix array and the ranks it is built with are dropped; suffixes are sorted by a little more than
+``threshold`` words, which is all that capped matches need.
 """
 
 from __future__ import annotations
@@ -50,10 +55,63 @@ class _Wavelet:
         return self._descend(symbol, at) - self.start[symbol]
 
 
+def _sorted_suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Places of all suffixes in the order of their first ``length`` symbols, and, by prefix doubling, the rank of every
+    place by its first 1, 2, 4, ... symbols.
+
+    Backward search for a pattern of up to ``length`` symbols needs no longer order: it looks at patterns that are
+    one symbol shorter, and those lie together.
+    """
+    n = len(text)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ranks, step = {1: rank.astype(np.int32)}, 1
+    order = np.argsort(rank, kind="stable")
+    while step < length and n > 1 and rank[order[-1]] < n - 1:
+        later = np.zeros(n, dtype=np.int64)
+        later[:-step] = rank[step:] + 1
+        key = rank * (n + 1) + later
+        order = np.argsort(key)
+        sorted_key = key[order]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
+        step *= 2
+        ranks[step] = rank.astype(np.int32)
+    return order, ranks
+
+
+def _agree(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Do the texts from places ``a`` and ``b`` agree in ``length`` symbols?"""
+    same, off, n = np.ones(len(a), dtype=bool), 0, len(ranks[1])
+    top = max(ranks)
+    while length:
+        step = min(top, 1 << (length.bit_length() - 1))
+        x, y = a + off, b + off
+        inside = (x < n) & (y < n)
+        same &= inside
+        r = ranks[step]
+        same[inside] &= r[x[inside]] == r[y[inside]]
+        off, length = off + step, length - step
+    return same
+
+
+def _shared(ranks: dict[int, np.ndarray], order: np.ndarray, most: int) -> np.ndarray:
+    """Symbols that neighbours in the order share, up to ``most``; 0 at both ends."""
+    a, b = order[:-1], order[1:]
+    shared = np.zeros(len(a), dtype=np.int64)
+    for step in sorted(ranks, reverse=True):
+        for _ in range(2 if step == max(ranks) else 1):
+            more = _agree(ranks, a + shared, b + shared, step)
+            shared[more] += step
+    return np.concatenate([[0], np.minimum(shared, most), [0]]).astype(np.uint8 if most < 256 else np.int32)
+
+
 class Shard:
-    """Index of word sequences, each with an owner; finds where ``threshold`` words in a row occur, and whose they are."""
+    """Index of word sequences, each with an owner; finds where ``threshold`` words in a row occur, and whose they are.
 
-    def __init__(self, sequences: Iterable[Sequence[bytes]], owners: Sequence[int], threshold: int):
+    ``foreign`` keeps what the search for other sequences than the indexed ones needs.
+    """
+
+    def __init__(self, sequences: Iterable[Sequence[bytes]], owners: Sequence[int], threshold: int, foreign: bool = True):
         self.threshold = t = threshold
         self.ids: dict[bytes, int] = {}
         new = self.ids
@@ -70,69 +128,21 @@ class Shard:
         text[ends] = np.arange(separators, dtype=np.int32)
         self.first_word, self.n = separators, len(text)
         size = separators + max(1, len(new))
-
-        order, ranks = self._suffix_array(text)
-        self.ranks = ranks
-        self.order = order
-        same = self._agree(order[:-1], order[1:], t)
-        starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.class_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, self.n)))
-        self.class_start, self.class_end = starts, np.append(starts[1:], self.n)
+        order, ranks = _sorted_suffixes(text, t + 1)
+        same = _agree(ranks, order[:-1], order[1:], t)
+        starts = np.concatenate([[True], ~same])
+        self.starts, self.start_of = _Bits(starts), np.append(np.flatnonzero(starts), self.n).astype(np.int32)
         owner = np.repeat(np.asarray(owners, dtype=np.int64), lengths + 1)
-        self.first_owner = np.minimum.reduceat(owner[order], starts)
+        self.first_owner = np.minimum.reduceat(owner[order], self.start_of[:-1])
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         self.wavelet = _Wavelet(text[order - 1], size)
-        self._lcp: np.ndarray | None = None
-
-    @staticmethod
-    def _suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Suffix array by prefix doubling, and the rank of every position by its first 1, 2, 4, ... symbols."""
-        n = len(text)
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        ranks, step = {1: rank.astype(np.int32)}, 1
-        order = np.argsort(rank, kind="stable")
-        while n > 1 and rank[order[-1]] < n - 1:
-            later = np.zeros(n, dtype=np.int64)
-            later[:-step] = rank[step:] + 1
-            key = rank * (n + 1) + later
-            order = np.argsort(key)
-            sorted_key = key[order]
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-            step *= 2
-            ranks[step] = rank.astype(np.int32)
-        return order, ranks
-
-    def _agree(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-        """Do the texts from positions ``a`` and ``b`` agree in ``length`` symbols?"""
-        same, off = np.ones(len(a), dtype=bool), 0
-        top = max(self.ranks)
-        while length:
-            step = min(top, 1 << (length.bit_length() - 1))
-            x, y = a + off, b + off
-            inside = (x < self.n) & (y < self.n)
-            same &= inside
-            r = self.ranks[step]
-            same[inside] &= r[x[inside]] == r[y[inside]]
-            off, length = off + step, length - step
-        return same
-
-    @property
-    def lcp(self) -> np.ndarray:
-        """Symbols that neighbours in the suffix array share, up to the threshold; 0 at both ends."""
-        if self._lcp is None:
-            a, b = self.order[:-1].copy(), self.order[1:].copy()
-            shared = np.zeros(len(a), dtype=np.int64)
-            for step in sorted(self.ranks, reverse=True):
-                for _ in range(2 if step == max(self.ranks) else 1):
-                    more = self._agree(a + shared, b + shared, step)
-                    shared[more] += step
-            self._lcp = np.concatenate([[0], np.minimum(shared, self.threshold), [0]])
-        return self._lcp
+        self.lcp = _shared(ranks, order, t) if foreign else None
 
     def _parent(self, low: int, high: int) -> tuple[int, int, int]:
         """The smallest larger interval, and its match length."""
         lcp = self.lcp
+        if lcp is None:
+            raise ValueError("the index was built for its own sequences only")
         length = int(max(lcp[low], lcp[high]))
         if length == 0:
             return 0, self.n, 0
@@ -176,8 +186,8 @@ class Shard:
             for q in np.flatnonzero(known & ~grown):
                 lo[q], hi[q], new_size[q] = self._shrink(int(c[q]), int(low[q]), int(high[q]))
             full = new_size >= self.threshold
-            cls = self.class_of[lo[full]]
-            lo[full], hi[full], new_size[full] = self.class_start[cls], self.class_end[cls], self.threshold
+            cls = self.starts.rank(lo[full] + 1) - 1
+            lo[full], hi[full], new_size[full] = self.start_of[cls], self.start_of[cls + 1], self.threshold
             low[:k], high[:k], size[:k] = lo, hi, new_size
             flat_match[at] = new_size
             flat_owner[at[full]] = self.first_owner[cls]

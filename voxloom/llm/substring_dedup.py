@@ -9,13 +9,13 @@ document of a smaller id is removed.
    are grouped to segments: runs of windows with the same smallest anchor.  Equal windows have equal anchors, so equal
    windows meet in the shard of their anchor.
 3. Equal segments are collapsed to one with the smallest id before anything else (a passage that a third of all
-   documents share is one segment), and dealt to shards of bounded size by anchor.
-4. Per shard an FM-index over the segments is built; the segments stream through it backwards, and the matching
+   documents share is one segment); only then their words are fetched, and they are dealt to shards by anchor.
+4. An anchor with more than ``HOT`` different segments is split: its windows are grouped to segments again, by the
+   hashes of their 4, then 16 smallest runs, and at last by all their words.  Equal windows have equal runs, so they
+   meet at every level; segments that meet no other are dropped.  The limit decides where windows meet, not whether.
+5. Per shard an FM-index over the segments is built; the segments stream through it backwards, and the matching
    statistics tell, for every window, the smallest id that holds it.
-5. Intervals are joined back to the occurrences of the segments; the words that they cover are cut out.
-
-An anchor with more than ``HOT`` different segments is not indexed in one shard: its segments are cut into single
-windows, which are grouped by a strong hash of their words, an aggregation without a hot group.
+6. Intervals are joined back to the occurrences of the segments; the words that they cover are cut out.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILTER_BITS, cut, grams, if_small, repeated_keys, sliding, small_batches, tidy, word_hashes
+from .common import FILTER_BITS, cut, grams, if_small, mix, repeated_keys, sliding, small_batches, tidy, unused, word_hashes
 from .fm_index import Shard
 
 WINDOW = 50
-#: Words of one FM-index: with 4-byte ranks of seven lengths a shard takes about 40 MB.
+#: Words of one FM-index.
 SHARD_WORDS = 1 << 18
-#: Different segments of one anchor that an index may hold.
-HOT = 4096
+#: Different segments of one key that are indexed together; the levels of keys by which more are split.
+HOT = 256
+LEVELS = (4, 16, None)
 
 
 def _geometry(window: int) -> tuple[int, int]:
@@ -85,50 +86,110 @@ def _may_repeat(repeated, window: int):
     return may_repeat
 
 
-def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_limit: int) -> DataFrame:
-    """Rows (row, low, high): word intervals to remove, from rows (row, doc, text)."""
-    spark = held.sparkSession
-
-    def segments(with_words: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(0, b.num_rows, 64):
-                    part = b.slice(i, 64)
-                    rows, docs, anchors, starts, values = [], [], [], [], []
-                    for row, doc, text in zip(*(c.to_pylist() for c in part.columns)):
-                        data = text.encode()
-                        at, anchor = _candidates(data, window, repeated.value)
-                        if not len(at):
-                            continue
-                        words = data.split()
-                        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (anchor[1:] != anchor[:-1])]))
-                        last = np.append(first[1:], len(at)) - 1
-                        for a, lo, hi in zip(anchor[first].view(np.int64).tolist(), at[first].tolist(), at[last].tolist()):
-                            seg = b" ".join(words[lo : hi + window])
-                            rows.append(row)
-                            docs.append(doc)
-                            anchors.append(a)
-                            starts.append(lo)
-                            values.append(seg if with_words else hashlib.blake2b(seg, digest_size=16).digest())
-                    anchors = pa.array(anchors, pa.int64())
-                    if with_words:
-                        yield pa.RecordBatch.from_arrays([anchors, pa.array(values, pa.binary()), pa.array(docs, pa.int64())], ["anchor", "seg", "doc"])
-                    else:
-                        yield pa.RecordBatch.from_arrays(
-                            [anchors, pa.array(values, pa.binary()), pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], ["anchor", "sh", "row", "doc", "start"]
-                        )
-
-        return run
-
-    distinct = held.mapInArrow(tidy(segments(True)), "anchor long, seg binary, doc long").groupBy("anchor", "seg").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("times"))
-    distinct = cut(distinct)
-    hot = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_limit).select("anchor"))
-    is_hot = not hot.isEmpty()
-    hot = if_small(hot)
-    cold = distinct.join(hot, "anchor", "left_anti") if is_hot else distinct
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one anchor follow each other; a shard takes whole anchors."""
+def _digest(segment: bytes) -> bytes:
+    return hashlib.blake2b(segment, digest_size=16).digest()
+
+
+def _runs(keys: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, first, last) of the maximal runs of consecutive places ``at`` with one key."""
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (keys[1:] != keys[:-1])]))
+        last = np.append(first[1:], len(at)) - 1
+        yield from zip(keys[first].view(np.int64).tolist(), at[first].tolist(), at[last].tolist())
+
+
+def _finer(segment: bytes, window: int, level: int | None) -> np.ndarray:
+    """A key for every window of a segment: of its ``level`` smallest runs, or of all its words."""
+    h = word_hashes(segment)
+    run, _ = _geometry(window)
+    if level is None:
+        key = np.zeros(len(h) - window + 1, dtype=np.uint64)
+        for j in range(window):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + h[j : j + len(key)])
+        return key
+    h = np.lib.stride_tricks.sliding_window_view(grams(h, run), window - run + 1)
+    k = min(level, h.shape[1])
+    out = []
+    for i in range(0, len(h), 4096):
+        low = np.sort(np.partition(h[i : i + 4096], k - 1, axis=1)[:, :k], axis=1)
+        key = np.zeros(len(low), dtype=np.uint64)
+        for j in range(k):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + low[:, j])
+        out.append(key)
+    return np.concatenate(out)
+
+
+_OCCURRENCE = "key long, sh binary, row long, doc long, start int, n int"
+
+
+def _occurrences(held: DataFrame, repeated, window: int) -> DataFrame:
+    """One row per segment of every text: key, digest of the words, row, doc, first word, words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                out: list[list] = [[] for _ in range(6)]
+                for row, doc, text in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                    data = text.encode()
+                    at, anchor = _candidates(data, window, repeated.value)
+                    words = data.split() if len(at) else []
+                    for key, lo, hi in _runs(anchor, at):
+                        for column, value in zip(out, (key, _digest(b" ".join(words[lo : hi + window])), row, doc, lo, hi - lo + window)):
+                            column.append(value)
+                yield _batch(out, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["key", "sh", "row", "doc", "start", "n"])
+
+    return held.mapInArrow(tidy(run), _OCCURRENCE)
+
+
+def _batch(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _sub_occurrences(segments: DataFrame, window: int, level: int | None) -> DataFrame:
+    """One row per finer segment of every segment (key, sh, doc, times, seg), whose own key and digest become ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                out: list[list] = [[] for _ in range(8)]
+                for up, up_sh, doc, times, seg in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                    words, keys = seg.split(b" "), _finer(seg, window, level)
+                    for key, lo, hi in _runs(keys, np.arange(len(keys))):
+                        for column, value in zip(out, (key, _digest(b" ".join(words[lo : hi + window])), up, up_sh, doc, times, lo, hi - lo + window)):
+                            column.append(value)
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield _batch(out, types, ["key", "sh", "up", "up_sh", "doc", "times", "start", "n"])
+
+    return segments.select("key", "sh", "doc", "times", "seg").mapInArrow(tidy(run), "key long, sh binary, up long, up_sh binary, doc long, times long, start int, n int")
+
+
+def _fetch(distinct: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """Rows (key, sh, doc, times, hot, seg): the words of segments, cut out of one text (columns ``on``, text) that holds each.
+
+    The segments of one text travel as one array, which is no longer than the text.
+    """
+    wanted = distinct.select(*[F.col(f"at.{c}").alias(c) for c in on], F.struct("key", "sh", "doc", "times", "hot", "at.start", "at.n").alias("s"))
+    wanted = wanted.groupBy(*on).agg(F.collect_list("s").alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                out: list[list] = [[] for _ in range(6)]
+                for text, segments in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                    words = text.split()
+                    for s in segments:
+                        for column, value in zip(out, (s["key"], s["sh"], s["doc"], s["times"], s["hot"], b" ".join(words[s["start"] : s["start"] + s["n"]]))):
+                            column.append(value)
+                yield _batch(out, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()], ["key", "sh", "doc", "times", "hot", "seg"])
+
+    return texts.join(wanted, on).select(F.col("text").cast("binary").alias("text"), "s").mapInArrow(tidy(run), "key long, sh binary, doc long, times long, hot boolean, seg binary")
+
+
+def _found(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """Rows (key, sh, first_window, last_window, owner) of segments by FM-indexes: all segments of a key share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one key follow each other; a shard takes whole keys.  It is one of several of a task, one at a time."""
         pending: list[tuple] = []
         words = 0
         for b in batches:
@@ -137,19 +198,54 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
                     yield from _search_shard(pending, window)
                     pending, words = [], 0
                 pending.append(row)
-                words += row[1].count(b" ") + 1
+                words += row[4].count(b" ") + 1
         yield from _search_shard(pending, window)
 
-    # A partition holds several shards, one at a time in memory.  The key is dealt by its hash: a join that is itself
-    # partitioned by the anchor would make Spark drop repartition("anchor"), and its run-time re-planning (local reads,
-    # split partitions) then scatters an anchor over tasks.
-    out = "anchor long, sh binary, first_window int, last_window int, owner long"
-    found = cold.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor").select("anchor", "seg", "doc", "times").mapInArrow(tidy(search), out)
-    if is_hot:
-        found = found.unionByName(_hot_windows(distinct.join(hot, "anchor", "left_semi"), window))
-    occurrences = held.mapInArrow(tidy(segments(False)), "anchor long, sh binary, row long, doc long, start int")
+    # The key is dealt by its hash: a join that is itself partitioned by the key would make Spark drop
+    # repartition("key"), and its run-time re-planning (local reads, split partitions) then scatters a key over tasks.
+    dealt = segments.repartition(F.xxhash64("key")).sortWithinPartitions("key").select("key", "sh", "doc", "times", "seg")
+    return dealt.mapInArrow(tidy(run), "key long, sh binary, first_window int, last_window int, owner long")
+
+
+def _different(occurrences: DataFrame, on: list[str], limit: int | None) -> tuple[DataFrame, bool]:
+    """Different segments (key, sh, doc, times, at, hot) that may meet others, and whether any is hot: of a key of more
+    than ``limit`` of them."""
+    times = F.sum("times") if "times" in occurrences.columns else F.count(F.lit(1))
+    distinct = cut(occurrences.groupBy("key", "sh").agg(F.min("doc").alias("doc"), times.alias("times"), F.min(F.struct(*on, "start", "n")).alias("at")))
+    sizes = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("times").alias("all")).where("all > 1"))
+    cold = F.lit(True) if limit is None else F.col("size") <= limit
+    hot = cut(sizes.where(~cold).select("key"))
+    any_hot = not hot.isEmpty()
+    # the rows of hot keys are picked before anything is dealt by key, so that no task gets all of one
+    hot = if_small(hot) if any_hot else None
+    few = (distinct.join(hot, "key", "left_anti") if any_hot else distinct).join(sizes.select("key"), "key", "left_semi").withColumn("hot", F.lit(False))
+    return few.unionByName(distinct.join(hot, "key", "left_semi").withColumn("hot", F.lit(True))) if any_hot else few, any_hot
+
+
+def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_limit: int) -> DataFrame:
+    """Rows (row, low, high): word intervals to remove, from rows (row, doc, text)."""
+    occurrences = cut(_occurrences(held, repeated, window))
+    distinct, hot = _different(occurrences, ["row"], hot_limit)
+    segments = _fetch(distinct, held, ["row"])
+    above, found = [], []
+    for level in LEVELS:
+        if not hot:
+            break
+        segments = cut(segments)
+        found.append(_found(segments.where("not hot"), window, shard_words))
+        many = segments.where("hot")
+        above.append(cut(_sub_occurrences(many, window, level)))
+        distinct, hot = _different(above[-1], ["up", "up_sh"], None if level is None else hot_limit)
+        segments = _fetch(distinct, many.select(F.col("key").alias("up"), F.col("sh").alias("up_sh"), F.col("seg").alias("text")), ["up", "up_sh"])
+    found.append(_found(segments, window, shard_words))
+    # what finer segments found, in windows of the segments that they are parts of
+    while above:
+        of, finer = above.pop(), found.pop()
+        back = of.join(finer, ["key", "sh"]).where("owner < doc or times > 1")
+        back = back.select(F.col("up").alias("key"), F.col("up_sh").alias("sh"), (F.col("start") + F.col("first_window")).alias("first_window"), (F.col("start") + F.col("last_window")).alias("last_window"), "owner")
+        found[-1] = found[-1].unionByName(back)
     return (
-        occurrences.join(found, ["anchor", "sh"])
+        occurrences.join(found[0], ["key", "sh"])
         .where("owner < doc")
         .select("row", (F.col("start") + F.col("first_window")).alias("low"), (F.col("start") + F.col("last_window") + F.lit(window)).alias("high"))
     )
@@ -157,65 +253,25 @@ def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_lim
 
 def _search_shard(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     """Build the index of a shard's segments and stream them through it."""
-    # an anchor whose only segment occurs once repeats nothing
-    alone = {}
-    for anchor, _, _, times in rows:
-        alone[anchor] = alone.get(anchor, 0) + times
-    rows = [r for r in rows if alone[r[0]] > 1]
     if not rows:
         return
-    shard = Shard((r[1].split(b" ") for r in rows), [r[2] for r in rows], window)
+    shard = Shard((r[4].split(b" ") for r in rows), [r[2] for r in rows], window, foreign=False)
     match, owner = shard.statistics()
-    anchors, hashes, firsts, lasts, owners = [], [], [], [], []
-    for (anchor, seg, _, _), m, o in zip(rows, match, owner):
+    out: list[list] = [[] for _ in range(5)]
+    for (key, sh, *_), m, o in zip(rows, match, owner):
         at = np.flatnonzero(m >= window)
         if not len(at):
             continue
         new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(o[at]) != 0)]))
         end = np.append(new[1:], len(at)) - 1
-        sh = hashlib.blake2b(seg, digest_size=16).digest()
-        anchors += [anchor] * len(new)
-        hashes += [sh] * len(new)
-        firsts += at[new].tolist()
-        lasts += at[end].tolist()
-        owners += o[at[new]].tolist()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(anchors, pa.int64()), pa.array(hashes, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(owners, pa.int64())],
-        ["anchor", "sh", "first_window", "last_window", "owner"],
-    )
+        for column, values in zip(out, ([key] * len(new), [sh] * len(new), at[new].tolist(), at[end].tolist(), o[at[new]].tolist())):
+            column += values
+    yield _batch(out, [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()], ["key", "sh", "first_window", "last_window", "owner"])
 
 
-def _hot_windows(distinct: DataFrame, window: int) -> DataFrame:
-    """Segments of hot anchors by single windows: the smallest id of each window's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                out: list[list] = [[], [], [], [], []]
-                for anchor, seg, doc in zip(*(c.to_pylist() for c in part.columns)):
-                    words, sh = seg.split(b" "), hashlib.blake2b(seg, digest_size=16).digest()
-                    for k in range(len(words) - window + 1):
-                        for column, value in zip(out, (anchor, sh, k, hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest(), doc)):
-                            column.append(value)
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["anchor", "sh", "first_window", "wh", "doc"])
-
-    windows = distinct.select("anchor", "seg", "doc").mapInArrow(tidy(run), "anchor long, sh binary, first_window int, wh binary, doc long")
-    owners = windows.groupBy("wh").agg(F.min("doc").alias("owner"))
-    return windows.join(owners, "wh").select("anchor", "sh", "first_window", F.col("first_window").alias("last_window"), "owner")
-
-
-def _removed(
-    docs: DataFrame, id_col: str, text_col: str, window: int, filter_bits: int, shard_words: int, hot_limit: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that keep all words, and rows (``docs``, __spans) that may not."""
-    repeated = _plan(docs, id_col, text_col, window, filter_bits)
-    may_repeat = _may_repeat(repeated, window)(F.when(F.col(id_col).isNotNull(), F.col(text_col).cast("string")))
-    held = cut(docs.where(may_repeat).withColumn("__row", F.monotonically_increasing_id()))
-    rows = held.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    spans = _intervals(rows, repeated, window, shard_words, hot_limit).distinct().groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
-    return docs.where(~may_repeat), held.join(spans.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+def _spans(held: DataFrame, repeated, window: int, shard_words: int, hot_limit: int) -> DataFrame:
+    """Rows (row, spans) of rows (row, doc, text); the intervals of one row are no more than its words."""
+    return _intervals(held, repeated, window, shard_words, hot_limit).distinct().groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def _kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -245,22 +301,41 @@ def digests(
     loses nothing and takes nothing from others; rows that share an id take nothing from each other.  Other columns are
     not read; an empty table gives an empty one.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole, held = _removed(base, "id", "text", window, filter_bits, shard_words, hot_limit)
+    repeated = _plan(docs, id_col, text_col, window, filter_bits)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that cannot lose words are done; the others go on."""
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                out: list[list] = [[], [], []]
+                for doc, text in zip(*(c.to_pylist() for c in part.columns)):
+                    data = (text or "").encode()
+                    goes_on = doc is not None and len(_candidates(data, window, repeated.value)[0]) > 0
+                    words = [] if goes_on else data.split()
+                    for column, value in zip(out, (text if goes_on else None, len(words), None if goes_on else hashlib.sha256(b" ".join(words)).hexdigest())):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["id", "text", "n_words", "kept_sha256"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(first), f"id {kind}, text string, n_words long, kept_sha256 string")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    held = rows.where("kept_sha256 is null").select("row", "id", F.col("id").cast("long").alias("doc"), "text")
+    spans = _spans(held.select("row", "doc", "text"), repeated, window, shard_words, hot_limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, sha = [], [], []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows):
-                kept, total = _kept_words(text, spans)
+            for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                kept, total = _kept_words(text, own)
                 n.append(total)
                 removed.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string"
-    return whole.mapInArrow(tidy(run), schema).unionByName(held.select("id", "text", "__spans").mapInArrow(tidy(run), schema)).withColumnRenamed("id", id_col)
+    done = rows.where("kept_sha256 is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    cut_up = held.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(tidy(run), f"id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return done.unionByName(cut_up).withColumnRenamed("id", id_col)
 
 
 def deduplicate(
@@ -277,16 +352,22 @@ def deduplicate(
     Texts that lose nothing stay as they are, byte by byte; of the others the kept words are joined by one space.  A
     text that loses all its words leaves the table.  Nulls and repeated rows are treated as in ``digests``.
     """
-    whole, held = _removed(docs, id_col, text_col, window, filter_bits, shard_words, hot_limit)
+    repeated = _plan(docs, id_col, text_col, window, filter_bits)
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    may_repeat = _may_repeat(repeated, window)(F.when(id_.isNotNull(), text))
+    row, own = unused(docs, "row"), unused(docs, "spans")
+    held = cut(docs.where(may_repeat).withColumn(row, F.monotonically_increasing_id()))
+    spans = _spans(held.select(F.col(row).alias("row"), id_.cast("long").alias("doc"), text.alias("text")), repeated, window, shard_words, hot_limit)
+    held = held.join(spans.select(F.col("row").alias(row), F.col("spans").alias(own)), row, "left")
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, spans):
-            words, total = _kept_words(text, own)
+        for text, cuts in zip(texts, spans):
+            words, total = _kept_words(text, cuts)
             out.append(text if len(words) == total else b" ".join(words).decode() if words else None)
         return pd.Series(out, dtype=object)
 
-    names = docs.columns
-    changed = held.withColumn("__kept", kept(F.col(text_col).cast("string"), F.col("__spans"))).where(F.col("__kept").isNotNull())
-    return whole.unionByName(changed.withColumn(text_col, F.col("__kept")).select(*[F.col(f"`{c}`") for c in names]))
+    changed = held.withColumn(row, kept(text, F.col(own))).where(F.col(row).isNotNull())
+    names = [F.col(row).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return docs.where(~may_repeat).unionByName(changed.select(*names))
