@@ -35,19 +35,17 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur gbp percent degrees celsius fahrenheit kmh mph watt watts kwh volt volts"
 ).split()
-#: A capitalised word after a lower-case word or a comma; words in capitals throughout are no names.
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
-#: White space other than one U+0020.
-SPACES = r"[\s\p{Z}]{2,}|[^\P{Z} ]|[\t-\r]"
+#: A capitalised word after a lower-case word or a comma and up to 16 characters of white space; words in capitals
+#: throughout are no names.
+NAME = r"\p{Lu}(?<=[\p{Ll},;][\s\p{Z}]{1,16}\p{Lu})\p{Ll}+"
 #: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
 TOKEN = f"\u0001?[^{UNSPACED}\\P{{L}}]+|[{UNSPACED}]|[0-9]+(?:[.,][0-9]+)*"
 
 
 def raw_tokens(text: Column) -> Column:
-    """Lower-case words and numbers in order; names are marked by U+0001, whatever white space is before them."""
+    """Lower-case words and numbers in order; names are marked by U+0001."""
     clean = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u0001"), F.lit(" "))
-    clean = F.regexp_replace(clean, SPACES, " ")
     return F.regexp_extract_all(F.lower(F.regexp_replace(clean, NAME, "\u0001$0")), F.lit(TOKEN), F.lit(0))
 
 
@@ -60,17 +58,17 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, _shape)
 
 
-def folded(tokens: Column) -> Column:
-    """Tokens without the mark of names."""
-    return F.transform(tokens, _fold)
-
-
 def _fold(w: Column) -> Column:
+    """A token without the mark of names."""
     return F.ltrim(w, F.lit("\u0001"))
 
 
-def _codes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda w: F.xxhash64(w))
+def _coded(tokens: Column) -> tuple[Column, str, str]:
+    """Codes of the templates, and SQL of the codes of the words and of the places of placeholders, given the columns
+    ``shapes`` and ``tokens``: a word that is no placeholder is its own template."""
+    held = " or ".join(f"s = xxhash64('{c}')" for c in "#@%")
+    words = f"zip_with(shapes, tokens, (s, w) -> if({held}, xxhash64(ltrim('\u0001', w)), s))"
+    return F.transform(tokens, lambda w: F.xxhash64(_shape(w))), words, f"filter(transform(shapes, (s, i) -> if({held}, i, -1)), i -> i >= 0)"
 
 
 def _hash(column: str, n: int, salt: int) -> str:
@@ -79,25 +77,33 @@ def _hash(column: str, n: int, salt: int) -> str:
 
 
 def _windows(n: int) -> str:
-    """SQL of the hashes of all windows of ``n`` words: of the templates, then of the words."""
-    every = "transform(sequence(0, size(words) - {n}), i -> {h})"
-    both = f"concat({every.format(n=n, h=_hash('shapes', n, n))}, {every.format(n=n, h=_hash('words', n, -n))})"
-    whole = f"transform(array(0), i -> {_hash('words', n, -n)})"
-    found, when = (both, f"size(words) >= {n}") if n >= MIN_ITEM else (whole, f"size(words) = {n}")
-    return f"if({when}, {found}, cast(array() as array<bigint>))"
+    """SQL of (pos, hash) of all windows of ``n`` words, and of the templates of those with placeholders.
+
+    Each of the latter belongs to its first placeholder: the j-th stands in those that begin behind the one before it.
+    """
+    none = "cast(array() as array<struct<pos:int,hash:bigint>>)"
+    each = "transform(sequence({low}, {high}), i -> named_struct('pos', i, 'hash', {h}))"
+    if n < MIN_ITEM:
+        return f"if(size(words) = {n}, {each.format(low=0, high=0, h=_hash('words', n, -n))}, {none})"
+    low, high = f"greatest(0, j - {n - 1}, if(x = 0, 0, at[x - 1] + 1))", f"least(j, size(words) - {n})"
+    of_shapes = f"flatten(transform(at, (j, x) -> if({low} <= {high}, {each.format(low=low, high=high, h=_hash('shapes', n, n))}, {none})))"
+    return f"if(size(words) >= {n}, concat({each.format(low=0, high=f'size(words) - {n}', h=_hash('words', n, -n))}, {of_shapes}), {none})"
 
 
 def _sequences(bench: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
     """The items (item, item_key), and the different sequences of words among them.
 
-    ``plain`` tells for every window of a sequence whether it has words enough to be searched for by its template.
+    ``plain`` tells for every window of a sequence whether it has words enough to be searched for by its template, and
+    ``open`` whether it has a placeholder: a template without is the words themselves.
     """
     items = bench.select(F.col(item_col).alias("item"), raw_tokens(F.col(text_col)).alias("item_raw")).where(F.size("item_raw") > 0)
     items = cut(items.withColumn("item_key", F.xxhash64(F.array_join("item_raw", " "))).distinct())
     texts = items.select("item_key", "item_raw").dropDuplicates(["item_key"]).withColumn("item_template", template(F.col("item_raw")))
     texts = texts.withColumn("n", F.least(F.size("item_raw"), F.lit(window))).withColumn("n_windows", F.size("item_raw") - F.col("n") + 1)
     plain = f"transform(sequence(0, n_windows - 1), i -> n >= {MIN_ITEM} and size(filter(slice(item_template, i + 1, n), w -> w not in ('#', '@', '%'))) >= least({MIN_PLAIN}, n))"
-    return items.select("item", "item_key"), cut(texts.withColumn("plain", F.expr(plain)).withColumn("n_dense", F.expr("size(filter(plain, p -> not p))")))
+    opened = "transform(plain, (p, i) -> p and exists(slice(item_template, i + 1, n), w -> w in ('#', '@', '%')))"
+    texts = texts.withColumn("plain", F.expr(plain)).withColumn("open", F.expr(opened)).withColumn("n_dense", F.expr("size(filter(plain, p -> not p))"))
+    return items.select("item", "item_key"), cut(texts)
 
 
 def _alike(texts: DataFrame) -> DataFrame:
@@ -112,24 +118,24 @@ def _candidates(docs: DataFrame, texts: DataFrame, collapse: bool, min_windows:
     sizes = sorted(r[0] for r in texts.select("n").distinct().collect())  # at most WINDOW numbers
     of_items = None
     texts = texts.join(_alike(texts), "item_key", "left").withColumn("searched", F.col("stands").isNotNull() | F.lit(not collapse))
-    coded = texts.select("item_key", "n", "n_windows", "n_dense", "plain", "searched", _codes("item_template").alias("shapes"), _codes(folded(F.col("item_raw"))).alias("words"))
+    shapes, words, at = _coded(F.col("tokens"))
+    coded = texts.select("item_key", "n", "n_windows", "n_dense", "open", "searched", F.col("item_raw").alias("tokens")).withColumn("shapes", shapes).withColumn("words", F.expr(words))
     for n in sizes:
-        at = coded.where(F.col("n") == n).select("*", F.posexplode("plain").alias("i", "by_shape"))
-        rows = [at.where("by_shape and searched").withColumn("hash", F.expr(_hash("shapes", n, n))), at.withColumn("hash", F.expr(_hash("words", n, -n)))]
-        for part in rows:
-            part = part.select("hash", "item_key", "n_windows", "n_dense", F.col("i").alias("ipos"))
+        rows = coded.where(F.col("n") == n).select("*", F.posexplode("open").alias("i", "by_shape"))
+        for part, h in ((rows.where("by_shape and searched"), _hash("shapes", n, n)), (rows, _hash("words", n, -n))):
+            part = part.select(F.expr(h).alias("hash"), "item_key", "n_windows", "n_dense", F.col("i").alias("ipos"))
             of_items = part if of_items is None else of_items.unionByName(part)
     if of_items is None:
         return docs.select(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("item_key"), F.lit(0).alias("diagonal"), F.lit(0).alias("hit")).limit(0)
     of_items = cut(of_items)
-    coded = docs.select("k1", "k2", raw_tokens(F.col("text")).alias("tokens")).select("k1", "k2", _codes(template(F.col("tokens"))).alias("shapes"), _codes(folded(F.col("tokens"))).alias("words"))
+    coded = docs.select("k1", "k2", raw_tokens(F.col("text")).alias("tokens")).withColumn("shapes", shapes).withColumn("words", F.expr(words)).drop("tokens").withColumn("at", F.expr(at))
     if len(sizes) > 1:
         coded = coded.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
-        hashes = F.expr(f"case n {' '.join(f'when {n} then {_windows(n)}' for n in sizes)} end")
+        windows = F.expr(f"case n {' '.join(f'when {n} then {_windows(n)}' for n in sizes)} end")
     else:
-        coded, hashes = coded.withColumn("n", F.lit(sizes[0])), F.expr(_windows(sizes[0]))
-    found = coded.select("k1", "k2", (F.size("words") - F.col("n") + 1).alias("own"), F.posexplode(hashes).alias("pos", "hash")).join(if_small(of_items), "hash")
-    found = found.select("k1", "k2", "item_key", "n_windows", "n_dense", (F.col("pos") % F.col("own")).alias("dpos"), "ipos").distinct()
+        windows = F.expr(_windows(sizes[0]))
+    found = coded.select("k1", "k2", F.inline(windows)).join(if_small(of_items), "hash")
+    found = found.select("k1", "k2", "item_key", "n_windows", "n_dense", F.col("pos").alias("dpos"), "ipos").distinct()
     hits = found.groupBy("k1", "k2", "item_key", "n_windows", "n_dense", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hit"))
     # windows that only their words find may match by their templates: they are counted when the passage is judged
     return hits.where(F.col("hit") >= F.greatest(F.lit(1), _needed(F.col("n_windows"), min_windows) - F.col("n_dense"))).select("k1", "k2", "item_key", "diagonal", "hit")
