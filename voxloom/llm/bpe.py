@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import FILTER_BITS, cut, repeated_keys, small_batches, tidy
 
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 1024, 256, 8192
+#: Token ids, or rows, of one batch of results.
+EMIT_IDS = 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -190,20 +192,19 @@ class Assembler:
     """Puts pieces together in order; joins are encoded again up to the neighbours' safe cuts."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.open, self.parts = codec, b"", []
+        self.codec, self.open, self.parts = codec, [], []
 
     def add(self, packed: bytes) -> None:
         head, tail = struct.unpack_from("<ii", packed)
-        self.open += packed[8 : 8 + head]
+        self.open.append(packed[8 : 8 + head])
         if tail < 0:
             return
-        self.parts.append(self.codec.encode(self.open.decode()))
+        self.parts.append(self.codec.encode(b"".join(self.open).decode()))
         self.parts.append(packed[8 + head + tail :])
-        self.open = packed[8 + head : 8 + head + tail]
+        self.open = [packed[8 + head : 8 + head + tail]]
 
     def ids(self) -> np.ndarray:
-        self.parts.append(self.codec.encode(self.open.decode()))
-        return np.frombuffer(b"".join(self.parts), dtype=self.codec.dtype)
+        return np.frombuffer(b"".join([*self.parts, self.codec.encode(b"".join(self.open).decode())]), dtype=self.codec.dtype)
 
 
 def encode_by_chunks(codec: Codec, text: str, **sizes) -> list[int]:
@@ -301,23 +302,40 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of one row follow each other; rows that repeat (same id, same text) bring each piece several times."""
-        codec, row, pos, times, a, owner = Codec.of(path), None, -1, 0, None, None
+        codec, row, pos, times, a, owner, kind = Codec.of(path), None, -1, 0, None, None, None
+
+        owners: list = []
+        found: list[np.ndarray] = []
+        held = 0
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            """Equal rows are put out in batches of bounded size."""
+            nonlocal held, times
+            ids = a.ids()
+            while times:
+                n = min(times, 1 + max(0, EMIT_IDS - held) // max(1, len(ids)))
+                owners.extend([owner] * n)
+                found.extend([ids] * n)
+                held, times = held + n * len(ids), times - n
+                if held >= EMIT_IDS or len(owners) >= EMIT_IDS or last and not times:
+                    yield _ids_batch(pa.array(owners, kind), found)
+                    owners.clear()
+                    found.clear()
+                    held = 0
+
         for b in batches:
-            owners, found = [], []
+            kind = b.schema.field(0).type
             for r, (of, at, body) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))):
                 if of != row:
                     if row is not None:
-                        owners += [owner] * times
-                        found += [a.ids()] * times
+                        yield from done(False)
                     row, pos, times, a, owner = of, -1, 0, Assembler(codec), b.column(0)[r].as_py()
                 times += at == 0
                 if at != pos:
                     a.add(body.as_py())
                     pos = at
-            yield _ids_batch(pa.array(owners, b.schema.field(0).type), found)
-            owner_type = b.schema.field(0).type
         if row is not None:
-            yield _ids_batch(pa.array([owner] * times, owner_type), [a.ids()] * times)
+            yield from done(True)
 
     whole = ordered.mapInArrow(tidy(assemble), f"id {kind}, ids array<int>")
     return rows.mapInArrow(tidy(alone), f"id {kind}, ids array<int>").unionByName(whole).withColumnRenamed("id", id_col)

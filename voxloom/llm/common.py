@@ -32,15 +32,18 @@ def small_batches(spark: SparkSession) -> None:
 def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() in the shared folder that the session names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where neither it nor the context has a folder
-    (a local test) is a temporary one set.
+    ``spark.checkpoint.dir`` is read from the session; only on a local master, where neither it nor the context has a
+    folder, is a temporary one set; on a cluster that is an error.
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -61,6 +64,11 @@ def if_small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many tasks as shuffles have: a small table that was gathered in few and will grow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any spelling of its case."""
     taken = {c.lower() for c in df.columns}
@@ -125,13 +133,16 @@ BLACK = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 
 
-def word_hashes(data: bytes, of: np.ndarray = BLACK) -> np.ndarray:
-    """A 64-bit hash of every maximal run of bytes for which the table ``of`` is true, in order."""
+def word_hashes(data: bytes, of: np.ndarray = BLACK, most: int | None = None) -> np.ndarray:
+    """A 64-bit hash of every maximal run of bytes for which the table ``of`` is true, in order; of its first ``most`` characters."""
     b = np.frombuffer(data, dtype=np.uint8)
     if not len(b):
         return np.zeros(0, dtype=np.uint64)
     edge = np.diff(of[b].astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if most is not None:
+        first = np.append(np.flatnonzero((b & 0xC0) != 0x80), [len(b)] * (most + 1))
+        end = np.minimum(end, first[np.searchsorted(first[: len(first) - most], start) + most])
     up, down = Powers.to(len(b) + 1)
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])

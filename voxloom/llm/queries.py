@@ -10,8 +10,12 @@ from . import bpe, decontamination, gif, sharding, simhash, substring_dedup, tok
 from .common import read_table
 
 
+#: Bytes of a shard in op1_sharding: a small one, so that small tables are split as well.
+OP1_SHARD_BYTES = 1 << 18
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(read_table(spark, sf_dir, "documents"))
+    return sharding.assign(read_table(spark, sf_dir, "documents"), OP1_SHARD_BYTES)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH r AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, ('0x' || md5(coalesce(doc_id::varchar, 'null'))[1:15])::bigint AS h FROM documents),
 lv AS (SELECT d, h >> (60 - d)::int AS p, sum(bytes)::bigint AS shard_bytes, count(*) AS shard_docs FROM r, range(0, 31) t(d) GROUP BY ALL),
-fits AS (SELECT * FROM lv WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_docs = 1)
+fits AS (SELECT * FROM lv WHERE shard_bytes <= {OP1_SHARD_BYTES} OR shard_docs = 1)
 SELECT doc_id, bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::int, '0') END AS shard, d::int AS depth, shard_bytes, shard_docs
 FROM r JOIN fits ON fits.p = h >> (60 - d)::int
 QUALIFY row_number() OVER (PARTITION BY doc_id, h ORDER BY d) = 1""",

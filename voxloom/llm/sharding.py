@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, if_small, unused
 
 #: Bytes of text of one shard.
 SHARD_BYTES = 64 << 20
@@ -61,8 +61,8 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
             rows = rows.withColumn("h", F.col("h2"))
         directory = cut(_round(rows, low % _BITS, limit))
         fine = F.expr(f"shiftright(h, {_BITS - low % _BITS - _STEP}) & {(1 << _STEP) - 1}L")
-        # the first directory has 2**12 entries at most; later ones grow with the data and are joined by shuffle
-        looked_up = rows.withColumn("fine", fine).join(F.broadcast(directory) if low == 0 else directory, ["group", "fine"])
+        # the first directory has 2**12 entries at most; later ones grow with the data, and large ones are joined by shuffle
+        looked_up = rows.withColumn("fine", fine).join(F.broadcast(directory) if low == 0 else if_small(directory, 160), ["group", "fine"])
         looked_up = looked_up.withColumn("prefix", F.concat("group", F.expr(f"substring(lpad(bin(fine), {_STEP}, '0'), 1, coalesce(d, {_STEP}))")))
         done.append(
             looked_up.where("d is not null").select("id", "bytes", F.col("prefix").alias("shard"), F.length("prefix").alias("depth"), "shard_bytes", "shard_docs")
@@ -95,7 +95,11 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` below ``path``, one folder ``__shard=<prefix>`` for each shard; all columns are kept.
 
-    Needs distinct, non-null ids: the shard is joined to the row by its id.
+    Needs distinct, non-null ids: the shard is joined to the row by its id.  A column ``__shard`` of ``docs`` would be
+    lost in the folders' names, so it is an error; all other names may be used.
     """
-    shards = assign(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), F.concat(F.lit("s"), "shard").alias("__shard"))
-    docs.join(shards, F.col(id_col) == F.col("__id")).drop("__id").repartition("__shard").write.partitionBy("__shard").parquet(path)
+    if "__shard" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column __shard")
+    key = unused(docs, "key")
+    shards = assign(docs, limit, id_col, text_col).select(F.col(f"`{id_col}`").alias(key), F.concat(F.lit("s"), "shard").alias("__shard"))
+    docs.join(shards, F.col(f"`{id_col}`") == F.col(key)).drop(key).repartition("__shard").write.partitionBy("__shard").parquet(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLACK, cut, grams, if_small, mix, small_batches, tidy, word_hashes
+from .common import BLACK, cut, grams, if_small, mix, small_batches, spread, tidy, unused, word_hashes
 
 SEED = 42
 RADIUS = 2
@@ -110,7 +110,7 @@ def neighbour_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BU
     """Pairs (a, b), a < b, of the distinct longs in column ``fp`` that differ in 1 to ``radius`` (at most 2) bits."""
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 cover a distance of 3 at most")
-    start = cut(fps.select("fp").where("fp is not null").distinct())
+    start = spread(cut(fps.select("fp").where("fp is not null").distinct()))  # each row becomes 35
     rows = start.select("fp", F.explode(F.array(F.lit("t"), F.lit("p"))).alias("side"), F.lit(0).cast("long").alias("up"), F.lit(0).alias("low"))
     found: DataFrame | None = None
     width = 32
@@ -224,7 +224,8 @@ def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (a, b long): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps; every round is checkpointed, and only a count reaches the driver.
+    Alternating large-star and small-star steps; every round is checkpointed, and only a count reaches the driver.  The
+    rounds grow with the logarithm of the longest path; ``max_rounds`` is a guard that raises, it drops nothing.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
@@ -281,24 +282,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one row of each component: the one of the smallest id.
 
     Rows that repeat that id, or that have no id in a component without ids, are reduced to the one that comes first by
-    text; all columns of the kept rows are unchanged.
+    text; all columns of the kept rows, whatever their names, are unchanged.  An empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    one = found.groupBy("component_id").agg(F.count(F.expr(f"case when {id_col} = component_id then 1 end")).alias("own"), F.min("fingerprint").alias("fp"))
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key, row = unused(docs, "keep"), unused(docs, "row")
+    found = near_duplicates(docs.select(id_.alias("id"), text.cast("string").alias("text")), "id", "text", **options)
+    one = found.groupBy("component_id").agg(F.count(F.expr("case when id = component_id then 1 end")).alias("own"), F.min("fingerprint").alias("fp"))
     one = cut(one)
-    keep = one.where("component_id is not null").select(F.col("component_id").alias("__keep"))
-    kept = docs.join(if_small(keep), F.col(id_col) == F.col("__keep"), "left_semi")
+    keep = one.where("component_id is not null").select(F.col("component_id").alias(key))
+    kept = docs.join(if_small(keep), id_ == F.col(key), "left_semi")
     if one.where("own > 1 or component_id is null").isEmpty():
         return kept
-    names = docs.columns
-    nulls = docs.where(F.col(id_col).isNull()).join(
-        found.where("component_id is null").select(F.col("fingerprint").alias("__fp")).distinct(),
-        _fingerprint_udf(text_col) == F.col("__fp"),
-        "left_semi",
-    )
-    firsts = kept.groupBy(F.col(id_col).alias("__g")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__r"))
-    lone = nulls.groupBy(_fingerprint_udf(text_col).alias("__g")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__r"))
-    return firsts.select("__r.*").unionByName(lone.select("__r.*"))
+    lone = found.where("component_id is null").select(F.col("fingerprint").alias(key)).distinct()
+    nulls = docs.where(id_.isNull()).join(lone, _fingerprint_udf(text_col) == F.col(key), "left_semi")
+    everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = lambda rows, by: rows.groupBy(by.alias(key)).agg(F.min_by(everything, F.struct(text.isNull(), text)).alias(row)).select(f"{row}.*")
+    return first(kept, id_).unionByName(first(nulls, _fingerprint_udf(text_col)))
 
 
 def _fingerprint_udf(text_col: str) -> Column:
@@ -306,4 +305,4 @@ def _fingerprint_udf(text_col: str) -> Column:
     def hexed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: f"{fingerprint(t):016x}")
 
-    return hexed(F.col(text_col).cast("string"))
+    return hexed(F.col(f"`{text_col}`").cast("string"))

@@ -17,7 +17,7 @@ from .bpe import Codec, default_vocabulary
 from .common import cut, small_batches, tidy
 
 #: Lengths of one block of the two-level prefix sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def context_table(hist: DataFrame) -> DataFrame:
     ``sum(min(length, L))`` over all documents; docs_upto: documents of L tokens or fewer (quantile q is the smallest L
     with docs_upto >= q * total_docs); total_docs, total_tokens.  An empty histogram gives an empty table.
 
-    Suffix sums are made in two levels, so no task sees all lengths: within blocks of 1,024 lengths, then over blocks.
+    Suffix sums are made in two levels, so no task sees all lengths: within blocks of ``BLOCK`` lengths, then over blocks.
     """
     hist = hist.select("length", "n_docs", F.expr("length * n_docs").alias("tokens"), F.expr(f"length div {BLOCK}").alias("block"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
@@ -87,5 +87,9 @@ def truncated_total(table: DataFrame, limit: int) -> int:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The context table of all rows of ``docs``; other columns are not read."""
+    """The context table of all rows of ``docs``.
+
+    A null text has no tokens and counts as length 0, like an empty one; repeated rows count each; other columns are not
+    read; an empty table gives an empty one.
+    """
     return context_table(cut(histogram(docs, text_col, vocabulary)))
