@@ -45,12 +45,25 @@ def examples(rows: DataFrame, order: str, k: int = 3) -> DataFrame:
     return lists.join(dropped.groupBy("reason").agg((F.count(F.lit(1)) - k).alias("more")), "reason").withColumn("more", F.greatest("more", F.lit(0)))
 
 
-def merge(carried: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    """Union by name; of rows that share a key the last one stays (fresh after carried); rows without a key all stay."""
+def merge(carried: DataFrame, fresh: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Union by name; of rows that share a key the last one stays; rows without a key (null or empty) all stay.
+
+    Fresh rows come after carried ones, within a side later ones by ``order``; without ``order``, and on ties, the row
+    that is last by its content.  ``in_order`` sorts the result as a corpus is written.
+    """
     both = carried.withColumn("__src", F.lit(0)).unionByName(fresh.withColumn("__src", F.lit(1)), allowMissingColumns=True)
     names = [c for c in both.columns if c != "__src"]
-    last = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), "__src").alias("r")).select("r.*")
-    return last.unionByName(both.where(F.col(key).isNull()).select(names))
+    row = F.struct(*names)
+    rank = F.struct("__src", *([order] if order else []), F.to_json(row).alias("__json"))
+    keyed = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
+    last = both.where(keyed).groupBy(key).agg(F.max_by(row, rank).alias("r")).select("r.*")
+    return last.unionByName(both.where(~keyed | F.col(key).isNull()).select(names))
+
+
+def in_order(rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows by key; those without one at the end, by ``order``."""
+    anonymous = F.col(key).isNull() | (F.col(key).cast("string") == "")
+    return rows.orderBy(anonymous, F.when(~anonymous, F.col(key)), *([order] if order else []))
 
 
 def split_size(n: int, fraction: float) -> int:
@@ -78,26 +91,33 @@ def holdout(rows: DataFrame, key: str, fraction: float, seed: str = "7") -> Data
     return marked.withColumn("held_out", (F.col("__b") < edge) | F.col("__k").isNotNull() if k else F.lit(False)).drop("__h", "__b", "__k")
 
 
-def _answers(path: Column) -> Column:
-    """Names that a file answers to: its path, the path without suffix, the base name, the stem, each also lower-cased."""
-    bare, base = F.regexp_replace(path, r"\.[^./]*$", ""), F.regexp_extract(path, "([^/]*)$", 1)
-    names = F.array(path, bare, base, F.regexp_replace(base, r"\.[^./]*$", ""))
+def _answers(path: Column, full: Column | None = None) -> Column:
+    """Names that a file answers to: its path, without suffix, base name, stem and full path, each also lower-cased."""
+    base = F.regexp_extract(path, "([^/]*)$", 1)
+    names = F.array(path, F.regexp_replace(path, r"\.[^.]*$", ""), base, F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), *([full] if full is not None else []))
     return F.array_distinct(F.concat(names, F.transform(names, F.lower)))
 
 
 def _tries(name: Column) -> Column:
-    """Names that a manifest row tries, in order."""
-    bare, base = F.regexp_replace(name, "^[./]+", ""), F.regexp_extract(name, "([^/]*)$", 1)
-    names = F.array(name, bare, base, F.regexp_replace(base, r"\.[^./]*$", ""))
-    return F.concat(names, F.transform(names, F.lower))
+    """Names that a manifest row tries, in order: each as it is, then at once in lower case.
+
+    As written, without leading dots and slashes, as a plain path (no empty or ``.`` parts), base name, stem.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "/+", "/"), r"(^|(?<=/))(\./)+", ""), r"(?<=.)/\.?$", "")
+    base = F.regexp_extract(plain, "([^/]*)$", 1)
+    names = F.array(name, F.regexp_replace(name, "^[./]+", ""), plain, base, F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""))
+    return F.flatten(F.transform(names, lambda n: F.array(n, F.lower(n))))
 
 
 def pair(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows (row, file, status) for manifest rows (row, name) and files (file): matched, ambiguous or unmatched.
+    """Rows (row, file, status) for manifest rows (row, name) and files (file[, path]): matched, ambiguous or unmatched.
 
-    The first name that exactly one file answers to wins; a name of several files is poisoned.
+    The first name that exactly one file answers to wins; a name of several files is poisoned.  ``path`` is a file's
+    full path.
     """
-    keys = files.select("file", F.explode(_answers(F.col("file"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.min("file").alias("file"))
+    full = F.col("path") if "path" in files.columns else None
+    keys = files.select("file", F.explode(_answers(F.col("file"), full)).alias("key")).distinct()
+    keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.min("file").alias("file"))
     tried = manifest.select("row", F.posexplode(_tries(F.col("name"))).alias("priority", "key")).join(keys, "key", "left")
     best = tried.groupBy("row").agg(
         F.min_by("file", F.when(F.col("owners") == 1, F.col("priority"))).alias("hit"),
@@ -125,6 +145,58 @@ def cascade(requests: DataFrame, installed: DataFrame, aliases: DataFrame) -> Da
     return out.select("request", F.coalesce("exact", "by_suffix", "target", F.lit("base")).alias("voice"), how.alias("how"))
 
 
+# Names that stock clients send, and those of the base voice.
+STOCK_VOICES = ["alloy", "ash", "ballad", "cedar", "coral", "echo", "fable", "marin", "nova", "onyx", "sage", "shimmer", "verse"]
+BASE_NAMES = ["base", "default"]
+
+
+def is_generic(name: Column, aliases: DataFrame | None = None) -> Column:
+    """Is the name a stock one or one of the base voice?  (An alias is one as well; those are a table.)"""
+    return F.lower(F.trim(F.coalesce(name, F.lit("")))).isin(["", *STOCK_VOICES, *BASE_NAMES])
+
+
+def resolve_voice(requests: DataFrame, installed: DataFrame, aliases: DataFrame, model_id: str) -> DataFrame:
+    """(request, voice, how) of requests (request, name, model): the most deliberate choice first.
+
+    An installed voice; a name that is neither generic nor an alias is ``unknown``; the voice of a ``<model_id>:<voice>``
+    model; an alias whose target is installed (``missing`` if it is not); the base voice, null.
+    """
+    inst = F.broadcast(installed.select(F.col("voice").alias("__v")).distinct())  # the voices of one machine
+    given = requests.withColumn("__n", F.trim(F.coalesce("name", F.lit(""))))
+    tail = F.when(F.trim(F.element_at(F.split("model", ":", 2), 1)) == model_id, F.trim(F.get(F.split("model", ":", 2), F.lit(1))))
+    out = given.join(inst.select(F.col("__v").alias("exact")), F.col("__n") == F.col("exact"), "left")
+    out = out.withColumn("__t", tail).join(inst.select(F.col("__v").alias("by_model")), F.col("__t") == F.col("by_model"), "left")
+    out = out.join(F.broadcast(aliases.select(F.lower("alias").alias("__a"), "target")), F.lower("__n") == F.col("__a"), "left")
+    out = out.join(inst.select(F.col("__v").alias("by_alias")), F.col("target") == F.col("by_alias"), "left")
+    known = is_generic(F.col("__n")) | F.col("__a").isNotNull()
+    how = (
+        F.when(F.col("exact").isNotNull(), "installed").when(~known, "unknown").when(F.col("by_model").isNotNull(), "model")
+        .when(F.col("by_alias").isNotNull(), "alias").when(F.col("__a").isNotNull(), "missing").otherwise("base")
+    )
+    voice = F.when(how == "installed", F.col("exact")).when(how == "model", F.col("by_model")).when(how == "alias", F.col("by_alias"))
+    return out.select("request", voice.alias("voice"), how.alias("how"))
+
+
+def dangling_aliases(aliases: DataFrame, installed: DataFrame) -> DataFrame:
+    """Aliases whose target is not installed; an anti join."""
+    return aliases.join(installed.select(F.col("voice").alias("target")), "target", "left_anti").select("alias", "target")
+
+
+def aliases_of(entries: Column) -> Column:
+    """Map of lower-cased names to voices from ``a=b,c=d`` texts (an array); the last of a name wins, a bad entry raises."""
+    items = F.filter(F.transform(F.flatten(F.transform(entries, lambda e: F.split(e, ","))), lambda t: F.trim(t)), lambda t: t != "")
+    parts = F.transform(
+        items,
+        lambda t: F.when(
+            F.instr(t, "=") > 0, F.struct(F.lower(F.trim(F.substring_index(t, "=", 1))).alias("key"), F.trim(F.regexp_replace(t, "^[^=]*=", "")).alias("value"))
+        ),
+    )
+    checked = F.transform(F.arrays_zip(items.alias("t"), parts.alias("p")), lambda x: F.when(x["p"].isNull() | (x["p"]["key"] == "") | (x["p"]["value"] == ""), F.raise_error(F.concat(F.lit("bad voice alias "), x["t"]))).otherwise(x["p"]))
+    # of repeated names only the last is left before the map is made
+    last = F.filter(checked, lambda e, i: ~F.exists(F.slice(checked, i + 2, F.size(checked)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
 def snap_up(values: Column, allowed: list[int]) -> Column:
     """The next allowed value, or the largest."""
     steps = F.array(*[F.lit(a) for a in sorted(allowed)])
@@ -151,3 +223,62 @@ def changed(local: DataFrame, target: DataFrame) -> DataFrame:
     theirs = target.select("name", F.sha2("content", 256).alias("other"))
     state = F.when(F.col("other").isNull(), "missing").when(F.col("sha") != F.col("other"), "changed")
     return mine.join(theirs, "name", "left").select("name", state.alias("state")).where("state is not null")
+
+
+def build_split(rows: DataFrame, key: str, fraction: float, seed: str = "42") -> DataFrame:
+    """``holdout`` for a training run: at least one row is held out; a fraction that leaves nothing to train on raises."""
+    n = rows.count()
+    size = max(1, int(n * fraction)) if fraction > 0 else 0
+    if size and size >= n:
+        raise ValueError(f"val_split={fraction} would leave no training examples: the corpus has {n} rows")
+    ranked = holdout(rows, key, fraction, seed)
+    return ranked.withColumn("turn", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+
+
+def same_tables(declared: DataFrame, expected: DataFrame, key: str, content: str) -> DataFrame:
+    """Differences of two tables as (key, problem): missing, unexpected, repeated or different content."""
+    have = declared.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(content).alias("__c"))
+    want = expected.select(key, F.col(content).alias("__e"), F.lit(True).alias("__x"))
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("__x").isNull(), "unexpected").when(F.col("n") > 1, "repeated").when(~F.col("__c").eqNullSafe(F.col("__e")), "different")
+    return have.join(want, key, "full").select(key, problem.alias("problem")).where("problem is not null")
+
+
+def choices(groups: list[tuple[str, DataFrame]], only: str | None = None) -> DataFrame:
+    """Ordered union of labelled groups (label, value, pos): (kind, label, value) by group, then place."""
+    out = None
+    for n, (kind, rows) in enumerate(groups):
+        if only in (None, kind):
+            part = rows.select(F.lit(n).alias("group"), F.lit(kind).alias("kind"), "label", "value", "pos")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no group named {only}")
+    return out.orderBy("group", "pos").select("kind", "label", "value")
+
+
+def kind_of(names: DataFrame, name: str, cloned: DataFrame, prefix: str = "preset:") -> DataFrame:
+    """``names`` with ``kind``: base for none, preset by prefix, clone by membership, else installed."""
+    seen = cloned.select(F.col("name").alias("__c")).distinct()
+    kind = F.when(F.coalesce(F.col(name), F.lit("")) == "", "base").when(F.col(name).startswith(prefix), "preset").when(F.col("__c").isNotNull(), "clone").otherwise("installed")
+    return names.join(seen, F.col(name) == F.col("__c"), "left").withColumn("kind", kind).drop("__c")
+
+
+def preset_label(preset: Column, gender: Column, tags: Column, text: Column) -> Column:
+    """Number, gender and tags of a tagged preset; of others the name and the beginning of the text."""
+    parts = F.array(F.element_at(F.split(preset, "_"), -1), F.concat(F.upper(F.substring(gender, 1, 1)), F.lower(F.substr(gender, F.lit(2)))), F.array_join(tags, ", "))
+    tagged = F.array_join(F.filter(parts, lambda p: F.length(p) > 0), " · ")
+    head = F.substring(text, 1, 47)
+    short = F.when(F.length(text) <= 48, text).otherwise(F.concat(F.when(F.instr(head, " ") > 0, F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head), F.lit("…")))
+    return F.when((F.coalesce(gender, F.lit("")) == "") & (F.size(tags) <= 0), F.concat(preset, F.lit(" · “"), short, F.lit("”"))).otherwise(tagged)
+
+
+def evaluation_due(log: DataFrame, run: str, step: str = "step", order: str = "seq", loss: str = "eval_loss", back: int = 5) -> DataFrame:
+    """Log rows with ``due``: none of the run's last ``back`` rows, this one included, is an evaluation of the same step."""
+    recent = Window.partitionBy(run).orderBy(order).rowsBetween(-(back - 1), 0)
+    steps = F.collect_list(F.when(F.col(loss).isNotNull(), F.col(step))).over(recent)
+    return log.withColumn("due", ~F.array_contains(steps, F.col(step)))
+
+
+def override(preset: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``preset`` with the fields that ``overrides`` sets (not null) replaced."""
+    own = overrides.select(key, *[F.col(f).alias("__" + f) for f in fields])
+    return preset.join(own, key, "left").select(*[F.coalesce("__" + c, c).alias(c) if c in fields else F.col(c) for c in preset.columns])

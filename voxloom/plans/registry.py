@@ -81,28 +81,29 @@ def holdout_split(spark, sf_dir):
     return corpus.holdout(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.05)
 
 
-_KEYS = """list_distinct([p, regexp_replace(p, '\\.[^./]*$', ''), regexp_extract(p, '([^/]*)$', 1), regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^./]*$', '')]
- || [lower(p), lower(regexp_replace(p, '\\.[^./]*$', '')), lower(regexp_extract(p, '([^/]*)$', 1)), lower(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^./]*$', ''))])"""
+_BASE, _STEM = "regexp_extract({0}, '([^/]*)$', 1)", "regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '^(.+)\\.[^.]*$', '\\1')"
+_KEYS = f"[p, regexp_replace(p, '\\.[^.]*$', ''), {_BASE.format('p')}, {_STEM.format('p')}]"
 
 
 @query(f"""
-WITH f AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS p FROM pages),
-k AS (SELECT key, count(*) AS owners, min(p) AS file FROM (SELECT p, unnest({_KEYS}) AS key FROM f) GROUP BY key),
-m AS (SELECT page_id AS row, CASE page_id % 4 WHEN 0 THEN './' || p WHEN 1 THEN upper(p) WHEN 2 THEN '/else/' || regexp_extract(p, '([^/]*)$', 1) ELSE 'none/' || page_id END AS n
-  FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS p FROM pages)),
-b AS (SELECT row, [n, regexp_replace(n, '^[./]+', ''), regexp_extract(n, '([^/]*)$', 1), regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^./]*$', '')] AS a FROM m),
-t AS (SELECT row, unnest(a || list_transform(a, lambda x: lower(x))) AS key, unnest(range(0, 8)) AS pr FROM b),
+WITH u AS (SELECT DISTINCT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS p FROM pages),
+f AS (SELECT p FROM u UNION SELECT 'Other/' || upper({_BASE.format('p')}) || '.WAV' FROM u WHERE page_id % 3 = 0),
+k AS (SELECT key, count(*) AS owners, min(p) AS file FROM (SELECT DISTINCT p, unnest({_KEYS} || list_transform({_KEYS}, lambda x: lower(x))) AS key FROM f) GROUP BY key),
+m AS (SELECT page_id AS row, CASE page_id % 4 WHEN 0 THEN './' || p WHEN 1 THEN upper(p) WHEN 2 THEN '/else/' || {_BASE.format('p')} ELSE 'none//' || page_id END AS n FROM u),
+c AS (SELECT row, n, regexp_replace(regexp_replace(regexp_replace(n, '/+', '/', 'g'), '^(\\./)+', ''), '(.)/$', '\\1') AS q FROM m),
+t AS (SELECT row, unnest(flatten(list_transform([n, ltrim(n, './'), q, {_BASE.format('q')}, {_STEM.format('q')}], lambda x: [x, lower(x)]))) AS key, unnest(range(0, 10)) AS pr FROM c),
 j AS (SELECT row, min_by(file, pr) FILTER (owners = 1) AS file, bool_or(coalesce(owners > 1, false)) AS poisoned FROM t LEFT JOIN k USING (key) GROUP BY row)
 SELECT row, file, CASE WHEN file IS NOT NULL THEN 'matched' WHEN poisoned THEN 'ambiguous' ELSE 'unmatched' END AS status FROM j""")
 def pair_manifest(spark, sf_dir):
-    rel = F.regexp_replace("url", "^[a-z]+://|[?#].*$", "")
+    rel, base = F.regexp_replace("url", "^[a-z]+://|[?#].*$", ""), F.regexp_extract("p", "([^/]*)$", 1)
     pages = _table(spark, sf_dir, "pages").select("page_id", rel.alias("p"))
     case = F.col("page_id") % 4
     name = (
         F.when(case == 0, F.concat(F.lit("./"), "p")).when(case == 1, F.upper("p"))
-        .when(case == 2, F.concat(F.lit("/else/"), F.regexp_extract("p", "([^/]*)$", 1))).otherwise(F.concat(F.lit("none/"), F.col("page_id").cast("string")))
+        .when(case == 2, F.concat(F.lit("/else/"), base)).otherwise(F.concat(F.lit("none//"), F.col("page_id").cast("string")))
     )
-    return corpus.pair(pages.select(F.col("p").alias("file")).distinct(), pages.select(F.col("page_id").alias("row"), name.alias("name")))
+    shouted = pages.where("page_id % 3 = 0").select(F.concat(F.lit("Other/"), F.upper(base), F.lit(".WAV")).alias("file"))
+    return corpus.pair(pages.select(F.col("p").alias("file")).union(shouted).distinct(), pages.select(F.col("page_id").alias("row"), name.alias("name")))
 
 
 @query("""SELECT d.doc_id AS file, coalesce(CASE WHEN l.quality = 1 THEN 'q1' END, nullif(CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE d.lang END, '')) AS text
@@ -263,13 +264,16 @@ def vq_nearest(spark, sf_dir):
 
 # ---------------------------------------------------------------- text structure and loader
 
-_WORDS = r"regexp_extract_all(text, '\[[^\[\]]*\]|\S+')"
+_WORDS = r"CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '\[[^\[\]]*\]|\S+') END"
 
 
-@query(f"SELECT conv_id, turn, len({_WORDS})::int AS n, {_WORDS}[1] AS first FROM conversations WHERE text <> ''")
+@query(f"SELECT conv_id, turn, len({_WORDS})::int AS n, ({_WORDS})[1] AS first FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, turn, '' FROM conversations WHERE conv_id = 0)")
 def tokens(spark, sf_dir):
     found = T.tokens(F.col("text"))
-    return _table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.size(found).alias("n"), found[0].alias("first"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # the empty text, which is one empty token, is not in the table
+    rows = rows.unionByName(rows.where("conv_id = 0").select(F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"), "turn", F.lit("").alias("text")))
+    return rows.select("conv_id", "turn", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
 
 
 @query("SELECT conv_id, turn, regexp_extract_all(replace(lower(split_part(text, ' ', 1)), '’', ''''), '[a-z''@]') AS letters FROM conversations WHERE text NOT LIKE '[%'")
@@ -478,3 +482,6 @@ def session_frames(spark, sf_dir):
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     kind = F.when(F.col("turn") == 0, F.to_json(F.struct(F.lit("ctx").alias("start_context")))).otherwise(F.to_json(F.struct(F.col("text").alias("send_text"))))
     return session.batch(rows.select(F.col("conv_id").cast("string").alias("session"), seq.cast("long").alias("seq"), kind.alias("frame")))
+
+
+from . import more  # noqa: E402,F401 - registers its queries here

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import struct
 import uuid
 import wave
@@ -13,22 +14,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types
 
 from ..functions.text import clean_text
+from ..operators.checks import AUDIO_SUFFIXES
 
-AUDIO_SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".m4a", ".opus")
-NAME_COLUMNS = ("file_name", "filename", "file", "path", "audio", "audio_path", "audio_file", "wav", "name", "id", "clip")
-TEXT_COLUMNS = ("text", "transcript", "transcription", "sentence", "normalized_text", "utterance", "caption", "label")
+# Columns that hold a recording's name and its transcript, the names of metadata files and the suffixes of
+# transcripts beside a recording, each in the order of preference.
+NAME_COLUMNS = ("file_name", "filename", "file", "audio_file", "audio_filepath", "audio_path", "audio", "wav_path", "wav", "path", "clip", "utterance_id", "id", "name")
+TEXT_COLUMNS = ("text", "transcript", "transcription", "sentence", "normalized_text", "text_normalized", "raw_text", "utterance", "caption")
+METADATA_NAMES = ("metadata.csv", "metadata.tsv", "metadata.jsonl", "metadata.json", "transcripts.csv", "transcripts.tsv", "transcripts.jsonl", "transcripts.json")
+SIDECAR_SUFFIXES = (".txt", ".lab")
 
 
-def find_audio(spark: SparkSession, source: str, recursive: bool = True) -> DataFrame:
-    """Rows (path, length) of audio files by relative path; parts that begin with a dot are left out; only names are read."""
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def find_audio(spark: SparkSession, source: str, recursive: bool = True, ordered: bool = True) -> DataFrame:
+    """Rows (path, rel, length) of audio files; parts of a name that begin with a dot leave it out; only names are read.
+
+    ``source`` is a folder or one file; a missing one raises.  Rows are sorted by ``rel`` unless ``ordered`` is false.
+    """
+    at, fs = _fs(spark, source)
+    if not fs.exists(at):
+        raise FileNotFoundError(f"No such directory: {source}. Point this at the folder holding your recordings.")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(source).select("path", "length")
-    root = F.lit(source.rstrip("/") + "/")
+    if fs.getFileStatus(at).isFile():
+        return found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("rel"), "length")
+    root = F.lit(fs.getFileStatus(at).getPath().toUri().getPath().rstrip("/") + "/")
     rel = F.expr("substring(path, instr(path, root) + length(root))")
-    return (
+    out = (
         found.withColumn("root", root).withColumn("rel", rel)
         .where(F.lower(F.regexp_extract("rel", r"(\.[^./]*)$", 1)).isin(*AUDIO_SUFFIXES) & ~F.col("rel").rlike(r"(^|/)\."))
-        .select("path", "rel", "length").orderBy("rel")
+        .select("path", "rel", "length")
     )
+    return out.orderBy("rel") if ordered else out
+
+
+def find_metadata(spark: SparkSession, root: str) -> str | None:
+    """The first of the known metadata files right below ``root``."""
+    return next((f"{root.rstrip('/')}/{n}" for n in METADATA_NAMES if _fs(spark, root)[1].exists(_fs(spark, f"{root.rstrip('/')}/{n}")[0])), None)
+
+
+def read_sidecars(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Rows (rel, text) for ``files`` (rel): the transcript beside each, of the first suffix that holds text; null without."""
+    at, fs = _fs(spark, root)
+    base = F.lit(fs.getFileStatus(at).getPath().toUri().getPath().rstrip("/") + "/")
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,lab}").text(root)
+    texts = texts.select(F.col("_metadata.file_path").alias("path"), clean_text(F.col("value")).alias("text")).withColumn("base", base)
+    texts = texts.select(F.expr("substring(path, instr(path, base) + length(base))").alias("side"), "text").where("text <> ''")
+    suffix = F.regexp_extract("side", r"(\.[^./]*)$", 1)
+    rank = F.array_position(F.array(*map(F.lit, SIDECAR_SUFFIXES)), suffix)
+    best = texts.where(rank > 0).groupBy(F.regexp_replace("side", r"\.[^./]*$", "").alias("stem")).agg(F.min_by("text", rank).alias("text"))
+    return files.withColumn("stem", F.regexp_replace("rel", r"\.[^./]*$", "")).join(best, "stem", "left").select("rel", "text")
 
 
 def sniff_delimiter(line: str, suffix: str = "") -> str:
@@ -46,32 +83,86 @@ def pick_column(header: list[str], candidates: tuple[str, ...]) -> int | None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (row, name, text) of a CSV-like table or JSON lines; rows without a name are dropped.
+    """Rows (row, name, text) of a CSV-like table or of JSON; rows without a name are dropped."""
+    return read_metadata(spark, path)[0]
+
+
+def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Rows (row, name, text) and how they were read; a file without rows raises.
 
     A table has a header only if both columns are recognised; else columns 0 and 1 are taken, first line included.
+    JSON is one object per line, an array of objects, or (.json) one object: of names to texts, or of anything to
+    objects; the columns are those of the first object.  A line that is no JSON raises with its number.
     """
     suffix = "." + path.rsplit(".", 1)[-1].lower()
-    if suffix in (".jsonl", ".json"):
-        df = spark.read.option("multiLine", str(suffix == ".json").lower()).json(path)
-        n, t = pick_column(df.columns, NAME_COLUMNS), pick_column(df.columns, TEXT_COLUMNS)
-        if n is None or t is None:
-            raise ValueError(f"{path}: no name and text among {df.columns}")
-        rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{df.columns[n]}`").cast("string").alias("name"), F.col(f"`{df.columns[t]}`").cast("string").alias("text"))
+    rows, shape = _read_json(spark, path, suffix) if suffix in (".jsonl", ".json") else _read_table(spark, path, suffix)
+    rows = rows.select("row", F.trim("name").alias("name"), clean_text(F.col("text")).alias("text")).where("name <> '' and text is not null")
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    return rows, shape
+
+
+def _columns(path: str, keys: list[str]) -> tuple[str, str]:
+    n, t = pick_column(keys, NAME_COLUMNS), pick_column(keys, TEXT_COLUMNS)
+    if n is None or t is None:
+        raise ValueError(f"{path} has no recognisable filename/text fields (found: {', '.join(keys) or 'nothing'}). Rename them to 'file_name' and 'text'.")
+    return keys[n], keys[t]
+
+
+def _read_json(spark: SparkSession, path: str, suffix: str) -> tuple[DataFrame, str]:
+    head = next((r[0].lstrip("\ufeff").lstrip() for r in spark.read.text(path).where("trim(value) <> ''").limit(1).collect()), "")
+    if head.startswith("[") or head.startswith("{") and suffix == ".json":
+        # one JSON value: a file of metadata, read as a whole
+        whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("v"))
+        if head.startswith("["):
+            items, shape = F.expr("from_json(v, 'array<string>')"), "JSON array"
+            rows = whole.select(F.posexplode(items).alias("row", "object"))
+        else:
+            rows, shape = whole.select(F.posexplode(F.expr("from_json(v, 'map<string,string>')")).alias("row", "key", "object")), "JSON object"
+            if rows.where("not startswith(trim(object), '{')").limit(1).count() or not rows.limit(1).count():
+                return rows.select("row", F.col("key").alias("name"), F.col("object").alias("text")), "filename -> text mapping"
     else:
-        first = spark.read.text(path).first()
-        if first is None:
-            raise ValueError(f"{path} has no rows")
-        sep = sniff_delimiter(first[0], suffix)
-        header = next(csv.reader([first[0].lstrip("﻿")], delimiter=sep))
-        n, t = pick_column(header, NAME_COLUMNS), pick_column(header, TEXT_COLUMNS)
-        known = n is not None and t is not None and n != t
-        df = spark.read.option("sep", sep).option("header", "false").option("quote", '"').option("multiLine", "true").csv(path)
-        if len(df.columns) < 2:
-            raise ValueError(f"{path} has one column")
-        n, t = (n, t) if known else (0, 1)
-        rows = df.select(F.monotonically_increasing_id().alias("row"), F.regexp_replace(df.columns[n], "^﻿", "").alias("name"), F.col(df.columns[t]).alias("text"))
-        rows = rows.where("row > 0") if known else rows
-    return rows.select("row", F.trim("name").alias("name"), clean_text(F.col("text")).alias("text")).where("name <> '' and text is not null")
+        rows, shape = numbered(spark, path).where("trim(value) <> ''").select(F.col("line").alias("row"), F.col("value").alias("object")), "JSONL"
+        bad = rows.where(F.try_parse_json("object").isNull()).agg(F.min("row")).first()[0]
+        if bad is not None:
+            raise ValueError(f"{path} line {bad} is not valid JSON")
+    rows = rows.where("startswith(trim(object), '{')")
+    first = rows.agg(F.min_by("object", "row")).first()[0]
+    if first is None:
+        raise ValueError(f"{path} holds no JSON objects. Expected one object per line with a filename field and a text field.")
+    n, t = _columns(path, list(json.loads(first)))
+    value = lambda key: F.try_variant_get(F.try_parse_json("object"), f"$['{key}']", "string")
+    return rows.select("row", value(n).alias("name"), F.coalesce(value(t), F.lit("")).alias("text")), f"{shape}, {n!r} -> {t!r}"
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (line, value) of a text file, lines from 1: counted within each partition, then offset by those before it."""
+    rows = spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())  # one number per partition
+    before, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, before))
+        before += n
+    known = spark.createDataFrame(offsets or [(0, 0)], "part int, before long")
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(known), "part").select((F.col("before") + within + 1).alias("line"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
+def _read_table(spark: SparkSession, path: str, suffix: str) -> tuple[DataFrame, str]:
+    first = spark.read.text(path).first()
+    if first is None:
+        raise ValueError(f"{path} has no rows")
+    sep = sniff_delimiter(first[0], suffix)
+    header = next(csv.reader([first[0].lstrip("\ufeff")], delimiter=sep), [])
+    n, t = pick_column(header, NAME_COLUMNS), pick_column(header, TEXT_COLUMNS)
+    known = n is not None and t is not None and n != t
+    df = spark.read.option("sep", sep).option("header", "false").option("quote", '"').option("multiLine", "true").csv(path)
+    if len(df.columns) < 2:
+        raise ValueError(f"{path} has one column")
+    n, t = (n, t) if known else (0, 1)
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.regexp_replace(df.columns[n], "^\ufeff", "").alias("name"), F.col(df.columns[t]).alias("text"))
+    shape = f"header, {header[n]!r} -> {header[t]!r}" if known else "no header, columns 1 and 2"
+    return rows.where("row > 0") if known else rows, shape
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -83,14 +174,24 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
-    """JSON lines, written beside ``path`` and renamed, so a corpus may be rewritten from itself."""
+    """JSON lines, written beside ``path`` and renamed, so a corpus may be rewritten from itself.
+
+    The old corpus is renamed aside first and deleted last: after a crash either it or the new one is there in whole.
+    """
     spark = rows.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}"
+    staged, aside = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     rows.write.json(staged)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(Path(path), True)
-    fs.rename(Path(staged), Path(path))
+    at, fs = _fs(spark, path)
+    new, old = _fs(spark, staged)[0], _fs(spark, aside)[0]
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"cannot move {staged} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def default_val_path(path: str) -> str:
