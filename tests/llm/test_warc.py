@@ -56,7 +56,7 @@ def test_round_trip(spark, tmp_path):
         if fields[b"WARC-Type"] == b"response":
             assert fields[b"WARC-Payload-Digest"] == b"sha256:" + hashlib.sha256(block).hexdigest().encode()
         else:
-            assert block == b"" and re.fullmatch(rb"<urn:x-page:\d+>", fields[b"WARC-Refers-To"])
+            assert block == b"" and re.fullmatch(rb"<urn:x-page:=\d+>", fields[b"WARC-Refers-To"])
 
 
 def test_damage_is_found(spark, tmp_path):
@@ -74,3 +74,18 @@ def test_damage_is_found(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_of_text(spark):
+    rows = [("a>b%3E", BIG), ("z\r\n", BIG), (None, "x"), ("", "y")]
+    df = spark.createDataFrame(rows, "page_id string, html string").selectExpr("page_id", "cast(null as string) url", "html")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {"a>b%3E": ("response", None), "z\r\n": ("revisit", "a>b%3E"), None: ("response", None), "": ("response", None)}
+
+
+def test_payloads_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("voxloom.llm.common.BROADCAST_BYTES", -1)
+    df = spark.createDataFrame(rows(), SCHEMA)
+    by_shuffle = sorted(map(str, map(tuple, warc.round_trip(df).collect())))
+    monkeypatch.undo()
+    assert by_shuffle == sorted(map(str, map(tuple, warc.round_trip(df).collect())))
