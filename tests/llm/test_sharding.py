@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.llm import queries, sharding
 
@@ -61,6 +62,15 @@ def test_empty_write_and_sql(spark, tmp_path):
     assert sorted(map(tuple, back.select("doc_id", "text").collect())) == rows
     assert {r[0]: r[1] for r in back.groupBy("__shard").sum().select("__shard", "sum(doc_id)").collect()}
     documents = __import__("pandas").DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
-    sql = queries.ORACLE_SQL["op1_sharding"].replace(str(sharding.SHARD_BYTES), "2000")
+    sql = queries.ORACLE_SQL["op1_sharding"].replace(str(queries.OP1_SHARD_BYTES), "2000")
     want = sorted(duckdb.sql(f"SELECT doc_id, bytes, shard, depth, shard_bytes, shard_docs FROM ({sql})").fetchall())
     assert sorted(map(tuple, sharding.assign(df, 2000).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs").collect())) == want
+
+
+def test_any_column_names(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * i, "a", "b") for i in range(40)], "doc_id long, text string, __id string, key string")
+    sharding.write(df, str(tmp_path / "out"), limit=100)
+    back = spark.read.parquet(str(tmp_path / "out")).drop("__shard")
+    assert sorted(map(tuple, back.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        sharding.write(df.withColumn("__shard", df.key), str(tmp_path / "no"))

@@ -114,3 +114,9 @@ def test_stage_catches_similar_shingles(spark, monkeypatch):
             a, b = root[i], root[j]
             root = [min(a, b) if r in (a, b) else r for r in root]
         assert found == dict(enumerate(root))
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "y"), (None, "no id", "z")], "doc_id long, text string, __keep string").withColumn("keep", F.lit(1)).withColumn("row", F.lit(2)).withColumn("fingerprint", F.lit(3))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None"]

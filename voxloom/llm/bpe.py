@@ -363,8 +363,8 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return tokens.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")
 
 
-def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256) of rows (id, ids): the ids are decoded and the text hashed."""
+def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256[, ids]) of rows (id, ids): the ids are decoded and the text hashed."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,14 +377,14 @@ def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None =
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            made = [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())] + [b.column(1)] * with_ids
+            yield pa.RecordBatch.from_arrays(made, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(made)])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return tokens.select(id_col, "ids").mapInArrow(tidy(run), schema)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Encode every whole text, decode the ids, and return counts and digests."""
-    return digests(encode(docs, id_col, text_col, vocabulary), id_col, vocabulary)
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode every whole text, decode the ids, and return counts and digests, and the ids where they are wanted."""
+    return digests(encode(docs, id_col, text_col, vocabulary), id_col, vocabulary, with_ids)
