@@ -59,9 +59,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def is_small(df: DataFrame, row_bytes: int = 40) -> bool:
+    """Are the rows of a checkpointed ``df``, counted at ``row_bytes`` each, below the bound of what is broadcast?"""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
 def if_small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
-    """A checkpointed ``df`` marked for broadcast if its rows, counted at ``row_bytes`` each, are below the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """A checkpointed ``df``, marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, row_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -188,12 +193,14 @@ class KeyFilter:
 
 
 def repeated_keys(keys: DataFrame, bits: int = FILTER_BITS):
-    """Broadcast KeyFilter of the values of column ``k`` (long) that occur in two or more rows of ``keys``.
+    """Broadcast KeyFilter of the values of column ``k`` (long) that occur in two or more rows of ``keys``, or, where it
+    has a column ``times``, more than once by that.
 
     Counting and building the bitmap run in Spark; the driver gets 2**bits bits at most.
     """
     spark = keys.sparkSession
-    repeated = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = F.sum("times") if "times" in keys.columns else F.count(F.lit(1))
+    repeated = keys.groupBy("k").agg(n.alias("n")).where("n > 1")
     at = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
     blocks = (
         repeated.select(at.alias("at"))
