@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.llm import substring_dedup as sd
 from voxloom.llm.fm_index import Shard
@@ -120,3 +121,26 @@ def test_matching_statistics(threshold):
                         if k == threshold:
                             who = own if who < 0 else min(who, own)
                 assert (m[i], o[i]) == (best, who)
+
+
+def test_any_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "a", "b", "c", 7), (2, "x " + text, "d", "e", "f", 8)], "doc_id long, text string, __row string, __spans string, __kept string, row int").withColumn("spans", F.lit("s"))
+    out = {r.doc_id: tuple(r) for r in sd.deduplicate(df).collect()}
+    assert out == {1: (1, text, "a", "b", "c", 7, "s"), 2: (2, "x", "d", "e", "f", 8, "s")}
+
+
+def test_limits_change_no_row(spark):
+    """Near copies that differ in a word, so that their segments share anchors: every limit gives the same rows."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(160)]
+    rows = []
+    for i in range(300):
+        copy = list(base[rng.randrange(40) :])
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(len(copy))] = f"only{rng.randrange(200)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, sd.digests(df, hot_limit=limit).collect())) for limit in (1, 40, 4096)]
+    assert found[0] == found[1] == found[2] == sorted((int(w[0]), *w[1:4]) for w in brute(rows, 50))

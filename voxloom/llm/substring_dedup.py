@@ -10,9 +10,10 @@ document of a smaller id is removed.
    windows meet in the shard of their anchor.
 3. Equal segments are collapsed to one with the smallest id before anything else (a passage that a third of all
    documents share is one segment); only then their words are fetched, and they are dealt to shards by anchor.
-4. An anchor with more than ``HOT`` different segments is split: its windows are grouped to segments again, by the
-   hashes of their 4, then 16 smallest runs, and at last by all their words.  Equal windows have equal runs, so they
-   meet at every level; segments that meet no other are dropped.  The limit decides where windows meet, not whether.
+4. An anchor with more than ``HOT`` different segments (near copies that differ in a word each) is split.  Windows with
+   a run that only one text holds leave its segments; what is left is grouped to segments again, by the smallest hash
+   of a run, by the 4 and then the 16 smallest, and at last by all words.  Equal windows have equal runs, so they meet
+   at every level.  The limit decides where windows meet, not whether.
 5. Per shard an FM-index over the segments is built; the segments stream through it backwards, and the matching
    statistics tell, for every window, the smallest id that holds it.
 6. Intervals are joined back to the occurrences of the segments; the words that they cover are cut out.
@@ -36,7 +37,7 @@ WINDOW = 50
 SHARD_WORDS = 1 << 18
 #: Different segments of one key that are indexed together; the levels of keys by which more are split.
 HOT = 256
-LEVELS = (4, 16, None)
+LEVELS = (1, 4, 16, None)
 
 
 def _geometry(window: int) -> tuple[int, int]:
@@ -145,16 +146,58 @@ def _batch(columns: list[list], types: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _sub_occurrences(segments: DataFrame, window: int, level: int | None) -> DataFrame:
-    """One row per finer segment of every segment (key, sh, doc, times, seg), whose own key and digest become ``at``."""
+def _repeated_runs(segments: DataFrame, window: int, filter_bits: int):
+    """Broadcast filter of the runs of segments (key, sh, doc, times, seg) that more than one row holds.
+
+    Neighbouring segments of a text share words, so ids are compared, not occurrences counted; a task puts out a run once.
+    """
+    run, _ = _geometry(window)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            k, low, high, times = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return k[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.maximum.reduceat(times[order], first)
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["k", "low", "high", "times"])
+
+        for b in batches:
+            for doc, times, seg in zip(*(c.to_pylist() for c in b.columns)):
+                k = np.unique(grams(word_hashes(seg), run)).view(np.int64)
+                held.append((k, np.full(len(k), doc), np.full(len(k), doc), np.full(len(k), times)))
+                if len(held) == 4096:
+                    held = [merged()]
+                    if len(held[0][0]) > 1 << 18:
+                        yield emit()
+                        held = []
+        if held:
+            yield emit()
+
+    found = segments.select("doc", "times", "seg").mapInArrow(tidy(keys), "k long, low long, high long, times long")
+    several = F.when((F.min("low") < F.max("high")) | (F.max("times") > 1), 2).otherwise(1)
+    return repeated_keys(found.groupBy("k").agg(several.alias("times")), filter_bits)
+
+
+def _sub_occurrences(segments: DataFrame, window: int, level: int | None, repeated) -> DataFrame:
+    """One row per finer segment of every segment (key, sh, doc, times, seg), whose own key and digest become ``up``.
+
+    Windows with a run that is not ``repeated`` are left out.
+    """
+    run_words, _ = _geometry(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 out: list[list] = [[] for _ in range(8)]
                 for up, up_sh, doc, times, seg in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
-                    words, keys = seg.split(b" "), _finer(seg, window, level)
-                    for key, lo, hi in _runs(keys, np.arange(len(keys))):
+                    at = np.flatnonzero(sliding(repeated.value(grams(word_hashes(seg), run_words)), window - run_words + 1, np.logical_and))
+                    words, keys = seg.split(b" "), _finer(seg, window, level)[at]
+                    for key, lo, hi in _runs(keys, at):
                         for column, value in zip(out, (key, _digest(b" ".join(words[lo : hi + window])), up, up_sh, doc, times, lo, hi - lo + window)):
                             column.append(value)
                 types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -186,7 +229,7 @@ def _fetch(distinct: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _found(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """Rows (key, sh, first_window, last_window, owner) of segments by FM-indexes: all segments of a key share one."""
+    """Rows (key, sh, intervals) of segments by FM-indexes: all segments of a key share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one key follow each other; a shard takes whole keys.  It is one of several of a task, one at a time."""
@@ -204,7 +247,7 @@ def _found(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
     # The key is dealt by its hash: a join that is itself partitioned by the key would make Spark drop
     # repartition("key"), and its run-time re-planning (local reads, split partitions) then scatters a key over tasks.
     dealt = segments.repartition(F.xxhash64("key")).sortWithinPartitions("key").select("key", "sh", "doc", "times", "seg")
-    return dealt.mapInArrow(tidy(run), "key long, sh binary, first_window int, last_window int, owner long")
+    return dealt.mapInArrow(tidy(run), f"key long, sh binary, intervals {_INTERVALS}")
 
 
 def _different(occurrences: DataFrame, on: list[str], limit: int | None) -> tuple[DataFrame, bool]:
@@ -222,33 +265,48 @@ def _different(occurrences: DataFrame, on: list[str], limit: int | None) -> tupl
     return few.unionByName(distinct.join(hot, "key", "left_semi").withColumn("hot", F.lit(True))) if any_hot else few, any_hot
 
 
-def _intervals(held: DataFrame, repeated, window: int, shard_words: int, hot_limit: int) -> DataFrame:
-    """Rows (row, low, high): word intervals to remove, from rows (row, doc, text)."""
+_INTERVALS = "array<struct<first_window:int,last_window:int,owner:bigint>>"
+_INTERVAL_TYPE = pa.list_(pa.struct([("first_window", pa.int32()), ("last_window", pa.int32()), ("owner", pa.int64())]))
+
+
+def _attached(occurrences: DataFrame, found: DataFrame) -> DataFrame:
+    """``occurrences`` with the ``intervals`` of their segments, one row each; those without are left out.
+
+    A passage that many rows hold is a group of small rows without a text; the join is left to be split at run time.
+    """
+    return occurrences.join(found.groupBy("key", "sh").agg(F.flatten(F.collect_list("intervals")).alias("intervals")), ["key", "sh"])
+
+
+def _intervals(held: DataFrame, repeated, window: int, filter_bits: int, shard_words: int, hot_limit: int) -> DataFrame:
+    """Rows (row, spans): intervals (low, high) of words to remove, from rows (row, doc, text); several for a row."""
     occurrences = cut(_occurrences(held, repeated, window))
     distinct, hot = _different(occurrences, ["row"], hot_limit)
     segments = _fetch(distinct, held, ["row"])
-    above, found = [], []
+    above, found = [occurrences], []
     for level in LEVELS:
         if not hot:
             break
         segments = cut(segments)
         found.append(_found(segments.where("not hot"), window, shard_words))
         many = segments.where("hot")
-        above.append(cut(_sub_occurrences(many, window, level)))
-        distinct, hot = _different(above[-1], ["up", "up_sh"], None if level is None else hot_limit)
+        if level == LEVELS[0]:
+            several = _repeated_runs(many, window, filter_bits)
+        finer = cut(_sub_occurrences(many, window, level, several))
+        distinct, hot = _different(finer, ["up", "up_sh"], None if level is None else hot_limit)
+        above.append(finer)
         segments = _fetch(distinct, many.select(F.col("key").alias("up"), F.col("sh").alias("up_sh"), F.col("seg").alias("text")), ["up", "up_sh"])
     found.append(_found(segments, window, shard_words))
     # what finer segments found, in windows of the segments that they are parts of
-    while above:
-        of, finer = above.pop(), found.pop()
-        back = of.join(finer, ["key", "sh"]).where("owner < doc or times > 1")
-        back = back.select(F.col("up").alias("key"), F.col("up_sh").alias("sh"), (F.col("start") + F.col("first_window")).alias("first_window"), (F.col("start") + F.col("last_window")).alias("last_window"), "owner")
+    moved = "transform({i}, x -> named_struct('first_window', x.first_window + start, 'last_window', x.last_window + start, 'owner', x.owner))"
+    while len(above) > 1:
+        back = _attached(above.pop(), found.pop())
+        # a segment that is held once takes only from smaller ids than its own
+        own = "filter(intervals, x -> times > 1 or x.owner < doc)"
+        back = back.select(F.col("up").alias("key"), F.col("up_sh").alias("sh"), F.expr(moved.format(i=own)).alias("intervals")).where("size(intervals) > 0")
         found[-1] = found[-1].unionByName(back)
-    return (
-        occurrences.join(found[0], ["key", "sh"])
-        .where("owner < doc")
-        .select("row", (F.col("start") + F.col("first_window")).alias("low"), (F.col("start") + F.col("last_window") + F.lit(window)).alias("high"))
-    )
+    taken = _attached(occurrences, found[0])
+    spans = f"transform(filter(intervals, x -> x.owner < doc), x -> named_struct('low', x.first_window + start, 'high', x.last_window + start + {window}))"
+    return taken.select("row", F.expr(spans).alias("spans")).where("size(spans) > 0")
 
 
 def _search_shard(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
@@ -257,21 +315,22 @@ def _search_shard(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
         return
     shard = Shard((r[4].split(b" ") for r in rows), [r[2] for r in rows], window, foreign=False)
     match, owner = shard.statistics()
-    out: list[list] = [[] for _ in range(5)]
+    keys, digests, found = [], [], []
     for (key, sh, *_), m, o in zip(rows, match, owner):
         at = np.flatnonzero(m >= window)
         if not len(at):
             continue
         new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(o[at]) != 0)]))
         end = np.append(new[1:], len(at)) - 1
-        for column, values in zip(out, ([key] * len(new), [sh] * len(new), at[new].tolist(), at[end].tolist(), o[at[new]].tolist())):
-            column += values
-    yield _batch(out, [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()], ["key", "sh", "first_window", "last_window", "owner"])
+        keys.append(key)
+        digests.append(sh)
+        found.append([{"first_window": a, "last_window": b, "owner": c} for a, b, c in zip(at[new].tolist(), at[end].tolist(), o[at[new]].tolist())])
+    yield _batch([keys, digests, found], [pa.int64(), pa.binary(), _INTERVAL_TYPE], ["key", "sh", "intervals"])
 
 
-def _spans(held: DataFrame, repeated, window: int, shard_words: int, hot_limit: int) -> DataFrame:
+def _spans(held: DataFrame, repeated, window: int, filter_bits: int, shard_words: int, hot_limit: int) -> DataFrame:
     """Rows (row, spans) of rows (row, doc, text); the intervals of one row are no more than its words."""
-    return _intervals(held, repeated, window, shard_words, hot_limit).distinct().groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return _intervals(held, repeated, window, filter_bits, shard_words, hot_limit).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _kept_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -321,7 +380,7 @@ def digests(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(first), f"id {kind}, text string, n_words long, kept_sha256 string")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     held = rows.where("kept_sha256 is null").select("row", "id", F.col("id").cast("long").alias("doc"), "text")
-    spans = _spans(held.select("row", "doc", "text"), repeated, window, shard_words, hot_limit)
+    spans = _spans(held.select("row", "doc", "text"), repeated, window, filter_bits, shard_words, hot_limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +416,7 @@ def deduplicate(
     may_repeat = _may_repeat(repeated, window)(F.when(id_.isNotNull(), text))
     row, own = unused(docs, "row"), unused(docs, "spans")
     held = cut(docs.where(may_repeat).withColumn(row, F.monotonically_increasing_id()))
-    spans = _spans(held.select(F.col(row).alias("row"), id_.cast("long").alias("doc"), text.alias("text")), repeated, window, shard_words, hot_limit)
+    spans = _spans(held.select(F.col(row).alias("row"), id_.cast("long").alias("doc"), text.alias("text")), repeated, window, filter_bits, shard_words, hot_limit)
     held = held.join(spans.select(F.col("row").alias(row), F.col("spans").alias(own)), row, "left")
 
     @F.pandas_udf("string")
