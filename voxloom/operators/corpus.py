@@ -31,7 +31,8 @@ def prepared(docs: DataFrame, least: int = 100, most: int = 8000, max_tokens: in
 
 def reasons(rows: DataFrame, order: str) -> DataFrame:
     """Rows dropped per reason, with the first of each: most common first, ties by first seen."""
-    return rows.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
+    found = rows.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
+    return found.orderBy(F.desc("n"), "first_seen")
 
 
 def examples(rows: DataFrame, order: str, k: int = 3) -> DataFrame:

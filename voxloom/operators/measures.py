@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types
+
+
+@F.pandas_udf(types.StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Texts in Unicode's composed normal form."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def sentences(tokens: DataFrame, key: str, order: str, kind: str, word: str, end: str) -> DataFrame:
     """Rows (key, sentence, text, kinds): the words before each token of kind ``end``; an unended rest is left out.
 
-    A sentence of no words has an empty text and no kinds.  Equal values of ``order`` within a key are not expected.
+    Words are in Unicode's composed form.  A sentence of no words has an empty text and no kinds.  Equal values of ``order`` within a key are not expected.
     """
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     is_end = F.col(kind) == end
@@ -18,7 +27,7 @@ def sentences(tokens: DataFrame, key: str, order: str, kind: str, word: str, end
         marked.groupBy(key, "sentence")
         .agg(F.sort_array(words).alias("__w"), F.sort_array(F.collect_set(F.when(~is_end, F.col(kind)))).alias("kinds"), F.max(is_end.cast("int")).alias("__ended"))
         .where("__ended = 1")
-        .select(key, "sentence", F.array_join(F.transform("__w", lambda x: x["w"]), " ").alias("text"), "kinds")
+        .select(key, "sentence", composed(F.array_join(F.transform("__w", lambda x: x["w"]), " ")).alias("text"), "kinds")
     )
 
 

@@ -173,14 +173,15 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return v.where(kind == "STRING").select("raw", F.try_variant_get("v", "$.id", "string").alias("id"), F.try_variant_get("v", "$.text", "string").alias("text"))
 
 
-def write_corpus(rows: DataFrame, path: str) -> None:
+def write_corpus(rows: DataFrame, path: str, lines: bool = False) -> None:
     """JSON lines, written beside ``path`` and renamed, so a corpus may be rewritten from itself.
 
-    The old corpus is renamed aside first and deleted last: after a crash either it or the new one is there in whole.
+    With ``lines`` the rows are one text column of finished lines.  The old corpus is renamed aside first and deleted
+    last: after a crash either it or the new one is there in whole.
     """
     spark = rows.sparkSession
     staged, aside = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    rows.write.json(staged)
+    rows.write.text(staged) if lines else rows.write.json(staged)
     at, fs = _fs(spark, path)
     new, old = _fs(spark, staged)[0], _fs(spark, aside)[0]
     had = fs.exists(at)
