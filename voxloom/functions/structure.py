@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types
@@ -139,16 +140,23 @@ def split_clauses(c: Column, limit: int = 160, least: int = 24) -> Column:
     return F.when(short, F.concat(F.slice(pieces, 1, F.size(pieces) - 2), F.array(tail))).otherwise(pieces)
 
 
+@lru_cache(maxsize=1 << 16)
 def similarity(a: str, b: str) -> float:
-    """Indel similarity: twice the longest common subsequence over both lengths."""
+    """Indel similarity: twice the longest common subsequence over both lengths.
+
+    One bit per place of ``a`` tells where the table's row grows; a row is one addition.
+    """
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        old = 0
-        for j, y in enumerate(b, 1):
-            old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def word_map(written: list[str], spoken: list[str]) -> list[list[str]]:
@@ -204,6 +212,12 @@ def aligned_pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | No
         near = similarity(x, y)
         return 2 * near if near > 0.5 else -1.0
 
+    # equal words at the end are a pair in the best alignment, and a pair goes before a gap: no table is needed for them
+    same = 0
+    while same < min(len(a), len(b)) and a[-1 - same].lower() == b[-1 - same].lower():
+        same += 1
+    tail = [(len(a) - k, len(b) - k) for k in range(same, 0, -1)]
+    a, b = a[: len(a) - same], b[: len(b) - same]
     gain = [[worth(x, y) for y in b] for x in a]
     best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
@@ -223,7 +237,7 @@ def aligned_pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | No
         else:
             j -= 1
             out.append((None, j))
-    return out[::-1]
+    return out[::-1] + tail
 
 
 def map_words(written: str, spoken: str, speak) -> list[tuple[str, str]]:
@@ -287,8 +301,6 @@ _PAIRS = types.ArrayType(types.StructType([types.StructField("written", types.St
 @F.pandas_udf(_PAIRS)
 def word_pairs(texts: pd.Series) -> pd.Series:
     """``map_words`` of each text with its spoken form; words are spoken alone once per worker."""
-    from functools import lru_cache
-
     from .spoken import normalize_text
 
     speak = lru_cache(maxsize=4096)(normalize_text)

@@ -261,7 +261,7 @@ def tokens_by_kind(spark, sf_dir):
 e AS (SELECT *, list_transform(range(0, k), lambda i: (i + 1) * 3000 + n % 500) AS ends, greatest(0, n * 1000.0 / 80 - 5000) AS late FROM w),
 f AS (SELECT *, coalesce(list_position(list_transform(ends, lambda x: x >= late), true), 1) - 1 AS first FROM e)
 SELECT doc_id, list_aggregate(list_transform(range(first, k), lambda i: 'w' || i), 'string_agg', ' ') AS text,
-least(floor(CASE WHEN doc_id % 2 = 0 AND first = 0 AND ends[1] >= late AND 500 < n * 1000.0 / 80 THEN 0 ELSE ends[first + 1] - 2500 END * 80 / 1000)::int, n)::int AS start FROM f""")
+least(floor(CASE WHEN doc_id % 2 = 0 AND first = 0 AND ends[1] >= late AND ends[1] - 2500 < n * 1000.0 / 80 THEN 0 ELSE ends[first + 1] - 2500 END * 80 / 1000)::int, n)::int AS start FROM f""")
 def carried_tails(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").where("n_chars > 0").selectExpr("doc_id", "cast(least(n_chars, 2000) as int) n", "cast(n_chars % 7 as int) + 1 k")
     words = F.expr("transform(sequence(0, k - 1), i -> named_struct('spoken', concat('w', i), 'start_ms', (i + 1) * 3000 + n % 500 - 2500, 'end_ms', (i + 1) * 3000 + n % 500))")
@@ -414,13 +414,13 @@ def residual_quantized(spark, sf_dir):
 # ---------------------------------------------------------------- alignment and sessions
 
 
-@query("""WITH r AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value * 10)::int AS e FROM events), x AS (SELECT utt, i // 3 AS round, i % 3 AS word, e FROM r),
+@query("""WITH r AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, floor(value * 10)::int AS e FROM events), x AS (SELECT utt, i // 3 AS round, i % 3 AS word, e FROM r),
 n AS (SELECT a.utt, a.round, a.word, a.e, coalesce(abs(a.e - b.e) <= 100, false) AS near FROM x a LEFT JOIN x b ON a.utt = b.utt AND a.word = b.word AND b.round = a.round - 1),
 l AS (SELECT *, bool_and(near) OVER (PARTITION BY utt, round ORDER BY word) AS ok FROM n)
 SELECT utt, word, min(round) AS round, arg_min(e, round) AS end_ms FROM l WHERE ok GROUP BY utt, word""")
 def confirmed(spark, sf_dir):
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), i.cast("long").alias("i"), F.round(F.col("value") * 10).cast("int").alias("end_ms"))
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), i.cast("long").alias("i"), F.floor(F.col("value") * 10).cast("int").alias("end_ms"))
     return alignment.confirmed(rows.select("utt", F.expr("i div 3").alias("round"), (F.col("i") % 3).alias("word"), "end_ms"))
 
 
