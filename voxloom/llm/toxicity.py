@@ -7,21 +7,22 @@ learns from what earlier ones say about texts that they have not seen.
 Features are the words of a text and the beginnings of its words, so that a word that no labelled text holds still
 speaks by its stem.
 
-The models are fitted on the driver on a bounded sample of labelled rows (``SAMPLE``); their features are made on the
-executors.  Every row of the table is scored, over its whole text.
+The models are fitted on a bounded sample of labelled rows (``SAMPLE``): its features are made on the executors, gathered
+and broadcast, and the fits of a category (each fold left out, and none) are tasks.  Every row of the table is scored,
+over its whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LETTERS, mix, small_batches, tidy, word_hashes
+from .common import LETTERS, give_back, mix, small_batches, tidy, word_hashes
 
 #: Chain of label columns, in order; the last one is what ``reject`` acts on.
 CATEGORIES = ("quality", "toxic")
@@ -92,18 +93,19 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, penalty: float
     """
     n, k = len(rows), dense.shape[1]
     prior = (y.sum() + 0.5) / (n + 1)
-    flat = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    flat = np.concatenate(rows).astype(np.int32) if n else np.zeros(0, dtype=np.int32)
     weights, more = np.zeros(1 << FEATURE_BITS), np.zeros(k)
     base = float(np.log(prior / (1 - prior)))
     if n == 0 or y.min() == y.max():
         return Linear(weights, more, base)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=1 << FEATURE_BITS)
     kept = np.flatnonzero((seen >= MIN_ROWS) & (seen < n))
-    place = np.full(1 << FEATURE_BITS, -1)
+    place = np.full(1 << FEATURE_BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     col = place[flat]
-    of, col = of[col >= 0], col[col >= 0]
+    of, col = of[col >= 0].astype(np.int64), col[col >= 0].astype(np.int64)
+    del flat
     share = seen[kept] / n
     scale = 1 / np.sqrt(share * (1 - share))
     spread = dense.std(axis=0)
@@ -160,8 +162,20 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(max(LEAST, (p[order][best] + following) / 2))
 
 
-def train_rows(rows: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """Fit the chain on feature rows and their labels (one column per category)."""
+#: One fit: the rows to fit on (all for None), the dense columns and the labels.
+Job = tuple[np.ndarray | None, np.ndarray, np.ndarray]
+
+
+def fit_job(rows: list[np.ndarray], job: Job) -> Linear:
+    own, dense, y = job
+    return fit(rows, dense, y) if own is None else fit([rows[i] for i in own], dense[own], y[own])
+
+
+def train_rows(
+    rows: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS, fits: Callable[[list[Job]], list[Linear]] | None = None
+) -> Chain:
+    """Fit the chain on feature rows and their labels (one column per category); ``fits`` runs the jobs of a category."""
+    fits = fits or (lambda jobs: [fit_job(rows, job) for job in jobs])
     chain = Chain(categories)
     n = len(rows)
     earlier = np.zeros((n, 0))
@@ -169,18 +183,46 @@ def train_rows(rows: list[np.ndarray], labels: np.ndarray, categories: tuple[str
     for c in range(len(categories)):
         y = labels[:, c].astype(float)
         dense = _dense(earlier)
-        out = np.zeros(n)
-        for f in range(folds if n >= 2 * folds else 0):
-            a, b = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            out[b] = _predict(fit([rows[i] for i in a], dense[a], y[a]), [rows[i] for i in b], dense[b])
-        chain.models.append(fit(rows, dense, y))
-        if n < 2 * folds:
-            out = _predict(chain.models[-1], rows, dense)
+        parts = range(folds) if n >= 2 * folds else ()
+        *left_out, whole = fits([(np.flatnonzero(fold != f), dense, y) for f in parts] + [(None, dense, y)])
+        out = np.zeros(n) if len(left_out) else _predict(whole, rows, dense)
+        for f, m in zip(parts, left_out):
+            own = np.flatnonzero(fold == f)
+            out[own] = _predict(m, [rows[i] for i in own], dense[own])
+        chain.models.append(whole)
         chain.thresholds.append(_threshold(out, y))
         earlier = np.column_stack([earlier, out])
     return chain
 
 
+def _as_tasks(spark: SparkSession, flat: np.ndarray, lengths: np.ndarray) -> Callable[[list[Job]], list[Linear]]:
+    """Runs fits as tasks, one each, over rows that are broadcast once; a model's weights come back without their zeros."""
+    shared = spark.sparkContext.broadcast((flat, lengths))
+
+    def fits(jobs: list[Job]) -> list[Linear]:
+        todo = spark.sparkContext.broadcast(jobs)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                for i in p["id"]:
+                    flat, lengths = shared.value
+                    m = fit_job(np.split(flat, np.cumsum(lengths)[:-1]), todo.value[i])
+                    at = np.flatnonzero(m.weights)
+                    yield pd.DataFrame([(i, at.tolist(), m.weights[at].tolist(), m.dense.tolist(), m.bias)], columns=["id", "place", "weight", "dense", "bias"])
+            give_back()
+
+        found = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "id long, place array<int>, weight array<double>, dense array<double>, bias double").collect()
+        out = []
+        for r in sorted(found, key=lambda r: r["id"]):
+            weights = np.zeros(1 << FEATURE_BITS)
+            weights[r["place"]] = r["weight"]
+            out.append(Linear(weights, np.array(r["dense"], dtype=float), r["bias"]))
+        todo.unpersist()
+        return out
+
+    return fits
+
+
 def train(
     docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
 ) -> Chain:
@@ -206,9 +248,16 @@ def train(
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = texts.mapInArrow(tidy(run), f"id {kind}, {', '.join(f'{n} int' for n in names)}, f array<int>").toArrow().sort_by("id")
-    rows = [np.array(f, dtype=np.int32) for f in made.column("f").to_pylist()]
-    y = np.array([made.column(n).to_pylist() for n in names], dtype=np.int64).reshape(len(names), len(rows)).T
-    return train_rows(rows, y, categories)
+    found = made.column("f").combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    y = np.array([made.column(n).to_numpy() for n in names], dtype=np.int64).reshape(len(names), made.num_rows).T
+    flat, lengths = found.flatten().to_numpy(), found.value_lengths().to_numpy()
+    # a bucket of fewer than MIN_ROWS rows is no feature of any fit
+    known = np.bincount(flat, minlength=1 << FEATURE_BITS)[flat] >= MIN_ROWS
+    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[known], minlength=len(lengths))
+    flat = flat[known]
+    if not len(lengths):
+        return train_rows([], y, categories)
+    return train_rows(np.split(flat, np.cumsum(lengths)[:-1]), y, categories, fits=_as_tasks(docs.sparkSession, flat, lengths))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
