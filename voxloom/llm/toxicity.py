@@ -38,6 +38,8 @@ STEM = 4
 #: text weighs more than a clean one that goes.  It is never below LEAST.
 BETA = 2.0
 LEAST = 0.1
+#: Entries of the feature table that a fit works on at a time.
+PART = 1 << 20
 #: L1 penalty, and rows of the sample that must hold a word before it is a feature.
 PENALTY = 0.002
 MIN_ROWS = 3
@@ -98,27 +100,38 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, penalty: float
     base = float(np.log(prior / (1 - prior)))
     if n == 0 or y.min() == y.max():
         return Linear(weights, more, base)
-    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=1 << FEATURE_BITS)
     kept = np.flatnonzero((seen >= MIN_ROWS) & (seen < n))
     place = np.full(1 << FEATURE_BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     col = place[flat]
-    of, col = of[col >= 0].astype(np.int64), col[col >= 0].astype(np.int64)
+    lengths = np.array([len(r) for r in rows])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.concatenate([[0], np.cumsum(col >= 0)])[ends]  # of the kept entries
+    lengths, col = np.diff(ends), col[col >= 0]
     del flat
+    # rows are taken in parts, so that what is made on the way stays small
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], PART)), [0, n]))
+    parts = [(a, b, ends[a], ends[b]) for a, b in zip(cuts[:-1], cuts[1:])]
     share = seen[kept] / n
     scale = 1 / np.sqrt(share * (1 - share))
     spread = dense.std(axis=0)
     spread[spread == 0] = 1
     d = (dense - dense.mean(axis=0)) / spread
-    value = scale[col]
     centre = share * scale
 
     def forward(w: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bincount(of, weights=value * w[col], minlength=n) - centre @ w + d @ v
+        own, out = w * scale, np.empty(n)
+        for a, b, low, high in parts:
+            sums = np.concatenate([[0.0], np.cumsum(own[col[low:high]])])
+            out[a:b] = np.diff(sums[ends[a : b + 1] - low])
+        return out - centre @ w + d @ v
 
     def backward(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(col, weights=value * r[of], minlength=len(kept)) - centre * r.sum(), d.T @ r
+        g = np.zeros(len(kept))
+        for a, b, low, high in parts:
+            g += np.bincount(col[low:high], weights=np.repeat(r[a:b], lengths[a:b]), minlength=len(kept))
+        return g * scale - centre * r.sum(), d.T @ r
 
     w, v = np.random.default_rng(0).standard_normal(len(kept)), np.ones(k)
     top = 1.0
