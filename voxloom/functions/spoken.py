@@ -319,8 +319,10 @@ RULES: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
 SIGN = re.compile(rf"(?<![\w\d])(?:[-−]({_COIN})(?=\d)|({_COIN})[-−](?=\d)|[-−](?=[\d.]\d*))")
 _INITIALS = re.compile(r"\b(?:[A-Z]\.){2,}(?!\w)")
 _STATE = re.compile(rf"(?<=[a-z], )({'|'.join(STATES)})\b")
-#: What any rule, short form or sign needs to be there.
-_NEEDS = re.compile(r"[0-9½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞²³&%#@+=~≈]|[A-Z]\.|\b[A-Za-z]+/|\b[A-Z]{2}\b|[A-Za-z]\.|\bvs\b|[a-z]\.[a-z]")
+_SHORT = re.compile(rf"(?<![^ ])(?:{'|'.join(sorted(map(re.escape, SHORT), key=len, reverse=True))})(?![^ ])")
+#: What any rule, short form or sign needs to be there, and what the numbered rules need.
+_NEEDS = re.compile(rf"[0-9½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞²³~≈@]|://|[a-z]\.[a-z]|(?:\b[A-Z]\.){{2}}|, [A-Z]{{2}}\b|{_SHORT.pattern}")
+_NUMBERED = re.compile(r"[0-9@²³~≈]|://|[a-z]\.[a-z]")
 _SENTENCE = re.compile(r"(?<=[.!?]) (?=[^\W\d_])")
 
 
@@ -330,10 +332,11 @@ def _say(text: str) -> str:
             text = re.sub(rf"(?<=\d) ?{sign}", f" {plain}", text).replace(sign, plain)
     text = re.sub(r"(?<=\d)[ˢⁿʳᵗ][ᵗᵈʰ]", lambda m: m[0].translate(RAISED), text)
     text = SIGN.sub(lambda m: " minus " + (m[1] or m[2] or ""), text)
-    for pattern, say in RULES:
-        text = pattern.sub(say, text)
+    if _NUMBERED.search(text):
+        for pattern, say in RULES:
+            text = pattern.sub(say, text)
     text = _STATE.sub(lambda m: STATES[m[1]], text)
-    text = " ".join(SHORT.get(w, w) for w in text.split(" "))
+    text = _SHORT.sub(lambda m: SHORT[m[0]], text)
     return _INITIALS.sub(lambda m: " ".join(m[0].replace(".", "")), text)
 
 

@@ -30,19 +30,20 @@ def forced_align(log_probs: np.ndarray, targets: list[int], blank: int = BLANK)
         raise ValueError(f"{frames} frames are too few for {n} targets with {repeats} repeats")
     states = np.full(2 * n + 1, blank)
     states[1::2] = targets
-    skip = np.zeros(len(states), dtype=bool)
-    skip[3::2] = states[3::2] != states[1:-2:2]
-    log_probs = np.asarray(log_probs, dtype=np.float32)
-    score = np.full(len(states), -np.inf, dtype=np.float32)
-    score[0] = log_probs[0, blank]
-    if n:
-        score[1] = log_probs[0, states[1]]
+    no_skip = np.full(len(states), -np.inf, dtype=np.float32)
+    no_skip[3::2] = np.where(states[3::2] != states[1:-2:2], 0, -np.inf)
+    emitted = np.asarray(log_probs, dtype=np.float32)[:, states]
+    # two places before the first state: the previous state and the one before it are views of one array
+    row = np.full(len(states) + 2, -np.inf, dtype=np.float32)
+    score, prev, before = row[2:], row[1:-1], row[:-2]
+    score[: 2 if n else 1] = emitted[0, : 2 if n else 1]
     back = np.zeros((frames, len(states)), dtype=np.int8)
     for t in range(1, frames):
-        before = np.concatenate([[-np.inf, -np.inf], score]).astype(np.float32)
-        prev, prev2 = before[1:-1], np.where(skip, before[:-2], np.float32(-np.inf))
-        move = np.where((prev2 > score) & (prev2 > prev), 2, np.where((prev > score) & (prev > prev2), 1, 0)).astype(np.int8)
-        score, back[t] = np.choose(move, [score, prev, prev2]) + log_probs[t, states], move
+        skipped = before + no_skip
+        two, one = (skipped > score) & (skipped > prev), (prev > score) & (prev > skipped)
+        back[t] = one
+        back[t][two] = 2
+        score[:] = np.where(two, skipped, np.where(one, prev, score)) + emitted[t]
     at = len(states) - 1
     if n and not score[at] > score[at - 1]:
         at -= 1
@@ -239,13 +240,15 @@ class WordClock:
 def timed(utterances: DataFrame, sure: bool = False) -> DataFrame:
     """Rows (utt, log_probs array<array<float>>, words array<string>) to rows (utt, word, start_ms, end_ms, log_p).
 
-    All words, or with ``sure`` the leading words that the frames surely contain so far.
+    All words, or with ``sure`` the leading words that the frames surely contain so far; none without words or frames.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for utt, lp, words in zip(p.utt, p.log_probs, p.words):
+                if lp is None or words is None or not len(lp):
+                    continue
                 frames = np.array([np.asarray(x, dtype=np.float32) for x in lp])
                 rows += [(utt, *w) for w in (place_sure if sure else place_all)(list(words), frames)]
             yield pd.DataFrame(rows, columns=["utt", "word", "start_ms", "end_ms", "log_p"])

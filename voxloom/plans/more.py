@@ -73,17 +73,16 @@ def word_map(spark, sf_dir):
     return rows.select("conv_id", "turn", "pos", "p.written", "p.spoken")
 
 
-@query("SELECT doc_id, text AS joined, true AS fits FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, text AS joined, CASE WHEN text IS NOT NULL THEN true END AS fits FROM documents")
 def chunks_join_to_the_text(spark, sf_dir):
-    found = structure.chunk_array(F.col("text"), F.lit(300))
-    rows = _table(spark, sf_dir, "documents").where("trim(text) <> ''").select("doc_id", found.alias("c"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", structure.chunk_array(F.col("text"), F.lit(300)).alias("c"))
     return rows.select("doc_id", F.array_join("c", "").alias("joined"), F.forall("c", lambda p: F.length(p) <= 300).alias("fits"))
 
 
-@query("SELECT conv_id, turn, trim(text) AS text, 1 AS pieces FROM conversations WHERE length(trim(text)) < 200")
+@query("SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS letters, CASE WHEN text IS NOT NULL THEN true END AS fits FROM conversations")
 def aligned_chunks(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").where("length(trim(text)) < 200").select("conv_id", "turn", structure.aligned_chunk_array(F.col("text")).alias("c"))
-    return rows.select("conv_id", "turn", F.col("c")[0].alias("text"), F.size("c").alias("pieces"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", structure.aligned_chunk_array(F.col("text")).alias("c"))
+    return rows.select("conv_id", "turn", F.regexp_replace(F.array_join("c", ""), r"\s", "").alias("letters"), (F.length(F.col("c")[0]) <= structure.HARD).alias("fits"))
 
 
 # ---------------------------------------------------------------- resolution and lookups
@@ -257,15 +256,15 @@ def tokens_by_kind(spark, sf_dir):
     return report.tokens_by_kind(rows, "bucket", "event_id", "kind", "w", "s", "purchase")
 
 
-@query("""WITH w AS (SELECT doc_id, least(n_chars, 2000)::int AS n, n_chars % 7 + 1 AS k FROM documents WHERE n_chars > 0),
+@query("""WITH w AS (SELECT doc_id, least(n_chars, 2000)::int AS n, n_chars % 7 + 1 AS k FROM documents),
 e AS (SELECT *, list_transform(range(0, k), lambda i: (i + 1) * 3000 + n % 500) AS ends, greatest(0, n * 1000.0 / 80 - 5000) AS late FROM w),
 f AS (SELECT *, coalesce(list_position(list_transform(ends, lambda x: x >= late), true), 1) - 1 AS first FROM e)
-SELECT doc_id, list_aggregate(list_transform(range(first, k), lambda i: 'w' || i), 'string_agg', ' ') AS text,
-least(floor(CASE WHEN doc_id % 2 = 0 AND first = 0 AND ends[1] >= late AND ends[1] - 2500 < n * 1000.0 / 80 THEN 0 ELSE ends[first + 1] - 2500 END * 80 / 1000)::int, n)::int AS start FROM f""")
+SELECT doc_id, CASE WHEN n > 0 THEN list_aggregate(list_transform(range(first, k), lambda i: 'w' || i), 'string_agg', ' ') END AS text,
+CASE WHEN n > 0 THEN least(floor(CASE WHEN doc_id % 2 = 0 AND first = 0 AND ends[1] >= late AND ends[1] - 2500 < n * 1000.0 / 80 THEN 0 ELSE ends[first + 1] - 2500 END * 80 / 1000)::int, n)::int END AS start FROM f""")
 def carried_tails(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where("n_chars > 0").selectExpr("doc_id", "cast(least(n_chars, 2000) as int) n", "cast(n_chars % 7 as int) + 1 k")
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(least(n_chars, 2000) as int) n", "cast(n_chars % 7 as int) + 1 k")
     words = F.expr("transform(sequence(0, k - 1), i -> named_struct('spoken', concat('w', i), 'start_ms', (i + 1) * 3000 + n % 500 - 2500, 'end_ms', (i + 1) * 3000 + n % 500))")
-    rows = rows.select("doc_id", "n", report.carry(words, F.expr("sequence(0, n - 1)"), F.col("doc_id") % 2 == 0).alias("c"))
+    rows = rows.select("doc_id", "n", report.carry(words, F.expr("if(n > 0, sequence(0, n - 1), cast(array() as array<int>))"), F.col("doc_id") % 2 == 0).alias("c"))
     return rows.select("doc_id", "c.text", (F.col("n") - F.size("c.codes")).alias("start"))
 
 
@@ -426,11 +425,12 @@ def confirmed(spark, sf_dir):
 
 @query()
 def timed_words(spark, sf_dir):
-    """All words of a turn placed in frames whose label scores are made from its own bytes: the acoustic model is no part of this."""
-    rows = _table(spark, sf_dir, "conversations").where("length(text) between 1 and 200")
+    """The words of every sentence placed in frames whose label scores are made from the sentence: the acoustic model is no part of this."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(structure.sentence_array(F.col("text"))).alias("pos", "text"))
     labels = len(alignment.LABEL) + 2
-    score = F.expr(f"transform(sequence(0, 3 * length(text) + 20), t -> transform(sequence(0, {labels - 1}), k -> cast(-1.0 - ((t * 7 + k * 13 + length(text)) % 11) / 4.0 as float)))")
-    return alignment.timed(rows.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("utt"), score.alias("log_probs"), T.tokens(F.col("text")).alias("words")))
+    score = F.expr(f"transform(sequence(0, 2 * length(text) + 20), t -> transform(sequence(0, {labels - 1}), k -> cast(-1.0 - ((t * 7 + k * 13 + length(text)) % 11) / 4.0 as float)))")
+    utt = ((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("pos")).cast("long").alias("utt")
+    return alignment.timed(rows.select(utt, score.alias("log_probs"), T.tokens(F.col("text")).alias("words")))
 
 
 @query()
