@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: White space in the Unicode sense; Java and RE2 read it alike.
@@ -10,6 +12,11 @@ CODES_PER_SECOND = 80
 PROMPT_TAGS = 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once: inside a lambda over an array it would be for every element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Runs of white space become one space, none at the ends; null stays null."""
     return F.trim(F.regexp_replace(c, SPACE, " "))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 
 def repetition_penalty(logits: DataFrame, seen: DataFrame, penalty: float) -> DataFrame:
     """Positive logits of seen tokens are divided, negative ones multiplied, once per token."""
@@ -78,14 +80,12 @@ def penalize_array(logits: Column, seen: Column, penalty: float) -> Column:
 def top_k_array(logits: Column, k: int) -> Column:
     """Logits below the k-th largest become -inf; ties stay."""
     least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
-    return F.transform(logits, lambda x: F.when(x >= least, x).otherwise(F.lit(float("-inf")))) if k > 0 else logits
+    return let(least, lambda least: F.transform(logits, lambda x: F.when(x >= least, x).otherwise(F.lit(float("-inf"))))) if k > 0 else logits
 
 
 def softmax_array(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: x / total)
+    share = lambda exps: let(F.aggregate(exps, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(exps, lambda x: x / total))
+    return let(F.array_max(logits), lambda top: let(F.transform(logits, lambda x: F.exp(x - top)), share))
 
 
 def top_p_array(logits: Column, p: float) -> Column:
@@ -95,7 +95,7 @@ def top_p_array(logits: Column, p: float) -> Column:
     start = F.struct(F.lit(0.0).alias("mass"), F.expr("cast(array() as array<int>)").alias("kept"))
     step = lambda s, x: F.struct((s["mass"] + x["p"]).alias("mass"), F.when(F.round(s["mass"], 12) < p, F.concat(s["kept"], F.array(x["i"]))).when(F.size(s["kept"]) == 0, F.array(x["i"])).otherwise(s["kept"]).alias("kept"))
     kept = F.aggregate(ordered, start, step, lambda s: s["kept"])
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(float("-inf"))))
+    return let(kept, lambda kept: F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(float("-inf")))))
 
 
 def argmax_array(logits: Column) -> Column:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 
 def runs(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
     """Run-length encoding: (key, run, label, start, stop, n) of equal neighbours; stop is inclusive."""
@@ -25,9 +27,8 @@ def frame_rms(wav: Column, frame: int, hop: int) -> Column:
 
 def frame_db(wav: Column, frame: int, hop: int) -> Column:
     """Decibels against the loudest frame; -inf throughout for silence."""
-    rms = frame_rms(wav, frame, hop)
-    top = F.array_max(rms)
-    return F.transform(rms, lambda r: F.when(top <= 0, F.lit(float("-inf"))).otherwise(20 * F.log10(F.greatest(r, F.lit(1e-10)) / top)))
+    level = lambda rms, top: F.transform(rms, lambda r: F.when(top <= 0, F.lit(float("-inf"))).otherwise(20 * F.log10(F.greatest(r, F.lit(1e-10)) / top)))
+    return let(frame_rms(wav, frame, hop), lambda rms: let(F.array_max(rms), lambda top: level(rms, top)))
 
 
 def silent_spans(db: Column, top_db: float, least: int) -> Column:
@@ -64,12 +65,15 @@ def trim_silence(wav: Column, db: Column, top_db: float, hop: int, frame: int, p
 
     A clip that is loud in its last frame keeps its tail: the samples behind the last whole frame are speech as well.
     """
-    loud = F.transform(db, lambda x: x > -top_db)
-    first = F.array_position(loud, True)
-    last = F.size(loud) - F.array_position(F.reverse(loud), True) + 1
-    lo = F.greatest(F.lit(0), (first - 1) * hop - pad).cast("int")
-    hi = F.when(last == F.size(loud), F.size(wav)).otherwise(F.least(F.size(wav), (last - 1) * hop + frame + pad)).cast("int")
-    return F.when(first == 0, F.slice(wav, 1, 0)).otherwise(F.slice(wav, lo + 1, hi - lo))
+
+    def cut(loud: Column) -> Column:
+        first = F.array_position(loud, True)
+        last = F.size(loud) - F.array_position(F.reverse(loud), True) + 1
+        lo = F.greatest(F.lit(0), (first - 1) * hop - pad).cast("int")
+        hi = F.when(last == F.size(loud), F.size(wav)).otherwise(F.least(F.size(wav), (last - 1) * hop + frame + pad)).cast("int")
+        return F.when(first == 0, F.slice(wav, 1, 0)).otherwise(F.slice(wav, lo + 1, hi - lo))
+
+    return let(F.transform(db, lambda x: x > -top_db), cut)
 
 
 def is_silent(wav: Column, floor: float = 1e-4) -> Column:
@@ -84,20 +88,24 @@ def pcm16(wav: Column) -> Column:
 
 def mask_labels(tokens: Column, start_token: Column) -> Column:
     """Positions up to the first ``start_token`` become -100; all of them if it is missing."""
-    at = F.array_position(tokens, start_token)
-    return F.transform(tokens, lambda x, i: F.when((at == 0) | (i < at), F.lit(-100)).otherwise(x))
+    return let(F.array_position(tokens, start_token), lambda at: F.transform(tokens, lambda x, i: F.when((at == 0) | (i < at), F.lit(-100)).otherwise(x)))
 
 
 def ramp_weights(labels: Column, end_token: int, ramp: int, most: float) -> Column:
     """Zeros; the last ``ramp`` positions before the end token rise evenly from 1 to ``most``, masked ones at the start
     of the ramp left out.  A single position has 1; without a supervised end token all are zero."""
-    end = F.array_position(labels, F.lit(end_token)) - 1  # the first end token, from 0; -1 if there is none
-    early = F.greatest(F.lit(0), end - ramp)
-    masked = F.size(F.filter(labels, lambda x, i: (i >= early) & (i < end) & (x != -100)))
-    free = F.array_min(F.transform(labels, lambda x, i: F.when((i >= early) & (i < end) & (x != -100), i)))
-    n = end - free
-    weight = lambda i: F.when(n == 1, F.lit(1.0)).otherwise(F.lit(1.0) + (i - free) * (most - 1.0) / (n - 1))
-    return F.transform(labels, lambda x, i: F.when((end > 0) & (masked > 0) & (i >= free) & (i < end), weight(i)).otherwise(0.0))
+
+    def weights(end: Column, free: Column) -> Column:
+        n = end - free
+        weight = lambda i: F.when(n == 1, F.lit(1.0)).otherwise(F.lit(1.0) + (i - free) * (most - 1.0) / (n - 1))
+        return F.transform(labels, lambda x, i: F.when(free.isNotNull() & (i >= free) & (i < end), weight(i)).otherwise(0.0))
+
+    def from_end(end: Column) -> Column:
+        """``end`` is the first end token's place, -1 if there is none."""
+        inside = lambda x, i: F.when((i >= F.greatest(F.lit(0), end - ramp)) & (i < end) & (x != -100), i)
+        return let(F.array_min(F.transform(labels, inside)), lambda free: weights(end, free))
+
+    return let(F.array_position(labels, F.lit(end_token)) - 1, from_end)
 
 
 def lm_loss(tokens: DataFrame, key: str, order: str, end_token: int, end_weight: float = 1.0, items: int | None = None) -> DataFrame:
