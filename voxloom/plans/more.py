@@ -430,7 +430,9 @@ def timed_words(spark, sf_dir):
     labels = len(alignment.LABEL) + 2
     score = F.expr(f"transform(sequence(0, 2 * length(text) + 20), t -> transform(sequence(0, {labels - 1}), k -> cast(-1.0 - ((t * 7 + k * 13 + length(text)) % 11) / 4.0 as float)))")
     utt = ((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("pos")).cast("long").alias("utt")
-    return alignment.timed(rows.select(utt, score.alias("log_probs"), T.tokens(F.col("text")).alias("words")))
+    # the work of a row is great and the table may be one file: it is dealt to as many tasks as shuffles have
+    rows = rows.select(utt, "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utt")
+    return alignment.timed(rows.select("utt", score.alias("log_probs"), T.tokens(F.col("text")).alias("words")))
 
 
 @query()
