@@ -107,6 +107,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     )
     rank = hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for step in range(1, iterations + 1):
+        checked = step % 4 == 0
+        rank = cut(rank) if checked else rank
         ahead = weighted.join(rank.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("w_out")).alias("t"), F.lit(0.0).alias("d"))
         behind = weighted.join(rank.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("w_in")).alias("d"))
         got = ahead.unionByName(behind).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -115,11 +117,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
             (F.col("good") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
             (F.col("bad") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
         )
-        if step % 4:
+        if not checked:
             rank = new
             continue
-        before, rank = cut(rank), cut(new)
-        was = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        was, rank = rank.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), cut(new)
         moved = rank.join(was, "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t")), F.abs(F.col("distrust") - F.col("d"))))).first()[0]
         if moved is None or moved <= tolerance:
             break
