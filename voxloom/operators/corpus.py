@@ -231,7 +231,7 @@ def build_split(rows: DataFrame, key: str, fraction: float, seed: str = "42") ->
     n = rows.count()
     size = max(1, int(n * fraction)) if fraction > 0 else 0
     if size and size >= n:
-        raise ValueError(f"val_split={fraction} would leave no training examples: the corpus has {n} rows")
+        raise ValueError(f"a share of {fraction} held out leaves no training examples of {n} rows")
     ranked = holdout(rows, key, fraction, seed)
     return ranked.withColumn("turn", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
 

@@ -29,6 +29,7 @@ def skip_lines(skips: DataFrame, order: str) -> DataFrame:
     return counts.join(shown, "reason").select("reason", "n", "first", line.alias("line"))
 
 
+# The texts of warnings and of the summary's lines.
 def warnings(totals: dict) -> list[str]:
     """What costs rows or quality if it is ignored; ``totals`` is a finished report's one row."""
     t, notes = totals, []

@@ -16,20 +16,20 @@ class SettingsError(ValueError):
 
 def unknown_key(key: str, known: set[str], prefix: str = "") -> str:
     near = get_close_matches(key.rsplit(".", 1)[-1], sorted(known), n=1)
-    return f"Unknown config key '{key}'." + (f" Did you mean '{prefix}{near[0]}'?" if near else "") + f" Valid keys here: {', '.join(sorted(known))}."
+    return f"no setting is called '{key}'." + (f" Did you mean '{prefix}{near[0]}'?" if near else "") + f" There are: {', '.join(sorted(known))}."
 
 
 def _scalar(value, kind: str, label: str):
     if "bool" in kind:
         if isinstance(value, str):
-            raise SettingsError(f"'{label}' must be true or false, got the string {value!r}.")
+            raise SettingsError(f"{label} is {value!r}, a text, but has to be true or false.")
         return bool(value)
     for name, cast in (("float", float), ("int", int)):
         if name in kind:
             try:
                 return cast(value)
             except (TypeError, ValueError):
-                raise SettingsError(f"'{label}' must be a number, got {value!r}.") from None
+                raise SettingsError(f"{label} is {value!r}, which is not a number.") from None
     return value
 
 
@@ -46,7 +46,7 @@ def read(cls: type, data: dict, root: str, prefix: str = ""):
         kind, section = str(f.type), f.metadata.get("section")
         if section is not None:
             if not isinstance(value, dict):
-                raise SettingsError(f"'{label}' must be a mapping of settings, got {type(value).__name__}.")
+                raise SettingsError(f"{label} has to be a mapping, not {type(value).__name__}.")
             values[key] = read(section, value, root, f"{label}.")
         elif value is None:
             values[key] = None
@@ -54,7 +54,7 @@ def read(cls: type, data: dict, root: str, prefix: str = ""):
             values[key] = anchored(str(value), root)
         elif "tuple" in kind or "list" in kind:
             if isinstance(value, str):
-                raise SettingsError(f"'{label}' must be a list, got the string {value!r}.")
+                raise SettingsError(f"{label} has to be a list, not the text {value!r}.")
             values[key] = tuple(map(str, value))
         else:
             values[key] = _scalar(value, kind, label)
@@ -84,10 +84,10 @@ class Segmenting:
     pad_seconds: float = 0.05
 
     def validate(self) -> None:
-        _need(self.max_seconds > self.min_seconds, f"max_seconds ({self.max_seconds}) must exceed min_seconds ({self.min_seconds}); every clip would be dropped for being both too long and too short.")
-        _need(self.top_db > 0, f"top_db must be > 0 dB below the peak, got {self.top_db}.")
-        _need(self.min_silence > 0, f"min_silence must be > 0 seconds, got {self.min_silence}.")
-        _need(self.pad_seconds >= 0, f"pad_seconds must be >= 0, got {self.pad_seconds}.")
+        _need(self.max_seconds > self.min_seconds, f"no clip can be longer than min_seconds = {self.min_seconds} and shorter than max_seconds = {self.max_seconds}.")
+        _need(self.top_db > 0, f"top_db = {self.top_db} is not below the loudest frame.")
+        _need(self.min_silence > 0, f"min_silence = {self.min_silence} is no length of time.")
+        _need(self.pad_seconds >= 0, f"pad_seconds = {self.pad_seconds} is below zero.")
 
 
 @dataclass
@@ -97,8 +97,8 @@ class Ending:
     eos_token_weight: float = 1.0
 
     def validate(self) -> None:
-        _need(self.ramp_tokens >= 0, f"ramp_tokens must be >= 0, got {self.ramp_tokens}.")
-        _need(self.ramp_max >= 1 and self.eos_token_weight >= 1, "ending weights must be >= 1.")
+        _need(self.ramp_tokens >= 0, f"ramp_tokens = {self.ramp_tokens} is below zero.")
+        _need(self.ramp_max >= 1 and self.eos_token_weight >= 1, "an ending weighs 1 or more.")
 
 
 @dataclass
@@ -127,18 +127,18 @@ class Training:
     ending_weight: Ending = field(default_factory=Ending, metadata={"section": Ending})
 
     def validate(self, exists=os.path.isfile) -> None:
-        _need(self.dataset is not None, "'dataset' is required: the path to your JSONL training corpus.")
-        _need(exists(self.dataset), f"dataset not found at {self.dataset}. Paths in a config are resolved relative to the config file's own directory.")
-        _need(self.val_dataset is None or exists(self.val_dataset), f"val_dataset not found at {self.val_dataset}.")
-        _need(0 <= self.val_split < 1, f"val_split must be in [0.0, 1.0), got {self.val_split}. It is a fraction of the corpus, not a percentage; use 0 to train without evaluation.")
-        _need(self.max_length >= 16, f"max_length must be at least 16 tokens, got {self.max_length}.")
-        _need(self.epochs > 0, f"epochs must be > 0, got {self.epochs}.")
+        _need(self.dataset is not None, "dataset, the corpus to train on, is not set.")
+        _need(exists(self.dataset), f"dataset was not found: {self.dataset} (relative paths begin at the settings' own folder).")
+        _need(self.val_dataset is None or exists(self.val_dataset), f"val_dataset was not found: {self.val_dataset}.")
+        _need(0 <= self.val_split < 1, f"val_split = {self.val_split} is no share of the corpus: 0 for none, below 1.")
+        _need(self.max_length >= 16, f"max_length = {self.max_length} is shorter than any example (16 tokens).")
+        _need(self.epochs > 0, f"epochs = {self.epochs} is not above zero.")
         for name in ("batch_size", "grad_accum", "logging_steps", "eval_steps", "save_steps"):
-            _need(getattr(self, name) >= 1, f"{name} must be >= 1, got {getattr(self, name)}.")
-        _need(0 < self.lr < 1, f"lr must be in (0.0, 1.0), got {self.lr}.")
-        _need(0 <= self.warmup_ratio <= 1, f"warmup_ratio must be in [0.0, 1.0], got {self.warmup_ratio}.")
-        _need(self.weight_decay >= 0, f"weight_decay must be >= 0, got {self.weight_decay}.")
-        _need(self.save_strategy in ("no", "epoch", "steps"), f"save_strategy must be one of no/epoch/steps, got {self.save_strategy!r}.")
+            _need(getattr(self, name) >= 1, f"{name} = {getattr(self, name)} is below 1.")
+        _need(0 < self.lr < 1, f"lr = {self.lr} is not between 0 and 1.")
+        _need(0 <= self.warmup_ratio <= 1, f"warmup_ratio = {self.warmup_ratio} is not between 0 and 1.")
+        _need(self.weight_decay >= 0, f"weight_decay = {self.weight_decay} is below zero.")
+        _need(self.save_strategy in ("no", "epoch", "steps"), f"save_strategy = {self.save_strategy!r} is none of no, epoch, steps.")
         self.ending_weight.validate()
 
 
@@ -167,7 +167,7 @@ def parse_aliases(entries: list[str] | None) -> dict[str, str]:
     for item in (i.strip() for e in entries or () for i in str(e).split(",")):
         name, equals, voice = (p.strip() for p in item.partition("="))
         if item and not (equals and name and voice):
-            raise ValueError(f"voice alias {item!r} is not of the form name=voice, e.g. alloy=my_voice")
+            raise ValueError(f"{item!r} is no alias: one is written name=voice")
         if item:
             out[name.lower()] = voice
     return out
@@ -190,5 +190,5 @@ def resolve_name(voice: str | None, known: list[str]) -> str | None:
     if voice is None or voice in known:
         return voice
     if os.path.splitext(voice)[1].lower() in AUDIO_SUFFIXES:
-        raise LookupError(f"{voice!r} looks like an audio file rather than a voice name; clone it first and pass the result")
-    raise LookupError(f"No voice named {voice!r}. Available: {', '.join(sorted(known)) or 'none'}.")
+        raise LookupError(f"{voice!r} is the name of an audio file, not of a voice: make a voice of it first")
+    raise LookupError(f"there is no voice {voice!r}. Available: {', '.join(sorted(known)) or 'none'}.")

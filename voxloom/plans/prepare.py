@@ -75,6 +75,7 @@ def trimmed(wav: np.ndarray, rate: int, s: Segmenting) -> np.ndarray:
     return wav[max(0, at[0] * hop - pad) : len(wav) if at[-1] == len(loud) - 1 else min(len(wav), at[-1] * hop + frame + pad)]
 
 
+# The reasons and details that a report shows.
 def clips_of(rel: str, content: bytes, text: str | None, s: Segmenting, splittable: bool) -> Iterator[tuple]:
     """Rows of _CLIP: usable clips, or why there are none."""
     skip = lambda segment, reason, detail: (rel, segment, None, None, None, False, None, reason, detail)
@@ -118,7 +119,7 @@ def discover(spark: SparkSession, source: str, metadata: str | None = None, recu
     found = files.find_audio(spark, source, recursive, ordered=False)
     n = found.count()
     if not n:
-        raise FileNotFoundError(f"No audio files under {source}. Supported extensions: {', '.join(files.AUDIO_SUFFIXES)}.")
+        raise FileNotFoundError(f"{source} holds no recordings ({', '.join(files.AUDIO_SUFFIXES)})")
     at, fs = files._fs(spark, source)
     root = source if fs.getFileStatus(at).isDirectory() else str(at.getParent())
     metadata = metadata or files.find_metadata(spark, root)
@@ -170,7 +171,7 @@ def prepare(
     settings = settings or Segmenting()
     settings.validate()
     if not 0 <= val_split < 1:
-        raise ValueError(f"val_split must be in [0.0, 1.0), got {val_split}.")
+        raise ValueError(f"val_split = {val_split} is no share of the corpus")
     found, totals = discover(spark, source, metadata, recursive)
     sibling = val_output or files.default_val_path(output)
     val_path = sibling if val_split > 0 else None

@@ -36,7 +36,7 @@ def find_audio(spark: SparkSession, source: str, recursive: bool = True, ordered
     """
     at, fs = _fs(spark, source)
     if not fs.exists(at):
-        raise FileNotFoundError(f"No such directory: {source}. Point this at the folder holding your recordings.")
+        raise FileNotFoundError(f"there is no folder or file {source}")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(source).select("path", "length")
     if fs.getFileStatus(at).isFile():
         return found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("rel"), "length")
@@ -105,7 +105,7 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 def _columns(path: str, keys: list[str]) -> tuple[str, str]:
     n, t = pick_column(keys, NAME_COLUMNS), pick_column(keys, TEXT_COLUMNS)
     if n is None or t is None:
-        raise ValueError(f"{path} has no recognisable filename/text fields (found: {', '.join(keys) or 'nothing'}). Rename them to 'file_name' and 'text'.")
+        raise ValueError(f"{path}: no fields for name and text among {', '.join(keys) or 'none'}")
     return keys[n], keys[t]
 
 
@@ -125,11 +125,11 @@ def _read_json(spark: SparkSession, path: str, suffix: str) -> tuple[DataFrame,
         rows, shape = numbered(spark, path).where("trim(value) <> ''").select(F.col("line").alias("row"), F.col("value").alias("object")), "JSONL"
         bad = rows.where(F.try_parse_json("object").isNull()).agg(F.min("row")).first()[0]
         if bad is not None:
-            raise ValueError(f"{path} line {bad} is not valid JSON")
+            raise ValueError(f"{path}: line {bad} is no JSON")
     rows = rows.where("startswith(trim(object), '{')")
     first = rows.agg(F.min_by("object", "row")).first()[0]
     if first is None:
-        raise ValueError(f"{path} holds no JSON objects. Expected one object per line with a filename field and a text field.")
+        raise ValueError(f"{path} holds no JSON objects")
     n, t = _columns(path, list(json.loads(first)))
     value = lambda key: F.try_variant_get(F.try_parse_json("object"), f"$['{key}']", "string")
     return rows.select("row", value(n).alias("name"), F.coalesce(value(t), F.lit("")).alias("text")), f"{shape}, {n!r} -> {t!r}"
