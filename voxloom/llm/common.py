@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ARROW_BATCH_BYTES = "4m"
 #: Bytes up to which a table may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Bits of a repeated-key filter: 2**27 bits are 16 MiB, whatever the size of the corpus.
+#: Bits of a repeated-key filter, at most: 2**27 bits are 16 MiB, whatever the size of the corpus.
 FILTER_BITS = 27
+#: Share of a filter's bits up to which it is halved.
+FILTER_SHARE = 1 / 64
+#: Shuffled bytes that the run-time planner gathers in one task, where the session sets nothing else.
+GATHERED_BYTES = "16m"
 _BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg
 
 
@@ -25,8 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that a batch of very long texts cannot exhaust a worker."""
+    """Bound what one task holds at a time: Arrow batches by bytes, so that very long texts cannot exhaust a worker, and
+    the small shuffle partitions that are gathered in a task.  Both settings stay with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) is None:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", GATHERED_BYTES)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
@@ -102,6 +110,12 @@ def give_back() -> None:
         pass
 
 
+def let_go() -> None:
+    """On the driver: plans and tables that nothing refers to any more, and free memory back to the system."""
+    gc.collect()
+    give_back()
+
+
 # ---------------------------------------------------------------- words of a text as arrays
 
 
@@ -178,13 +192,18 @@ def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 class KeyFilter:
-    """A bitmap of fixed size over hashed keys, without false negatives.
+    """A bitmap of bounded size over hashed keys, without false negatives.
 
     It only decides what has to travel: a key it wrongly reports as repeated costs a shuffled row and changes no
-    result.  Its size is ``2**bits`` bits however large the corpus is, so it may be broadcast.
+    result.  Its size is ``2**bits`` bits at most however large the corpus is, so it may be broadcast; one that is
+    nearly empty is halved, its halves laid over each other.
     """
 
     def __init__(self, bitmap: np.ndarray, bits: int):
+        held = int(np.bitwise_count(bitmap).sum())
+        while bits > 10 and held <= FILTER_SHARE * (1 << (bits - 1)):
+            half = len(bitmap) // 2
+            bitmap, bits = bitmap[:half] | bitmap[half:], bits - 1
         self.bitmap, self.mask = bitmap, np.uint64((1 << bits) - 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
@@ -211,4 +230,7 @@ def repeated_keys(keys: DataFrame, bits: int = FILTER_BITS):
     for row in blocks.toLocalIterator():
         part = np.frombuffer(row["bitmap"], dtype=np.uint8)
         bitmap[row["block"] * (_BUCKET // 8) :][: len(part)] = part[: len(bitmap)]
-    return spark.sparkContext.broadcast(KeyFilter(bitmap, bits))
+    found = spark.sparkContext.broadcast(KeyFilter(bitmap, bits))
+    del bitmap
+    let_go()
+    return found

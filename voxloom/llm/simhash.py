@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLACK, cut, grams, if_small, mix, small_batches, spread, tidy, unused, word_hashes
+from .common import BLACK, cut, grams, if_small, let_go, mix, small_batches, spread, tidy, unused, word_hashes
 
 SEED = 42
 RADIUS = 2
@@ -32,8 +32,9 @@ BUCKET_LIMIT = 64
 SHINGLE = 5
 BANDS = 16
 ROWS = 4
-#: Rounds in which the members of a large band bucket meet one of them, before all pairs that are still apart are compared.
-STAR_ROUNDS = 8
+#: Rounds, at most, in which the members of a large band bucket meet one of them, before all pairs that are still apart
+#: are compared; a round that links nothing is the last.
+STAR_ROUNDS = 4
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -199,14 +200,17 @@ def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str
     u, v = few.select("key", F.col("t").alias("ta"), F.col("fp").alias("a")), few.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"))
     links = _verified(u.join(v, "key").where("ta < tb and a <> b").select("ta", "tb", "a", "b"), docs, text_col, jaccard)
     many = cut(bands.join(sizes.where(F.col("n") > bucket_limit).select("key"), "key", "left_semi"))
-    for step in range(STAR_ROUNDS + 1):
-        if many.isEmpty():
-            break
-        roots = components(links).withColumnRenamed("node", "fp")
+    if many.isEmpty():
+        return links
+    # which texts are linked already: (fp, root); a round's links join roots, so that only those are looked at again
+    roots = components(links).withColumnRenamed("node", "fp")
+    step = 0
+    while True:
         apart = many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         apart = cut(apart.join(mixed, "key", "left_semi"))
-        many = apart.select("t", "fp", "key")
+        if apart.isEmpty():
+            return links
         v = apart.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"), F.col("root").alias("rb"))
         if step < STAR_ROUNDS:
             first = apart.groupBy("key").agg(F.min_by(F.struct("t", "fp", "root"), F.xxhash64("t", F.lit(step))).alias("m"))
@@ -214,8 +218,18 @@ def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str
         else:
             u = apart.select("key", F.col("t").alias("ta"), F.col("fp").alias("a"), F.col("root").alias("ra"))
             pairs = u.join(v, "key").where("ra <> rb and ta < tb").select("ta", "tb", "a", "b")
-        links = cut(links.unionByName(_verified(pairs, docs, text_col, jaccard)).distinct())
-    return links
+        new = _verified(pairs, docs, text_col, jaccard)
+        links = cut(links.unionByName(new).distinct())
+        if step == STAR_ROUNDS:
+            return links
+        if new.isEmpty():
+            step = STAR_ROUNDS
+            continue
+        of = apart.select("fp", "root").distinct()
+        joined = new.join(of.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
+        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = cut(of.join(moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
+        many, step = apart.select("t", "fp", "key"), step + 1
 
 
 # ---------------------------------------------------------------- connected components
@@ -242,6 +256,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    let_go()
     roots = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -20,9 +20,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LETTERS, give_back, mix, small_batches, tidy, word_hashes
+from .common import LETTERS, give_back, let_go, mix, small_batches, tidy, word_hashes
 
 #: Chain of label columns, in order; the last one is what ``reject`` acts on.
 CATEGORIES = ("quality", "toxic")
@@ -208,9 +209,9 @@ def train_rows(
     return chain
 
 
-def _as_tasks(spark: SparkSession, flat: np.ndarray, lengths: np.ndarray) -> Callable[[list[Job]], list[Linear]]:
-    """Runs fits as tasks, one each, over rows that are broadcast once; a model's weights come back without their zeros."""
-    shared = spark.sparkContext.broadcast((flat, lengths))
+def _as_tasks(spark: SparkSession, shared: Broadcast) -> Callable[[list[Job]], list[Linear]]:
+    """Runs fits as tasks, one each, over ``shared`` rows (all buckets, buckets of each); a model's weights come back
+    without their zeros."""
 
     def fits(jobs: list[Job]) -> list[Linear]:
         todo = spark.sparkContext.broadcast(jobs)
@@ -230,7 +231,7 @@ def _as_tasks(spark: SparkSession, flat: np.ndarray, lengths: np.ndarray) -> Cal
             weights = np.zeros(1 << FEATURE_BITS)
             weights[r["place"]] = r["weight"]
             out.append(Linear(weights, np.array(r["dense"], dtype=float), r["bias"]))
-        todo.unpersist()
+        todo.destroy()
         return out
 
     return fits
@@ -268,9 +269,15 @@ def train(
     known = np.bincount(flat, minlength=1 << FEATURE_BITS)[flat] >= MIN_ROWS
     lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[known], minlength=len(lengths))
     flat = flat[known]
+    del made, found, known
     if not len(lengths):
         return train_rows([], y, categories)
-    return train_rows(np.split(flat, np.cumsum(lengths)[:-1]), y, categories, fits=_as_tasks(docs.sparkSession, flat, lengths))
+    shared = docs.sparkSession.sparkContext.broadcast((flat, lengths))
+    chain = train_rows(np.split(flat, np.cumsum(lengths)[:-1]), y, categories, fits=_as_tasks(docs.sparkSession, shared))
+    shared.destroy()
+    del flat, lengths
+    let_go()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
