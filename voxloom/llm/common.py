@@ -20,8 +20,6 @@ BROADCAST_BYTES = 32 << 20
 FILTER_BITS = 27
 #: Share of a filter's bits up to which it is halved.
 FILTER_SHARE = 1 / 64
-#: Shuffled bytes that the run-time planner gathers in one task, where the session sets nothing else.
-GATHERED_BYTES = "16m"
 _BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg
 
 
@@ -30,11 +28,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one task holds at a time: Arrow batches by bytes, so that very long texts cannot exhaust a worker, and
-    the small shuffle partitions that are gathered in a task.  Both settings stay with the session."""
+    """Bound the Arrow batches by bytes, so that a batch of very long texts cannot exhaust a worker; the setting stays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
-    if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) is None:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", GATHERED_BYTES)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:

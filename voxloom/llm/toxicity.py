@@ -8,7 +8,7 @@ Features are the words of a text and the beginnings of its words, so that a word
 speaks by its stem.
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE``): its features are made on the executors, gathered
-and broadcast, and the fits of a category (each fold left out, and none) are tasks.  Every row of the table is scored,
+and broadcast, and the fits of a category (each fold left out, and none) are dealt to tasks.  Every row of the table is scored,
 over its whole text.
 """
 
@@ -32,6 +32,8 @@ SAMPLE = 8000
 #: Hash buckets of the features are 2**FEATURE_BITS.
 FEATURE_BITS = 18
 FOLDS = 4
+#: Tasks that the fits of a category are dealt to: a fit takes some 250 MB.
+FIT_TASKS = 3
 ROUNDS = 120
 #: Characters of a word's beginning.
 STEM = 4
@@ -210,7 +212,7 @@ def train_rows(
 
 
 def _as_tasks(spark: SparkSession, shared: Broadcast) -> Callable[[list[Job]], list[Linear]]:
-    """Runs fits as tasks, one each, over ``shared`` rows (all buckets, buckets of each); a model's weights come back
+    """Runs fits in tasks over ``shared`` rows (all buckets, buckets of each); a model's weights come back
     without their zeros."""
 
     def fits(jobs: list[Job]) -> list[Linear]:
@@ -225,7 +227,7 @@ def _as_tasks(spark: SparkSession, shared: Broadcast) -> Callable[[list[Job]], l
                     yield pd.DataFrame([(i, at.tolist(), m.weights[at].tolist(), m.dense.tolist(), m.bias)], columns=["id", "place", "weight", "dense", "bias"])
             give_back()
 
-        found = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "id long, place array<int>, weight array<double>, dense array<double>, bias double").collect()
+        found = spark.range(0, len(jobs), 1, min(len(jobs), FIT_TASKS)).mapInPandas(run, "id long, place array<int>, weight array<double>, dense array<double>, bias double").collect()
         out = []
         for r in sorted(found, key=lambda r: r["id"]):
             weights = np.zeros(1 << FEATURE_BITS)
