@@ -32,6 +32,8 @@ BUCKET_LIMIT = 64
 SHINGLE = 5
 BANDS = 16
 ROWS = 4
+#: Texts of a band bucket up to which all its pairs are compared at once; those of a larger one meet one of them first.
+BAND_LIMIT = 8
 #: Rounds, at most, in which the members of a large band bucket meet one of them, before all pairs that are still apart
 #: are compared; a round that links nothing is the last.
 STAR_ROUNDS = 4
@@ -185,7 +187,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, jaccard: float)
     return cut(both.select("a", "b", "xa", "xb").mapInArrow(tidy(run), "a long, b long").distinct())
 
 
-def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str = "text", bucket_limit: int = BAND_LIMIT) -> DataFrame:
     """Pairs (a, b) of fingerprints with texts of a five-word shingle Jaccard of ``jaccard`` at least, enough to connect them.
 
     Texts that share the minima of a band are candidates, and each candidate is verified on its whole text.  In a bucket
@@ -283,7 +285,7 @@ def near_duplicates(
     groups = cut(groups)
     links = neighbour_links(groups.select("fp"), radius, bucket_limit)
     if jaccard is not None:
-        links = links.unionByName(similar_links(fps, docs, jaccard, text_col, bucket_limit)).distinct()
+        links = links.unionByName(similar_links(fps, docs, jaccard, text_col, min(bucket_limit, BAND_LIMIT))).distinct()
     comp = components(links)
     labelled = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
