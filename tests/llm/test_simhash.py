@@ -120,3 +120,46 @@ def test_any_column_names(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "y"), (None, "no id", "z")], "doc_id long, text string, __keep string").withColumn("keep", F.lit(1)).withColumn("row", F.lit(2)).withColumn("fingerprint", F.lit(3))
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None"]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(5, 5), (7000, 7000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = sorted(map(tuple, simhash.components(df).collect()))
+    assert len({r for _, r in one}) > 10 and simhash.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "EDGES_AT_ONCE", 0)
+    assert sorted(map(tuple, simhash.components(df).collect())) == one
+
+
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 11)):
+            copy[rng.randrange(len(copy))] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(copy[: rng.choice([150, 150, 130])]))
+    near, pairs, verified = jaccard_brute(texts, 0.8), [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda found, *more: pairs.append(found.count()) or verified(found, *more))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, jaccard=0.8).collect()}
+    root = list(range(len(texts)))
+    fps = [simhash.fingerprint(t) for t in texts]
+    for i, j in sorted(near | {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert found == dict(enumerate(root)) and 50 < len(set(root)) < 390
+    assert sum(pairs) < len(texts) ** 2 / 10  # 4 rounds and all pairs that were apart before
+
+
+def test_jobs_of_near_duplicates(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(30)) for _ in range(40)]
+    rows = [(i, t + " more" * (i % 2)) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "near")
+    simhash.near_duplicates(df).count()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) < 45
+    spark.sparkContext.setJobGroup("rest", "rest")

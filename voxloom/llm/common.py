@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Upper bound of one Arrow batch sent to a Python worker; long texts make batches of few rows.
@@ -106,9 +107,11 @@ def give_back() -> None:
 
 
 def let_go() -> None:
-    """On the driver: plans and tables that nothing refers to any more, and free memory back to the system."""
+    """On the driver: plans and tables that nothing refers to any more, and free memory of Python and the JVM back to the system."""
     gc.collect()
     give_back()
+    if (sc := SparkContext._active_spark_context) is not None:
+        sc._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- words of a text as arrays
@@ -212,12 +215,15 @@ def repeated_keys(keys: DataFrame, bits: int = FILTER_BITS):
 
     Counting and building the bitmap run in Spark; the driver gets 2**bits bits at most.
     """
-    spark = keys.sparkSession
     n = F.sum("times") if "times" in keys.columns else F.count(F.lit(1))
-    repeated = keys.groupBy("k").agg(n.alias("n")).where("n > 1")
+    return key_filter(keys.groupBy("k").agg(n.alias("n")).where("n > 1"), bits)
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS):
+    """Broadcast KeyFilter of the distinct values of column ``k`` (long) of ``keys``."""
     at = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
     blocks = (
-        repeated.select(at.alias("at"))
+        keys.select(at.alias("at"))
         .groupBy(F.expr(f"at div {_BUCKET}").alias("block"))
         .agg(F.bitmap_construct_agg(F.expr(f"at % {_BUCKET}")).alias("bitmap"))
     )
@@ -225,7 +231,7 @@ def repeated_keys(keys: DataFrame, bits: int = FILTER_BITS):
     for row in blocks.toLocalIterator():
         part = np.frombuffer(row["bitmap"], dtype=np.uint8)
         bitmap[row["block"] * (_BUCKET // 8) :][: len(part)] = part[: len(bitmap)]
-    found = spark.sparkContext.broadcast(KeyFilter(bitmap, bits))
+    found = keys.sparkSession.sparkContext.broadcast(KeyFilter(bitmap, bits))
     del bitmap
     let_go()
     return found

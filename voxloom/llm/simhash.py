@@ -16,6 +16,7 @@ Copies share a fingerprint and are collapsed to it first; nothing is collected t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLACK, cut, grams, if_small, let_go, mix, small_batches, spread, tidy, unused, word_hashes
+from .common import BLACK, cut, grams, if_small, key_filter, let_go, mix, small_batches, spread, tidy, unused, word_hashes
 
 SEED = 42
 RADIUS = 2
@@ -34,9 +35,11 @@ BANDS = 16
 ROWS = 4
 #: Texts of a band bucket up to which all its pairs are compared at once; those of a larger one meet one of them first.
 BAND_LIMIT = 8
-#: Rounds, at most, in which the members of a large band bucket meet one of them, before all pairs that are still apart
-#: are compared; a round that links nothing is the last.
+#: Rounds, at most, in which the members of a large band bucket meet one of them, before those that are still apart meet
+#: by their rare shingles; a round that links less than half of what it compares is the last.
 STAR_ROUNDS = 4
+#: Edges up to which their components are found in one task; with more, star rounds over all tasks find them.
+EDGES_AT_ONCE = 1 << 19
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -167,12 +170,14 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, jaccard: float) -> DataFrame:
-    """Those of ``pairs`` (ta, tb, a, b) whose texts have a shingle Jaccard of ``jaccard`` at least, as (a, b)."""
-    pairs = cut(pairs.distinct())
-    needed = cut(pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct())
+def _texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
+    """One row (t, text) for each text of ``docs`` whose hash is in ``needed`` (t)."""
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(texts.join(if_small(needed), "t", "left_semi").dropDuplicates(["t"]))
+    return cut(texts.join(if_small(cut(needed.distinct())), "t", "left_semi").dropDuplicates(["t"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, jaccard: float) -> DataFrame:
+    """Those of ``pairs`` (ta, tb, a, b) whose ``texts`` have a shingle Jaccard of ``jaccard`` at least, as (a, b)."""
     both = pairs.join(texts.select(F.col("t").alias("ta"), F.col("text").alias("xa")), "ta").join(texts.select(F.col("t").alias("tb"), F.col("text").alias("xb")), "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,63 +192,128 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, jaccard: float)
     return cut(both.select("a", "b", "xa", "xb").mapInArrow(tidy(run), "a long, b long").distinct())
 
 
-def similar_links(fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str = "text", bucket_limit: int = BAND_LIMIT) -> DataFrame:
+def similar_links(
+    fps: DataFrame, docs: DataFrame, jaccard: float, text_col: str = "text", bucket_limit: int = BAND_LIMIT, known: DataFrame | None = None
+) -> DataFrame:
     """Pairs (a, b) of fingerprints with texts of a five-word shingle Jaccard of ``jaccard`` at least, enough to connect them.
 
     Texts that share the minima of a band are candidates, and each candidate is verified on its whole text.  In a bucket
-    of more than ``bucket_limit`` texts all meet one of them, in rounds, and those already connected are not compared
-    again; whatever is still apart after the rounds is compared pair by pair, so no candidate is dropped.
-    ``fps`` are the fingerprints of ``docs`` with their bands.
+    of more than ``bucket_limit`` texts all meet the one that shares most large buckets, in further rounds others, as
+    long as half of what is compared is linked.  Texts of buckets that are still apart then meet by their rare shingles
+    (``_prefix_links``), so no link is lost.  ``fps`` are the fingerprints of ``docs`` with their bands; ``known`` are
+    links (a, b) that are there already.
     """
     bands = cut(fps.select("t", "fp", F.explode("keys").alias("key")).distinct())
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     sizes = cut(sizes.select("key", "n"))
     few = bands.join(sizes.where(F.col("n") <= bucket_limit).select("key"), "key", "left_semi")
     u, v = few.select("key", F.col("t").alias("ta"), F.col("fp").alias("a")), few.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"))
-    links = _verified(u.join(v, "key").where("ta < tb and a <> b").select("ta", "tb", "a", "b"), docs, text_col, jaccard)
-    many = cut(bands.join(sizes.where(F.col("n") > bucket_limit).select("key"), "key", "left_semi"))
-    if many.isEmpty():
-        return links
-    # which texts are linked already: (fp, root); a round's links join roots, so that only those are looked at again
-    roots = components(links).withColumnRenamed("node", "fp")
-    step = 0
-    while True:
-        apart = many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        apart = cut(apart.join(mixed, "key", "left_semi"))
-        if apart.isEmpty():
-            return links
-        v = apart.select("key", F.col("t").alias("tb"), F.col("fp").alias("b"), F.col("root").alias("rb"))
-        if step < STAR_ROUNDS:
-            first = apart.groupBy("key").agg(F.min_by(F.struct("t", "fp", "root"), F.xxhash64("t", F.lit(step))).alias("m"))
-            pairs = first.join(v, "key").where("m.root <> rb").select(F.col("m.t").alias("ta"), "tb", F.col("m.fp").alias("a"), "b")
-        else:
-            u = apart.select("key", F.col("t").alias("ta"), F.col("fp").alias("a"), F.col("root").alias("ra"))
-            pairs = u.join(v, "key").where("ra <> rb and ta < tb").select("ta", "tb", "a", "b")
-        new = _verified(pairs, docs, text_col, jaccard)
-        links = cut(links.unionByName(new).distinct())
-        if step == STAR_ROUNDS:
+    pairs = u.join(v, "key").where("ta < tb and a <> b").select("ta", "tb", "a", "b")
+    many = bands.join(sizes.where(F.col("n") > bucket_limit), "key")
+    many = cut(many.join(many.groupBy("t").agg(F.sum("n").alias("weight")), "t").select("key", "t", "fp", "weight"))
+    hot, links = not many.isEmpty(), None
+    for step in range(max(1, STAR_ROUNDS)):
+        if hot:
+            apart = _apart(many, known, links)
+            if links is not None and apart.isEmpty():
+                return links
+            rank = F.struct("weight", "t") if step == 0 else F.struct(F.xxhash64("t", F.lit(step)))
+            first = apart.groupBy("key").agg(F.max_by(F.struct("t", "fp", "root"), rank).alias("m"))
+            star = first.join(apart, "key").where("m.root <> root").select(F.col("m.t").alias("ta"), F.col("t").alias("tb"), F.col("m.fp").alias("a"), F.col("fp").alias("b"))
+            pairs = star if links is not None else pairs.unionByName(star)
+        pairs = cut(pairs.distinct())
+        new = _verified(pairs, _texts(docs, pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")), text_col), jaccard)
+        links = new if links is None else cut(links.unionByName(new).distinct())
+        if not hot:
             return links
-        if new.isEmpty():
-            step = STAR_ROUNDS
-            continue
-        of = apart.select("fp", "root").distinct()
-        joined = new.join(of.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
-        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = cut(of.join(moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
-        many, step = apart.select("t", "fp", "key"), step + 1
+        if 2 * new.count() < pairs.count():
+            break
+    apart = _apart(many, known, links)
+    return links if apart.isEmpty() else cut(links.unionByName(_prefix_links(apart, docs, jaccard, text_col)).distinct())
+
+
+def _apart(many: DataFrame, *links: DataFrame | None) -> DataFrame:
+    """The rows of ``many`` (key, t, fp, weight) in buckets that ``links`` do not connect, with the root of each."""
+    links = [x for x in links if x is not None]
+    if not links:
+        return many.withColumn("root", F.col("fp"))
+    roots = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "fp")
+    rooted = cut(many.join(roots, "fp", "left").select("key", "t", "fp", "weight", F.coalesce("root", "fp").alias("root")))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return cut(rooted.join(mixed, "key", "left_semi"))
+
+
+def _prefix_links(apart: DataFrame, docs: DataFrame, jaccard: float, text_col: str) -> DataFrame:
+    """Links (a, b) between texts of ``apart`` (key, t, fp, weight, root) of different roots, all that there are.
+
+    Prefix filtering: with the shingles of all texts in one order, two sets of n and m shingles and a Jaccard of j share
+    one of the first n - ceil(j n) + 1 of the one and m - ceil(j m) + 1 of the other, and behind the first that they
+    share each has enough left to reach the j (n + m) / (1 + j) that they have in common.  Shingles of the texts that
+    the others have met come last in the order: what a text shares with its whole group says little.
+    """
+    rows = cut(apart.select("t", "fp", "root").distinct())
+    texts = _texts(docs, rows.select("t"), text_col)
+    met = apart.groupBy("key").agg(F.max_by("t", F.struct("weight", "t")).alias("t")).select("t").distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["k"])
+
+    frequent = key_filter(texts.join(met, "t", "left_semi").select("text").mapInArrow(tidy(shingles), "k long").distinct())
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, fp, root, x in zip(*(c.to_pylist() for c in b.columns)):
+                found = shingle_set(x)
+                n = len(found)
+                found = found[np.argsort(frequent.value(found), kind="stable")][: n - int(np.ceil(jaccard * n - 1e-9)) + 1]
+                own = [np.full(len(found), y, dtype=np.int64) for y in (t, fp, root, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (*own, np.arange(len(found)), found.view(np.int64))], ["t", "fp", "root", "n", "i", "k"])
+
+    firsts = cut(rows.join(texts, "t").select("t", "fp", "root", "text").mapInArrow(tidy(prefix), "t long, fp long, root long, n long, i long, k long"))
+    mixed = firsts.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
+    firsts = cut(firsts.join(mixed, "k", "left_semi"))
+    u, v = (firsts.select("k", *[F.col(c).alias(c + side) for c in ("t", "fp", "root", "n", "i")]) for side in "ab")
+    enough = f"least(na - ia, nb - ib) * {1 + jaccard}D >= {jaccard}D * (na + nb) - 1e-6D"
+    pairs = u.join(v, "k").where(f"ta < tb and roota <> rootb and {enough}").select("ta", "tb", F.col("fpa").alias("a"), F.col("fpb").alias("b"))
+    return _verified(cut(pairs.distinct()), texts, jaccard)
 
 
 # ---------------------------------------------------------------- connected components
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges: the larger root of an edge hangs on the smaller one, then paths are shortened."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not sum(len(u) for u, _ in parts):
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    at, root = at.reshape(2, -1), np.arange(len(nodes))
+    while True:
+        a, b = root[at]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    for i in range(0, len(nodes), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 65536]), pa.array(nodes[root[i : i + 65536]])], ["node", "root"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (a, b long): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps; every round is checkpointed, and only a count reaches the driver.  The
-    rounds grow with the logarithm of the longest path; ``max_rounds`` is a guard that raises, it drops nothing.
+    Up to ``EDGES_AT_ONCE`` edges, a few MB, are joined in one task, which spares the driver some hundred stages.  With
+    more: alternating large-star and small-star steps; every round is checkpointed, and only a count reaches the driver.
+    The rounds grow with the logarithm of the longest path; ``max_rounds`` is a guard that raises, it drops nothing.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    let_go()
+    if e.count() <= EDGES_AT_ONCE:
+        return cut(e.coalesce(1).mapInArrow(tidy(_joined), "node long, root long"))
     seen = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -285,7 +355,8 @@ def near_duplicates(
     groups = cut(groups)
     links = neighbour_links(groups.select("fp"), radius, bucket_limit)
     if jaccard is not None:
-        links = links.unionByName(similar_links(fps, docs, jaccard, text_col, min(bucket_limit, BAND_LIMIT))).distinct()
+        links = cut(links)
+        links = links.unionByName(similar_links(fps, docs, jaccard, text_col, min(bucket_limit, BAND_LIMIT), links)).distinct()
     comp = components(links)
     labelled = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
