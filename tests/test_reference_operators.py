@@ -184,3 +184,28 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     q = session.stream(stream).writeStream.outputMode("append").format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("sessions").collect())) == want
+
+
+def test_alignment_of_many_utterances_at_once():
+    rng = np.random.default_rng(4)
+    items = []
+    for n in [0, 1, 2, 5, 5, 40] * 25:
+        targets = rng.integers(1, 5, n).tolist()
+        frames = n + sum(a == b for a, b in zip(targets, targets[1:])) + int(rng.integers(1 if n == 0 else 0, 30))
+        items.append((-rng.integers(0, 4, (frames, 5)).astype(np.float32) / 4, targets))  # few values: many ties
+    for cells in (alignment.CELLS_AT_ONCE, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(alignment, "CELLS_AT_ONCE", cells)
+            for (lp, targets), path in zip(items, alignment.forced_align_all(items)):
+                assert path.tolist() == alignment.forced_align(lp, targets).tolist()
+
+
+def test_timed_words_of_odd_rows(spark, monkeypatch):
+    lp = [[-1.0 - (t * 7 + k * 3) % 5 for k in range(30)] for t in range(60)]
+    rows = [(1, lp, ["one", "two"]), (2, None, ["a"]), (3, lp, None), (4, [], ["a"]), (5, lp[:3], ["too", "few"]), (6, lp, []), (7, lp, ["?!", "a"])]
+    df = spark.createDataFrame(rows, "utt long, log_probs array<array<float>>, words array<string>").coalesce(1)
+    calls, single = [], alignment.forced_align
+    monkeypatch.setattr(alignment, "forced_align", lambda *a: calls.append(1) or single(*a))
+    want = [(u, *w) for u, x, words in rows if x and words for w in alignment.place_all(words, np.array(x, dtype=np.float32))]
+    tidy = lambda rows: sorted((*r[:4], None if r[4] is None or r[4] != r[4] else r[4]) for r in rows)
+    assert tidy(map(tuple, alignment.timed(df).collect())) == tidy(want)

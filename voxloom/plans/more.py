@@ -428,7 +428,10 @@ def timed_words(spark, sf_dir):
     """The words of every sentence placed in frames whose label scores are made from the sentence: the acoustic model is no part of this."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(structure.sentence_array(F.col("text"))).alias("pos", "text"))
     labels = len(alignment.LABEL) + 2
-    score = F.expr(f"transform(sequence(0, 2 * length(text) + 20), t -> transform(sequence(0, {labels - 1}), k -> cast(-1.0 - ((t * 7 + k * 13 + length(text)) % 11) / 4.0 as float)))")
+    # (t * 7 + k * 13 + length) % 11 for label k of frame t: eleven rows of scores, of which each frame takes one
+    scores = [[-1.0 - ((r + k * 13) % 11) / 4.0 for k in range(labels)] for r in range(11)]
+    kinds = "array(" + ", ".join("array(" + ", ".join(f"{x}F" for x in row) + ")" for row in scores) + ")"
+    score = F.expr(f"transform(sequence(0, 2 * length(text) + 20), t -> {kinds}[(t * 7 + length(text)) % 11])")
     utt = ((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("pos")).cast("long").alias("utt")
     # the work of a row is great and the table may be one file: it is dealt to as many tasks as shuffles have
     rows = rows.select(utt, "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utt")
