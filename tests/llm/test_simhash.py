@@ -152,3 +152,31 @@ def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
         root = [min(a, b) if r in (a, b) else r for r in root]
     assert found == dict(enumerate(root)) and 50 < len(set(root)) < 390
     assert sum(pairs) < len(texts) ** 2 / 10  # 4 rounds and all pairs that were apart before
+
+
+def test_prefixes_of_a_large_group_meet_their_plainest(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = []
+    for size in (146, 300):  # two groups; the second with other shared passages, some of which are edited as one
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for i in range(200):
+            copy = list(base)
+            for _ in range(rng.randrange(size // 15)):
+                copy[rng.randrange(len(copy))] = f"own{rng.randrange(10**9)}"
+            if i % 3 == 0:
+                copy[20:50] = [f"new{i % 4}_{j}" for j in range(30)]
+            texts.append(" ".join(copy[: rng.choice([size, size, size - 15])]))
+    texts = list(dict.fromkeys(texts))
+    near, pairs, verified = jaccard_brute(texts, 0.8), [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda found, *more: pairs.append(found.count()) or verified(found, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = docs.select(F.lit(1).cast("long").alias("key"), F.xxhash64("text").alias("t"), F.col("doc_id").alias("fp"), F.lit(1).alias("weight"), F.col("doc_id").alias("root"))
+    links = simhash._prefix_links(apart, docs, 0.8, "text")
+    assert {(min(r), max(r)) for r in links.collect()} <= near
+    root = list(range(len(texts)))
+    for i, j in sorted(near):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    found = dict(map(tuple, simhash.components(links).collect()))
+    assert [found.get(i, i) for i in range(len(texts))] == root and 20 < len(set(root)) < 300
+    assert sum(pairs) < 10 * len(texts)  # 39,538 before the plainest was met first

@@ -19,6 +19,8 @@ ARROW_BATCH_BYTES = "4m"
 BROADCAST_BYTES = 32 << 20
 #: Bits of a repeated-key filter, at most: 2**27 bits are 16 MiB, whatever the size of the corpus.
 FILTER_BITS = 27
+#: Bits of each of the filters that order keys by their counts: 2 MiB.
+LEVEL_BITS = 24
 #: Share of a filter's bits up to which it is halved.
 FILTER_SHARE = 1 / 64
 _BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg
@@ -235,3 +237,32 @@ def key_filter(keys: DataFrame, bits: int = FILTER_BITS):
     del bitmap
     let_go()
     return found
+
+
+class KeyLevels:
+    """How many of ``filters`` report a key: a rough logarithm of its count, the same wherever it is asked for."""
+
+    def __init__(self, filters: list[KeyFilter]):
+        self.filters = filters
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return sum(f(keys).astype(np.int8) for f in self.filters)
+
+
+def key_levels(counts: DataFrame, limits: tuple[int, ...], bits: int = LEVEL_BITS):
+    """Broadcast KeyLevels of ``counts`` (k, n): for each of ``limits`` the keys of that ``n`` at least; for orders, where an error only costs time."""
+    blocks = (
+        counts.where(F.col("n") >= min(limits))
+        .select(F.expr(f"k & {(1 << bits) - 1}L").alias("at"), "n")
+        .groupBy(F.expr(f"at div {_BUCKET}").alias("block"))
+        .agg(*[F.bitmap_construct_agg(F.expr(f"if(n >= {x}, at % {_BUCKET}, null)")).alias(f"b{x}") for x in limits])
+    )
+    maps = np.zeros((len(limits), (1 << bits) // 8), dtype=np.uint8)
+    for row in blocks.collect():
+        for own, x in zip(maps, limits):
+            part = np.frombuffer(row[f"b{x}"], dtype=np.uint8)
+            own[row["block"] * (_BUCKET // 8) :][: len(part)] = part
+    found = counts.sparkSession.sparkContext.broadcast(KeyLevels([KeyFilter(m, bits) for m in maps]))
+    del maps
+    let_go()
+    return found

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLACK, cut, grams, if_small, key_filter, let_go, mix, small_batches, spread, tidy, unused, word_hashes
+from .common import BLACK, cut, grams, if_small, key_levels, let_go, mix, small_batches, spread, tidy, unused, word_hashes
 
 SEED = 42
 RADIUS = 2
@@ -38,6 +38,9 @@ BAND_LIMIT = 8
 #: Rounds, at most, in which the members of a large band bucket meet one of them, before those that are still apart meet
 #: by their rare shingles; a round that links less than half of what it compares is the last.
 STAR_ROUNDS = 4
+#: Of a shingle's number of texts the steps by which prefixes are ordered, and the bits of a set's signature.
+LEVELS = (2, 16, 128, 1024)
+SIGN = 512
 #: Edges up to which their components are found in one task; with more, star rounds over all tasks find them.
 EDGES_AT_ONCE = 1 << 19
 
@@ -243,41 +246,86 @@ def _apart(many: DataFrame, *links: DataFrame | None) -> DataFrame:
     return cut(rooted.join(mixed, "key", "left_semi"))
 
 
+def _levels(texts: DataFrame):
+    """Broadcast KeyLevels of the shingles of ``texts`` (t, text): in how many of these each occurs, roughly."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            k, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(times)], ["k", "times"])
+
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                held.append(shingle_set(x))
+                n += len(held[-1])
+                if n >= 1 << 20:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    counts = texts.select("text").mapInArrow(tidy(counted), "k long, times long").groupBy("k").agg(F.sum("times").alias("n"))
+    return key_levels(counts, LEVELS)
+
+
 def _prefix_links(apart: DataFrame, docs: DataFrame, jaccard: float, text_col: str) -> DataFrame:
-    """Links (a, b) between texts of ``apart`` (key, t, fp, weight, root) of different roots, all that there are.
+    """Links (a, b) between texts of ``apart`` (key, t, fp, weight, root) of different roots, enough to connect all that are linked.
 
     Prefix filtering: with the shingles of all texts in one order, two sets of n and m shingles and a Jaccard of j share
     one of the first n - ceil(j n) + 1 of the one and m - ceil(j m) + 1 of the other, and behind the first that they
-    share each has enough left to reach the j (n + m) / (1 + j) that they have in common.  Shingles of the texts that
-    the others have met come last in the order: what a text shares with its whole group says little.
+    share each has enough left to reach the j (n + m) / (1 + j) that they have in common.  Rare shingles come first in the
+    order: what a text shares with its whole group says little.  Sets that differ in d shingles have signatures (the
+    parities of ``SIGN`` parts of each set) that differ in d bits at most.
+
+    The texts that share a shingle meet the one with the fewest rarer ones before it, the plainest of its group.  What is
+    still apart meets all that share a shingle with it, but for those of one root, the one of most texts, among themselves.
     """
     rows = cut(apart.select("t", "fp", "root").distinct())
     texts = _texts(docs, rows.select("t"), text_col)
-    met = apart.groupBy("key").agg(F.max_by("t", F.struct("weight", "t")).alias("t")).select("t").distinct()
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["k"])
-
-    frequent = key_filter(texts.join(met, "t", "left_semi").select("text").mapInArrow(tidy(shingles), "k long").distinct())
+    levels, signs = _levels(texts), [f"s{x}" for x in range(SIGN // 64)]
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, fp, root, x in zip(*(c.to_pylist() for c in b.columns)):
                 found = shingle_set(x)
                 n = len(found)
-                found = found[np.argsort(frequent.value(found), kind="stable")][: n - int(np.ceil(jaccard * n - 1e-9)) + 1]
-                own = [np.full(len(found), y, dtype=np.int64) for y in (t, fp, root, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (*own, np.arange(len(found)), found.view(np.int64))], ["t", "fp", "root", "n", "i", "k"])
-
-    firsts = cut(rows.join(texts, "t").select("t", "fp", "root", "text").mapInArrow(tidy(prefix), "t long, fp long, root long, n long, i long, k long"))
-    mixed = firsts.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
-    firsts = cut(firsts.join(mixed, "k", "left_semi"))
-    u, v = (firsts.select("k", *[F.col(c).alias(c + side) for c in ("t", "fp", "root", "n", "i")]) for side in "ab")
-    enough = f"least(na - ia, nb - ib) * {1 + jaccard}D >= {jaccard}D * (na + nb) - 1e-6D"
-    pairs = u.join(v, "k").where(f"ta < tb and roota <> rootb and {enough}").select("ta", "tb", F.col("fpa").alias("a"), F.col("fpb").alias("b"))
-    return _verified(cut(pairs.distinct()), texts, jaccard)
+                odd = np.bincount((found % np.uint64(SIGN)).astype(np.int64), minlength=SIGN) & 1
+                sign = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                found = found[np.argsort(levels.value(found), kind="stable")][: n - int(np.ceil(jaccard * n - 1e-9)) + 1]
+                own = [np.full(len(found), y, dtype=np.int64) for y in (t, fp, root, n, *sign)]
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (*own, np.arange(len(found)), found.view(np.int64))], names)
+
+    names = ["t", "fp", "root", "n", *signs, "i", "k"]
+    firsts = rows.join(texts, "t").select("t", "fp", "root", "text").mapInArrow(tidy(prefix), ", ".join(f"{c} long" for c in names))
+    differ = " + ".join(f"bit_count({s}a ^ {s}b)" for s in signs)
+    near = F.expr(
+        f"roota <> rootb and least(na - ia, nb - ib) * {1 + jaccard}D >= {jaccard}D * (na + nb) - 1e-6D"
+        f" and (na + nb - ({differ})) * {1 + jaccard}D >= {2 * jaccard}D * (na + nb) - 1e-6D"
+    )
+    side = lambda df, x, *more: df.select("k", *more, *[F.col(c).alias(c + x) for c in names[:-1]])
+
+    def mixed(firsts: DataFrame) -> DataFrame:
+        """``firsts`` of shingles of several roots, with enough left to be near the smallest set there; ``main``: the root of most."""
+        of = firsts.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"), F.min("n").alias("least"))
+        of = of.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.min("least").alias("least"), F.count(F.lit(1)).alias("roots"))
+        enough = F.expr(f"(n - i) * {1 + jaccard}D >= {jaccard}D * (n + least) - 1e-6D")
+        return cut(firsts.join(of.where("roots > 1").drop("roots"), "k").where(enough).select(*names, "main"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        turn = [F.when(F.col("ta") < F.col("tb"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ta", "tb"), ("tb", "ta"), ("fpa", "fpb"), ("fpb", "fpa"))]
+        return _verified(cut(pairs.select(turn).distinct()).withColumnsRenamed({"fpa": "a", "fpb": "b"}), texts, jaccard)
+
+    firsts = mixed(cut(firsts))
+    plain = firsts.groupBy("k").agg(F.min_by(F.struct(*names[:-1]), F.struct("i", "n", "t")).alias("plain")).select("k", "plain.*")
+    links = verified(side(plain, "a").join(side(firsts, "b"), "k").where(near))
+    if not links.isEmpty():
+        roots = components(links.unionByName(rows.select(F.col("fp").alias("a"), F.col("root").alias("b"))))
+        roots = roots.select(F.col("node").alias("fp"), F.col("root").alias("now"))
+        firsts = mixed(firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("now", "root")).select(names))
+    pairs = side(firsts.where("root <> main"), "a", "main").join(side(firsts, "b"), "k")
+    return cut(links.unionByName(verified(pairs.where(near & F.expr("ta < tb or rootb = main")))).distinct())
 
 
 # ---------------------------------------------------------------- connected components
