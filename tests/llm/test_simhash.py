@@ -180,3 +180,25 @@ def test_prefixes_of_a_large_group_meet_their_plainest(spark, monkeypatch):
     found = dict(map(tuple, simhash.components(links).collect()))
     assert [found.get(i, i) for i in range(len(texts))] == root and 20 < len(set(root)) < 300
     assert sum(pairs) < 10 * len(texts)  # 39,538 before the plainest was met first
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate([t + more for t in texts for more in ("", " of", " ")]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, cut = [], simhash.cut
+
+    def seen(x):
+        x.collect()
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        return cut(x)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    for edges in (simhash.EDGES_AT_ONCE, 0):  # components in one task and in rounds
+        monkeypatch.setattr(simhash, "EDGES_AT_ONCE", edges)
+        found = simhash.near_duplicates(df)
+        assert got(found) == brute(rows)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not any("Broadcast" in p for p in plans)

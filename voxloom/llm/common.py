@@ -75,6 +75,12 @@ def if_small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
     return F.broadcast(df) if is_small(df, row_bytes) else df
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df``, which grows with the input, marked to be joined by sorting: else Spark broadcasts what was shuffled in up to
+    10 MB, which as a hash table on the driver takes many times that."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to as many tasks as shuffles have: a small table that was gathered in few and will grow."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLACK, cut, grams, if_small, key_levels, let_go, mix, small_batches, spread, tidy, unused, word_hashes
+from .common import BLACK, cut, grams, if_small, key_levels, let_go, mix, small_batches, sorted_side, spread, tidy, unused, word_hashes
 
 SEED = 42
 RADIUS = 2
@@ -131,7 +131,7 @@ def neighbour_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BU
         few_probes = probes.join(large, "key", "left_anti") if hot else probes
         pairs = (
             few_probes.select("key", F.col("fp").alias("u"))
-            .join(few_stored.select("key", F.col("fp").alias("v")), "key")
+            .join(sorted_side(few_stored.select("key", F.col("fp").alias("v"))), "key")
             .where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         )
@@ -366,9 +366,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = both.join(sorted_side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        e = e.join(sorted_side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = cut(e)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
@@ -406,10 +406,10 @@ def near_duplicates(
         links = cut(links)
         links = links.unionByName(similar_links(fps, docs, jaccard, text_col, min(bucket_limit, BAND_LIMIT), links)).distinct()
     comp = components(links)
-    labelled = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = groups.join(sorted_side(comp.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = cut(labelled.join(lowest, "root").select("fp", "component_id"))
-    return fps.join(of_fp, "fp").select(
+    of_fp = cut(labelled.join(sorted_side(lowest), "root").select("fp", "component_id"))
+    return fps.join(sorted_side(of_fp), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
