@@ -92,3 +92,9 @@ def test_safe_ends(text):
     ends = bpe._safe_ends(text)
     cuts = [i for i in range(1, len(text)) if not text[i - 1].isspace() and text[i] in " \n\t\r"]
     assert ends == ((cuts[0], cuts[-1]) if cuts else None)
+
+
+def test_round_trip_takes_one_worker_a_task(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    steps = [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") for x in (bpe.encode(df), bpe.round_trip(df, with_ids=True))]
+    assert steps[0] == steps[1]

@@ -144,3 +144,12 @@ def test_limits_change_no_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [sorted(map(tuple, sd.digests(df, hot_limit=limit).collect())) for limit in (1, 40, 4096)]
     assert found[0] == found[1] == found[2] == sorted((int(w[0]), *w[1:4]) for w in brute(rows, 50))
+
+
+def test_kept_words_are_found_once(spark):
+    words = [f"w{i}" for i in range(90)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[10:80]))], "doc_id long, text string")
+    found = sd.deduplicate(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [kept(") == 1
+    assert dict(found.collect()) == {1: " ".join(words), 2: "x"}

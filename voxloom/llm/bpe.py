@@ -17,7 +17,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -29,6 +29,7 @@ from .common import FILTER_BITS, cut, repeated_keys, small_batches, tidy
 MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 1024, 256, 8192
 #: Token ids, or rows, of one batch of results.
 EMIT_IDS = 1 << 18
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def default_vocabulary() -> str:
@@ -226,6 +227,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     of repeated chunks (2**bits bits, broadcast): a larger corpus makes it report more chunks as repeated, which then
     travel, and changes no ids.
     """
+    return _encoded(docs, id_col, text_col, vocabulary, filter_bits, lambda batches: batches, "ids array<int>")
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, filter_bits: int, then: Run, columns: str) -> DataFrame:
+    """Rows (id, ``columns``) that ``then`` makes of batches (id, ids), in the Python worker that encodes them."""
     spark = docs.sparkSession
     small_batches(spark)
     path = vocabulary or default_vocabulary()
@@ -337,8 +343,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         if row is not None:
             yield from done(True)
 
-    whole = ordered.mapInArrow(tidy(assemble), f"id {kind}, ids array<int>")
-    return rows.mapInArrow(tidy(alone), f"id {kind}, ids array<int>").unionByName(whole).withColumnRenamed("id", id_col)
+    whole = ordered.mapInArrow(tidy(lambda batches: then(assemble(batches))), f"id {kind}, {columns}")
+    return rows.mapInArrow(tidy(lambda batches: then(alone(batches))), f"id {kind}, {columns}").unionByName(whole).withColumnRenamed("id", id_col)
 
 
 def _ids_batch(owners: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
@@ -363,9 +369,11 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return tokens.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")
 
 
-def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256[, ids]) of rows (id, ids): the ids are decoded and the text hashed."""
-    path = vocabulary or default_vocabulary()
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(path: str, with_ids: bool) -> tuple[Run, str]:
+    """What makes batches (id, digests) of batches (id, ids), and its columns beside the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
@@ -380,11 +388,20 @@ def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None =
             made = [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())] + [b.column(1)] * with_ids
             yield pa.RecordBatch.from_arrays(made, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(made)])
 
+    return run, _DIGESTS + (", ids array<int>" if with_ids else "")
+
+
+def digests(tokens: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256[, ids]) of rows (id, ids): the ids are decoded and the text hashed."""
+    run, columns = _digested(vocabulary or default_vocabulary(), with_ids)
     kind = tokens.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return tokens.select(id_col, "ids").mapInArrow(tidy(run), schema)
+    return tokens.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, {columns}")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Encode every whole text, decode the ids, and return counts and digests, and the ids where they are wanted."""
-    return digests(encode(docs, id_col, text_col, vocabulary), id_col, vocabulary, with_ids)
+    """Encode every whole text, decode the ids, and return counts and digests, and the ids where they are wanted.
+
+    The worker that encodes a text decodes and hashes it as well: two steps of one task would hold two workers at once.
+    """
+    path = vocabulary or default_vocabulary()
+    return _encoded(docs, id_col, text_col, path, FILTER_BITS, *_digested(path, with_ids))

@@ -427,6 +427,7 @@ def deduplicate(
             out.append(text if len(words) == total else b" ".join(words).decode() if words else None)
         return pd.Series(out, dtype=object)
 
-    changed = held.withColumn(row, kept(text, F.col(own))).where(F.col(row).isNotNull())
+    # marked, else Spark asks it for the filter and again for the column, in a second Python worker of the task
+    changed = held.withColumn(row, kept.asNondeterministic()(text, F.col(own))).where(F.col(row).isNotNull())
     names = [F.col(row).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return docs.where(~may_repeat).unionByName(changed.select(*names))
