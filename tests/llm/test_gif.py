@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -45,6 +46,80 @@ def test_lzw_against_a_slow_reader():
     assert gif.payload(gif.encode(text)) == gif.pad(text) and len(gif.encode(text)) < len(text) / 10
 
 
+def pack(codes, size):
+    """The code stream of any codes, a clear code first; the reader's table is left full until the next one."""
+    clear, out, at, n = 1 << size, 0, 0, 0
+    for code in codes:
+        out |= code << at
+        at += min((clear + 1 + max(n, 1)).bit_length(), 12) if code != clear or n else size + 1
+        n = 0 if code == clear else n + 1
+    return out.to_bytes((at + 7) // 8, "little")
+
+
+def plain_lzw(data):
+    """A writer with a table of byte strings."""
+    codes = [256]
+    table, word = {bytes([i]): i for i in range(256)}, b""
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        codes.append(table[word])
+        table[longer] = len(table) + 2
+        word = data[i : i + 1]
+        if len(table) + 2 == 4096:
+            codes.append(256)
+            table = {bytes([i]): i for i in range(256)}
+    return pack(codes + ([table[word]] if word else []) + [257], 8)
+
+
+def test_streams_are_those_of_a_plain_writer():
+    rng = random.Random(8)
+    for data in (b"", b"a", b"aa", b"aaa", b"ab" * 3000, bytes(9000), bytes(range(256)) * 40, bytes(rng.choices(range(200), k=30000)), b"one more text, one more text. " * 900):
+        stream = gif.lzw_encode(data)
+        assert stream == plain_lzw(data) and gif.lzw_decode(stream, 8, len(data)) == data
+        assert data.startswith(gif.lzw_decode(stream[: len(stream) // 2], 8, len(data))) and gif.lzw_decode(stream, 8, len(data) // 2) == data[: len(data) // 2]
+
+
+def test_code_streams_of_any_writer():
+    """Random codes of every size, those of the entry just before among them, with tables left full and repeated clears."""
+    rng = random.Random(9)
+    for size, n in ((2, 60), (3, 5000), (5, 9000), (8, 300), (8, 9000)):
+        clear, codes, k = 1 << size, [1 << size, 1 << size], 0
+        for _ in range(n):
+            top = min(clear + 1 + k, 4095) if k else clear - 1
+            code = top if rng.random() < 0.2 else rng.randrange(top + 1)
+            code = 0 if code in (clear, clear + 1) else code
+            if k and rng.random() < 2 / n:
+                code = clear
+            codes.append(code)
+            k = 0 if code == clear else k + 1
+        stream = pack(codes + [clear + 1], size)
+        expected = slow_lzw(stream, size)
+        assert gif.lzw_decode(stream, size, 1 << 30) == expected
+        assert gif.lzw_decode(stream, size, len(expected) // 3) == expected[: len(expected) // 3]
+    with pytest.raises(ValueError):
+        gif.lzw_decode(pack([256, 65, 259, 257], 8), 8, 100)
+
+
+def test_a_text_takes_fewer_calls_than_it_has_samples():
+    rng = random.Random(10)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(400)]
+    data = gif.pad(" ".join(rng.choices(words, k=4000)).encode())
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = [gif._frame_row(k, f) for k, f in enumerate(gif.decode(gif.encode(data)))]
+    finally:
+        sys.setprofile(None)
+    assert sum(found[0]["histogram"]) == len(data) and calls[0] < len(data)
+
+
 def image(index, left=0, top=0, size=2, palette=b"", interlaced=False, control=None):
     h, w = len(index), len(index[0])
     rows = index

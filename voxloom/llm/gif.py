@@ -37,49 +37,56 @@ def _widths(n: int, size: int) -> np.ndarray:
     return np.minimum(np.floor(np.log2(entries)).astype(np.int64) + 1, 12)
 
 
-_SCHEDULE: dict[int, np.ndarray] = {}
+_SCHEDULE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _schedule(n: int, size: int) -> np.ndarray:
+def _schedule(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``_widths`` of at least ``n`` codes, and their running sums."""
     known = _SCHEDULE.get(size)
-    if known is None or len(known) < n:
-        known = _SCHEDULE[size] = _widths(max(n, 4400), size)
-    return known[:n]
+    if known is None or len(known[0]) < n:
+        width = _widths(max(n, 4400), size)
+        known = _SCHEDULE[size] = width, np.cumsum(width)
+    return known
+
+
+#: Tables that no call uses, all 0: the code, times 256, of a string and one more sample is at its code * 256 + the sample.
+_TABLES: list[list[int]] = []
+_ROOT = [b << 8 for b in range(256)]
 
 
 def lzw_encode(samples: bytes) -> bytes:
     """Code stream of 8-bit ``samples``; the table is cleared when it is full."""
-    blocks: list[list[int]] = []
-    codes: list[int] = []
-    table: dict[int, int] = {}
-    find, put = table.get, codes.append
-    at, free = -1, 258
-    for byte in samples:
-        if at < 0:
-            at = byte
-            continue
-        key = (at << 8) | byte
-        known = find(key)
-        if known is not None:
+    table, root = _TABLES.pop() if _TABLES else [0] * (4096 << 8), _ROOT
+    blocks: list[np.ndarray] = []
+    keys: list[int] = []
+    put = keys.append
+    rest = iter(samples)
+    at, free = next(rest, -1) << 8, 258 << 8
+    for byte in rest:
+        key = at | byte
+        if known := table[key]:
             at = known
             continue
-        put(at)
+        put(key)
         table[key] = free
-        free += 1
-        at = byte
-        if free == 4096:
-            put(256)
-            blocks.append(codes)
-            codes = []
-            put = codes.append
-            table.clear()
-            free = 258
+        free += 256
+        at = root[byte]
+        if free == 4096 << 8:
+            for key in keys:
+                table[key] = 0
+            put(256 << 8)
+            blocks.append(np.array(keys))
+            keys.clear()
+            free = 258 << 8
+    for key in keys:
+        table[key] = 0
+    _TABLES.append(table)
     if at >= 0:
         put(at)
-    put(257)
-    blocks.append(codes)
-    flat = np.array([256] + [c for b in blocks for c in b], dtype=np.int64)
-    width = np.concatenate([np.array([9])] + [_schedule(len(b), 8) for b in blocks])
+    put(257 << 8)
+    blocks.append(np.array(keys))
+    flat = np.concatenate([np.array([256 << 8]), *blocks]) >> 8
+    width = np.concatenate([np.array([9])] + [_schedule(len(b), 8)[0][: len(b)] for b in blocks])
     end = np.cumsum(width)
     at_bit = end - width
     byte, value = at_bit >> 3, flat << (at_bit & 7)
@@ -88,21 +95,71 @@ def lzw_encode(samples: bytes) -> bytes:
     return out.astype(np.uint8)[:size].tobytes()
 
 
+def _expand(codes: np.ndarray, clear: int, room: int) -> bytes:
+    """The samples of the ``codes`` after a clear code, up to the one that reaches ``room``.
+
+    The table's entry k is the string of code k and the first sample of code k + 1, which follows it in the samples: a
+    code of entry k copies what begins where code k began.
+    """
+    first = clear + 2
+    wrong = np.flatnonzero(codes > np.arange(first - 1, first - 1 + len(codes)))
+    if len(wrong):
+        raise ValueError(f"code {codes[wrong[0]]} is not in the table")
+    none = len(codes)  # what codes of one sample refer to
+    entry = np.append(codes - first, none)
+    single = np.flatnonzero(entry < 0)
+    entry[single] = none
+    length, up = np.ones(none + 1, dtype=np.int64), entry
+    length[none] = 0
+    while len(single) < none and (up != none).any():  # every round doubles the part of a string that is counted
+        length += length[up]
+        up = up[up]
+    end = np.cumsum(length)
+    start = end - length
+    back = start - start[entry]
+    back[single] = 0
+    n, used = int(end[-1]), none
+    if n > room:
+        used = int(np.searchsorted(end, room)) + 1
+        n, single = int(end[used - 1]), single[: np.searchsorted(single, used)]
+    codes, length, start, back = codes[:used], length[:used], start[:used], back[:used]
+    if n > 8 * used or used > 4096:  # long strings, or a table left full: copied one by one, in little memory
+        out = bytearray(n)
+        for to, size, source, code in zip(start.tolist(), length.tolist(), (start - back).tolist(), codes.tolist()):
+            if size == 1:
+                out[to] = code
+            else:  # a code of the entry before it ends with its own first sample
+                out[to : to + size - 1] = out[source : source + size - 1]
+                out[to + size - 1] = out[source + size - 1]
+        return bytes(out)
+    source = np.arange(n)
+    source -= np.repeat(back, length)
+    while ((further := source[source]) != source).any():
+        source = further
+    out = np.zeros(n, dtype=np.uint8)
+    out[start[single]] = codes[single]
+    return out[source].tobytes()
+
+
 def lzw_decode(stream: bytes, size: int, limit: int) -> bytes:
     """Up to ``limit`` samples of a code stream whose smallest code size is ``size``; a cut stream gives what is there."""
+    if size > 8:
+        raise ValueError(f"samples of {size} bits")
     clear, stop = 1 << size, (1 << size) + 1
     data = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.int64)
-    bits = len(stream) * 8
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
+    bits, step = len(stream) * 8, int(_schedule(1, size)[0][0])
     out: list[bytes] = []
     n, bit, more = 0, 0, True
     while more and n < limit:
         # one block: the codes up to the next clear code
-        codes: list[int] = []
+        while bit + step <= bits and int.from_bytes(stream[bit >> 3 : (bit >> 3) + 3], "little") >> (bit & 7) & ((1 << step) - 1) == clear:
+            bit += step
+        parts: list[np.ndarray] = []
+        have = 0
         while True:
-            want = 4200 if not codes else 4200 * 4
-            width = _schedule(len(codes) + want, size)[len(codes) :]
-            ends = bit + np.cumsum(width)
+            want = min(4200 if not have else 4200 * 4, (bits - bit) // (size + 1) + 1)
+            width, ends = (s[have : have + want] for s in _schedule(have + want, size))
+            ends = ends + (bit - int(ends[0] - width[0]))
             fit = int(np.searchsorted(ends, bits, side="right"))
             width, ends = width[:fit], ends[:fit]
             first = ends - width
@@ -111,29 +168,19 @@ def lzw_decode(stream: bytes, size: int, limit: int) -> bytes:
             halt = np.flatnonzero((found == clear) | (found == stop))
             if len(halt):
                 k = int(halt[0])
-                codes += found[:k].tolist()
+                parts.append(found[:k])
                 bit, more = int(ends[k]), int(found[k]) == clear
                 break
-            codes += found.tolist()
+            parts.append(found)
             if fit < want:
                 more = False
                 break
+            have += fit
             bit = int(ends[-1])
-        table = list(roots)
-        add, emit = table.append, out.append
-        last = b""
-        for code in codes:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError(f"code {code} is not in the table")
-            emit(entry)
-            n += len(entry)
-            if last and len(table) < 4096:
-                add(last + entry[:1])
-            last = entry
+        codes = np.concatenate(parts) if len(parts) > 1 else parts[0]
+        if len(codes):
+            out.append(_expand(codes, clear, limit - n))
+            n += len(out[-1])
     return b"".join(out)[:limit]
 
 
@@ -251,7 +298,7 @@ def decode(gif: bytes) -> Iterator[Frame]:
         area = (slice(top, min(top + index.shape[0], height)), slice(left, min(left + index.shape[1], width)))
         index = index[: area[0].stop - top, : area[1].stop - left]
         before = canvas[area].copy() if disposal == 3 else None
-        colours = palette[index]
+        colours = palette.take(index, axis=0)
         if transparent is None:
             canvas[area] = colours
         else:
@@ -281,15 +328,23 @@ def payload(gif: bytes) -> bytes:
 
 def histogram(rgb: np.ndarray, bins: int = BINS) -> list[int]:
     """Pixels by luminance (integer BT.601 weights) in ``bins`` equal bins."""
-    grey = rgb[..., 0] if _is_grey(rgb) else rgb.astype(np.uint32) @ np.array([77, 150, 29], dtype=np.uint32) >> 8
-    return np.bincount(grey.reshape(-1).astype(np.int64) * bins >> 8, minlength=bins).tolist()
+    return _histograms(rgb, bins)[0]
 
 
 def colour_histogram(rgb: np.ndarray, bins: int = BINS) -> list[int]:
     """Pixels by red, then green, then blue, in ``bins`` equal bins each."""
-    count = lambda c: np.bincount(rgb[..., c].reshape(-1).astype(np.int64) * bins >> 8, minlength=bins).tolist()
-    red = count(0)
-    return red * 3 if _is_grey(rgb) else red + count(1) + count(2)
+    return _histograms(rgb, bins)[1]
+
+
+def _histograms(rgb: np.ndarray, bins: int = BINS) -> tuple[list[int], list[int]]:
+    """Those of luminance and of the colours."""
+    of = np.arange(256) * bins >> 8
+    count = lambda v: np.bincount(of, np.bincount(v.reshape(-1), minlength=256), bins).astype(np.int64).tolist()
+    if _is_grey(rgb):
+        grey = count(rgb[..., 0])
+        return grey, grey * 3
+    light = rgb.astype(np.uint32) @ np.array([77, 150, 29], dtype=np.uint32) >> 8
+    return count(light), count(rgb[..., 0]) + count(rgb[..., 1]) + count(rgb[..., 2])
 
 
 # ---------------------------------------------------------------- tables
@@ -325,7 +380,7 @@ _FRAME_SCHEMA = "frame int, start_ms bigint, delay_ms int, left int, top int, wi
 
 def _frame_row(k: int, f: Frame) -> dict:
     height, width = f.rgb.shape[:2]
-    values = [k, f.start_ms, f.delay_ms, f.area[1].start, f.area[0].start, width, height, f.disposal, f.transparent, histogram(f.rgb), colour_histogram(f.rgb)]
+    values = [k, f.start_ms, f.delay_ms, f.area[1].start, f.area[0].start, width, height, f.disposal, f.transparent, *_histograms(f.rgb)]
     return {name: value for (name, _), value in zip(_FRAME, values)}
 
 
